@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import perplexity
@@ -13,25 +13,16 @@ from .skew import lookup_join
 _JOINER = "␟"  # between the tokens of a context
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """All n-grams of a token array as (pos, context, token)."""
-    last = F.size(tokens) - n
-
-    def gram(i: Column) -> Column:
-        return F.struct(
-            i.alias("pos"),
-            F.array_join(F.slice(tokens, i + 1, n - 1), _JOINER).alias("context"),
-            F.element_at(tokens, i + n).alias("token"),
-        )
-
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), gram)).otherwise(F.array())
-
-
 def grams(df: DataFrame, n: int = 2, tokens: str = "tokens", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per n-gram occurrence with the columns named in ``keep``."""
+    """One row ``(context, token)`` per n-gram occurrence with the columns named in ``keep``."""
     if n < 2:
         raise ValueError("n must be at least 2")
-    return df.select(*keep, F.inline(_grams(F.col(tokens), n)))
+    length = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = [F.slice(tokens, k + 1, length).alias(f"t{k}") for k in range(n)]
+    rows = df.select(*keep, F.inline(F.arrays_zip(*shifted)))
+    context = [F.col(f"t{k}") for k in range(n - 1)]
+    joined = context[0] if n == 2 else F.concat_ws(_JOINER, *context)
+    return rows.select(*keep, joined.alias("context"), F.col(f"t{n - 1}").alias("token"))
 
 
 def ngram_counts(df: DataFrame, n: int = 2, tokens: str = "tokens") -> DataFrame:

@@ -9,6 +9,7 @@ every few merges, so a lost executor never costs more than one round.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ def train_merges(
     pending: list[tuple[int, int, int]] = []
 
     def joined(a: str, b: str) -> str:
-        return a + (b[len(prefix) :] if prefix and b.startswith(prefix) else b)
+        return _joined(a, b, prefix)
 
     state = cut_lineage(_encode_symbols(lines, ids, prefix)) if len(tokens) < target else None
     while len(tokens) < target:
@@ -169,6 +170,28 @@ def train_merges(
     return TokenModel(algorithm, tuple(tokens), tuple(merges), specials=tuple(specials))
 
 
+def shrink(model: TokenModel, vocab_size: int) -> TokenModel:
+    """The model a smaller size would have given: training with a smaller goal stops earlier."""
+    target = vocab_size + len(model.specials)
+    prefix = PREFIX if model.algorithm == "WORDPIECE" else ""
+    made = {_joined(a, b, prefix) for a, b in model.merges}
+    tokens = [t for t in model.tokens if t not in made]
+    known, merges = set(tokens), []
+    for a, b in model.merges:
+        if len(tokens) >= target:
+            break
+        merges.append((a, b))
+        token = _joined(a, b, prefix)
+        if token not in known:
+            known.add(token)
+            tokens.append(token)
+    return replace(model, tokens=tuple(tokens), merges=tuple(merges))
+
+
+def _joined(left: str, right: str, prefix: str) -> str:
+    return left + (right[len(prefix) :] if prefix and right.startswith(prefix) else right)
+
+
 def _encode_symbols(lines: DataFrame, ids: dict[str, int], prefix: str) -> DataFrame:
     """Lines of at least two symbols as ``(n, symbols)``."""
     names = list(ids)

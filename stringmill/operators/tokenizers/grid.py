@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ...functions.text import SPECIAL_TOKENS
 from ..vocab import train_wordlevel
-from .bpe import train_bpe, train_wordpiece
+from .bpe import shrink, train_bpe, train_wordpiece
 from .model import ALGORITHMS, TokenModel, wordlevel_model
 from .unigram import train_unigram
 
@@ -68,8 +68,18 @@ def tokenizer_grid(
     specials: Sequence[str] = SPECIAL_TOKENS,
     col: str = "item",
 ) -> dict[tuple[str, str, int], TokenModel]:
-    """One model per cell of the grid."""
-    return {
-        cell: train_tokenizer(items, cell[0], cell[1], cell[2], specials=specials, col=col)
-        for cell in (cells or combinations())
-    }
+    """One model per cell of the grid.
+
+    The merges of a small BPE or WordPiece vocabulary are the first merges of a larger one, so
+    each of these algorithms is trained once, at its largest size, and cut.
+    """
+    cells = list(cells or combinations())
+    models: dict[tuple[str, str, int], TokenModel] = {}
+    for cell in sorted(cells, key=lambda c: -c[2]):
+        kind, algorithm, size = cell
+        larger = [c for c in models if c[1] == algorithm and algorithm in ("BPE", "WORDPIECE")]
+        if larger:
+            models[cell] = shrink(models[larger[0]], size)
+        else:
+            models[cell] = train_tokenizer(items, kind, algorithm, size, specials=specials, col=col)
+    return {cell: models[cell] for cell in cells}

@@ -166,13 +166,15 @@ def read_generated(
 def read_split_dir(
     spark: SparkSession, directory: str, suffixes: Sequence[str] = ("csv", "txt")
 ) -> DataFrame:
-    """A folder of headerless files as ``(split, ord, item)``; the file name names the split."""
-    name = F.lower(F.col("_metadata.file_name"))
+    """A folder of headerless files as ``(split, ord, item)``; the path below it names the split."""
+    below = F.substring_index(F.col("_metadata.file_path"), directory.rstrip("/"), -1)
+    name = F.lower(below)
     split = F.coalesce(*[F.when(name.contains(k), F.lit(v)) for k, v in SPLIT_NAMES.items()])
     glob = "*.{" + ",".join(s + z for s in suffixes for z in ("", ".gz", ".bz2")) + "}"
     return (
         _csv(spark, False)
         .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
         .csv(directory, schema=schemas.ITEMS)
         .select(split.alias("split"), file_order().alias("ord"), "item")
         .where(F.col("split").isNotNull())
