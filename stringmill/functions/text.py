@@ -73,6 +73,11 @@ def identity_key(raw: Column, canonical: Column) -> Column:
     return F.coalesce(canonical, raw)
 
 
+def digest(value: Column) -> Column:
+    """32 bytes that stand for a text of any length in shuffles and joins; null stays null."""
+    return F.unhex(F.sha2(value, 256))
+
+
 def trimmed(text: Column) -> Column:
     """Default canonical form of an item: trimmed, null when nothing is left."""
     form = F.trim(text)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digest
 from .skew import lookup_join
 
 
@@ -48,29 +49,37 @@ def first_seen(
 
 
 def key_profile(gen: DataFrame, known: DataFrame | None, key: str = "key") -> DataFrame:
-    """One row per generated key: how often generated, and whether known. One shuffle."""
-    sides = gen.select(key, F.lit(1).alias("g"), F.lit(False).alias("k"))
+    """One row ``(digest, n, is_known)`` per generated key. One shuffle, of digests only."""
+    sides = gen.select(digest(F.col(key)).alias("digest"), F.lit(1).alias("g"), F.lit(False).alias("k"))
     if known is not None:
-        sides = sides.union(known.select(key, F.lit(0), F.lit(True)))
+        sides = sides.union(known.select(digest(F.col(key)), F.lit(0), F.lit(True)))
     return (
-        sides.groupBy(key)
+        sides.groupBy("digest")
         .agg(F.sum("g").alias("n"), F.max("k").alias("is_known"))
         .where(F.col("n") > 0)
     )
 
 
+def _by_digest(df: DataFrame, table: DataFrame, key: str, spread_by: str) -> DataFrame:
+    rows = df.withColumn("__digest", digest(F.col(key)))
+    joined = lookup_join(rows, table.withColumnRenamed("digest", "__digest"), "__digest", spread_by=spread_by)
+    return joined.drop("__digest")
+
+
 def flag_singleton(df: DataFrame, key: str = "key", spread_by: str = "ord") -> DataFrame:
     """Adds ``unique``: the key occurs exactly once in the whole output."""
-    counts = df.groupBy(key).agg((F.count("*") == 1).alias("unique"))
-    return lookup_join(df, counts, key, spread_by=spread_by)
+    counts = df.groupBy(digest(F.col(key)).alias("digest")).agg(
+        (F.count("*") == 1).alias("unique")
+    )
+    return _by_digest(df, counts, key, spread_by)
 
 
 def flag_novel(
     gen: DataFrame, known: DataFrame, key: str = "key", spread_by: str = "ord"
 ) -> DataFrame:
     """Adds ``novel``: the key is not among the known ones."""
-    seen = known.select(key).distinct().withColumn("__seen", F.lit(True))
-    joined = lookup_join(gen, seen, key, spread_by=spread_by)
+    seen = known.select(digest(F.col(key)).alias("digest")).distinct()
+    joined = _by_digest(gen, seen.withColumn("__seen", F.lit(True)), key, spread_by)
     return joined.withColumn("novel", F.col("__seen").isNull()).drop("__seen")
 
 
@@ -96,6 +105,16 @@ def overlap(a: DataFrame, b: DataFrame, key: str = "item") -> DataFrame:
     )
 
 
+def leak_report(a: DataFrame, b: DataFrame, key: str = "item") -> DataFrame:
+    """``n_shared``: number of distinct keys on both sides, counted on digests."""
+
+    def side(df: DataFrame) -> DataFrame:
+        # a null key is a key like any other
+        return df.select(F.coalesce(digest(F.col(key)), F.lit(b"")).alias("d"))
+
+    return overlap(side(a), side(b), "d").agg(F.count("*").alias("n_shared"))
+
+
 def assert_disjoint(a: DataFrame, b: DataFrame, key: str = "item") -> None:
     found = overlap(a, b, key).limit(1).collect()
     if found:
@@ -118,9 +137,15 @@ def union_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, key: str = "key", spread_by: str = "ord") -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``; the rows keep their other columns."""
-    return lookup_join(a, b.select(key).distinct(), key, "left_anti", spread_by)
+    return _membership(a, b, key, "left_anti", spread_by)
 
 
 def intersection(a: DataFrame, b: DataFrame, key: str = "key", spread_by: str = "ord") -> DataFrame:
     """Rows of ``a`` whose key is in ``b``; the flags stay those of ``a``."""
-    return lookup_join(a, b.select(key).distinct(), key, "left_semi", spread_by)
+    return _membership(a, b, key, "left_semi", spread_by)
+
+
+def _membership(a: DataFrame, b: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
+    rows = a.withColumn("__digest", digest(F.col(key)))
+    keys = b.select(digest(F.col(key)).alias("__digest")).distinct()
+    return lookup_join(rows, keys, "__digest", how, spread_by).drop("__digest")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import perplexity
-from .skew import lookup_join
+from .skew import small_or_lookup_join
 
 _JOINER = "␟"  # between the tokens of a context
 
@@ -30,13 +30,6 @@ def ngram_counts(df: DataFrame, n: int = 2, tokens: str = "tokens") -> DataFrame
     return grams(df, n, tokens).groupBy("context", "token").count()
 
 
-def ngram_model(counts: DataFrame) -> DataFrame:
-    """Counts with the total of their context and the most frequent successor of it."""
-    best = F.min(F.struct((-F.col("count")).alias("c"), "token"))["token"]
-    contexts = counts.groupBy("context").agg(F.sum("count").alias("total"), best.alias("best"))
-    return counts.join(contexts, "context")
-
-
 def predict_next(counts: DataFrame) -> DataFrame:
     """Most frequent successor per context; ties go to the smaller token."""
     best = F.min(F.struct((-F.col("count")).alias("c"), "token"))["token"]
@@ -47,15 +40,16 @@ def scored_grams(used: DataFrame, counts: DataFrame, vocab_size: int) -> DataFra
     """Adds ``nll`` (add-one smoothing) and ``hit`` to counted n-grams ``(..., context, token, n)``.
 
     ``used`` is aggregated before the joins, so a frequent n-gram is one row per group and not
-    one row per occurrence.
+    one row per occurrence. Both tables of the model join without a shuffle while they are
+    small. ``counts`` is read several times, so it should be a stored or checkpointed table.
     """
     contexts = counts.groupBy("context").agg(
         F.sum("count").alias("total"),
         F.min(F.struct((-F.col("count")).alias("c"), "token"))["token"].alias("best"),
     )
     spread = [c for c in used.columns if c != "n"]
-    rows = lookup_join(used, contexts, "context", spread_by=spread)
-    rows = lookup_join(rows, counts, ["context", "token"], spread_by=spread)
+    rows = small_or_lookup_join(used, contexts, "context", spread_by=spread)
+    rows = small_or_lookup_join(rows, counts, ["context", "token"], spread_by=spread)
     p = (F.coalesce("count", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + vocab_size)
     return rows.select(
         *used.columns,

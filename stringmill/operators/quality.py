@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import digest
+
 
 def basic_stats(gen: DataFrame, ref: DataFrame, canonical: str = "canonical", ref_key: str = "item") -> DataFrame:
     """One row ``Validity, Uniqueness, Novelty``; shares of nothing are 0.0.
 
     The reference side is compared as it is; canonicalise it first where that is wanted.
     """
-    sides = gen.select(F.col(canonical).alias("key"), F.lit(1).alias("g"), F.lit(False).alias("k"))
-    sides = sides.union(ref.select(F.col(ref_key), F.lit(0), F.lit(True)))
+    key = digest(F.col(canonical)).alias("key")
+    sides = gen.select(key, F.lit(1).alias("g"), F.lit(False).alias("k"))
+    sides = sides.union(ref.select(digest(F.col(ref_key)), F.lit(0), F.lit(True)))
     keys = sides.groupBy("key").agg(F.sum("g").alias("n"), F.max("k").alias("known"))
     has_form = F.col("key").isNotNull()
     distinct = has_form & (F.col("n") > 0)

@@ -31,6 +31,37 @@ def hot_hashes(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -
     )
 
 
+# A table joins without a shuffle when it has at most this many rows and bytes of text.
+SMALL_ROWS = 200_000
+SMALL_BYTES = 32 * 2**20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether a table is within the broadcast bounds. Reads at most ``SMALL_ROWS`` rows of it."""
+    texts = [F.octet_length(f.name) for f in table.schema.fields if f.dataType.typeName() == "string"]
+    size = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(8 * len(table.columns)))
+    rows, size = (
+        table.select(size.cast("long").alias("b"))
+        .limit(SMALL_ROWS + 1)
+        .agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)))
+        .first()
+    )
+    return rows <= SMALL_ROWS and size <= SMALL_BYTES
+
+
+def small_or_lookup_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: str | Sequence[str],
+    how: str = "left",
+    spread_by: str | Sequence[str] = "ord",
+) -> DataFrame:
+    """Broadcasts the table after a check of its size, else joins by :func:`lookup_join`."""
+    if is_small(table):
+        return rows.join(F.broadcast(table), on, how)
+    return lookup_join(rows, table, on, how, spread_by)
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,

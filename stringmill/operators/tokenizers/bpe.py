@@ -175,7 +175,7 @@ def shrink(model: TokenModel, vocab_size: int) -> TokenModel:
     target = vocab_size + len(model.specials)
     prefix = PREFIX if model.algorithm == "WORDPIECE" else ""
     made = {_joined(a, b, prefix) for a, b in model.merges}
-    tokens = [t for t in model.tokens if t not in made]
+    tokens = [t for t in model.tokens if t in model.specials or t not in made]
     known, merges = set(tokens), []
     for a, b in model.merges:
         if len(tokens) >= target:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_generated, identity_key, template_key, trimmed
+from ..functions.text import clean_generated, digest, identity_key, template_key, trimmed
 from ..operators.skew import lookup_join
 from ..operators.tally import ITEM_COUNTERS, TEMPLATE_COUNTERS, fractions
 from ..operators.templates import feasibility
@@ -43,35 +43,49 @@ def label_generated_items(
 ) -> DataFrame:
     """``(batch, ord, item, canonical, valid, unique, novel, first)`` of generated ``(batch, ord, item)``.
 
-    Repeats inside a batch are one row. ``unique`` = the key occurs once in the whole output,
-    ``novel`` = it is not known (also true for invalid items), ``first`` = first batch of a
-    valid key. One aggregate over generated and known keys yields all three.
+    ``(batch, ord)`` identifies a row. Repeats inside a batch are one row. ``unique`` = the key
+    occurs once in the whole output, ``novel`` = it is not known (also true for invalid items),
+    ``first`` = first batch of a valid key.
+
+    All flags are found on digests. The texts are shuffled once, in the last join, on the row
+    identity, which no two rows share.
     """
     rows = clean_items(gen.select("batch", "ord", "item"), "item", marks)
     form = canonical(F.col("item"))
-    stable = F.when(canonical(form).eqNullSafe(form), form)
-    rows = rows.withColumn("canonical", stable)
-    rows = rows.withColumn("key", identity_key(F.col("item"), F.col("canonical")))
-    rows = batch_distinct(rows)
-    known_form = identity_key(F.col("item"), canonical(F.col("item"))) if canonical_known else F.col("item")
-    none = F.lit(None).cast(rows.schema["batch"].dataType)
-    sides = rows.select("key", F.lit(1).alias("g"), "batch").union(
-        known.select(known_form, F.lit(0), none)
+    rows = rows.withColumn("canonical", F.when(canonical(form).eqNullSafe(form), form))
+    slim = rows.select(
+        "batch",
+        "ord",
+        digest(identity_key(F.col("item"), F.col("canonical"))).alias("key"),
+        F.col("canonical").isNotNull().alias("valid"),
     )
-    profile = sides.groupBy("key").agg(
-        F.sum("g").alias("n"), F.count_if(F.col("g") == 0).alias("n_known"), F.min("batch").alias("first_batch")
-    ).where(F.col("n") > 0)
-    joined = lookup_join(rows, profile, "key", spread_by=["batch", "ord"])
-    valid = F.col("canonical").isNotNull()
-    return joined.select(
+    kept = slim.groupBy("batch", "key").agg(F.min("ord").alias("ord"), F.max("valid").alias("valid"))
+
+    raw = F.col("item")
+    known_key = digest(identity_key(raw, canonical(raw)) if canonical_known else raw)
+    none = F.lit(None).cast(gen.schema["batch"].dataType)
+    sides = kept.select("key", F.lit(1).alias("g"), "batch").union(
+        known.select(known_key, F.lit(0), none)
+    )
+    profile = (
+        sides.groupBy("key")
+        .agg(
+            F.sum("g").alias("n"),
+            F.count_if(F.col("g") == 0).alias("n_known"),
+            F.min("batch").alias("first_batch"),
+        )
+        .where(F.col("n") > 0)
+    )
+    flags = lookup_join(kept, profile, "key", spread_by=["batch", "ord"]).select(
         "batch",
         "ord",
-        "item",
-        "canonical",
-        valid.alias("valid"),
+        "valid",
         (F.col("n") == 1).alias("unique"),
         (F.col("n_known") == 0).alias("novel"),
-        (valid & (F.col("batch") == F.col("first_batch"))).alias("first"),
+        (F.col("valid") & (F.col("batch") == F.col("first_batch"))).alias("first"),
+    )
+    return rows.join(flags, ["batch", "ord"]).select(
+        "batch", "ord", "item", "canonical", "valid", "unique", "novel", "first"
     )
 
 

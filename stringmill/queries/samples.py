@@ -227,7 +227,7 @@ WHERE split = 'train' AND item IN (SELECT item FROM s WHERE split <> 'train')"""
 def leak_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_split(spark, sf_dir)
     train, held_out = rows.where(F.col("split") == "train"), rows.where(F.col("split") != "train")
-    return dedup.overlap(train, held_out).agg(F.count("*").alias("n_shared"))
+    return dedup.leak_report(train, held_out)
 
 
 @query(

@@ -21,6 +21,7 @@ from ..operators.tokenizers.grid import tokenizer_grid as train_grid
 from ..operators.tokenizers.model import model_vocab_size, wordlevel_model
 from ..operators.tokenizers.unigram import train_unigram
 from ..plans.tokenized import build_tokenized_dataset
+from ..sources.shared import cut_lineage
 from . import samples, templates
 from .registry import query, table
 
@@ -370,7 +371,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bigram_model(tokens: DataFrame) -> tuple[DataFrame, int]:
     train = tokens.where(F.col("split") == "train")
     size = train.select(F.explode("tokens").alias("t")).distinct().count()
-    return ngrams.ngram_counts(train), size
+    return cut_lineage(ngrams.ngram_counts(train)), size
 
 
 @query(_BIGRAMS + ' SELECT context, token, CAST(sum(n) AS BIGINT) AS "count" FROM u GROUP BY context, token')
