@@ -41,19 +41,11 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    front = math.exp(
-        math.lgamma(a + b)
-        - math.lgamma(a)
-        - math.lgamma(b)
-        + a * math.log(x)
-        + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+def _log_gamma_step(a: float) -> float:
+    """``lgamma(a + 1/2) - lgamma(a)`` without the cancellation of large arguments."""
+    if a < 100.0:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1.0 / (8.0 * a) + 1.0 / (192.0 * a**3)
 
 
 def upper_tail(t: float, df: float) -> float:
@@ -62,8 +54,25 @@ def upper_tail(t: float, df: float) -> float:
         return math.nan
     if math.isinf(t):
         return 0.0 if t > 0 else 1.0
-    half = 0.5 * _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
-    return half if t >= 0 else 1.0 - half
+    if df > 1e6:
+        # normal tail with the first-order correction; the error is of order 1 / df^2
+        z = t * (1.0 - 0.25 / df) / math.sqrt(1.0 + t * t / (2.0 * df))
+        return 0.5 * math.erfc(z / math.sqrt(2.0))
+    a, square = df / 2.0, t * t / df
+    x, rest = 1.0 / (1.0 + square), square / (1.0 + square)
+    if rest == 0.0:
+        return 0.5
+    front = math.exp(
+        _log_gamma_step(a)
+        - 0.5 * math.log(math.pi)
+        - a * math.log1p(square)
+        + 0.5 * math.log(rest)
+    )
+    if x < (a + 1.0) / (a + 2.5):
+        both = front * _beta_fraction(a, 0.5, x) / a
+    else:
+        both = 1.0 - front * _beta_fraction(0.5, a, rest) * 2.0
+    return both / 2.0 if t > 0 else 1.0 - both / 2.0
 
 
 @F.pandas_udf(T.DoubleType())

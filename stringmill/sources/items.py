@@ -52,12 +52,10 @@ def _csv(spark: SparkSession, header: bool, multiline: bool = False):
 
 def _files_with_header(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
     lines = spark.read.text(paths)
-    files = sorted(lines.inputFiles())
+    files = lines.inputFiles()
     text = F.ltrim(F.col("value"), F.lit('"'))
     if len(files) <= PEEK_FILES:
-        with_header = {
-            f for f in files if spark.read.text(f).limit(1).where(is_header(text)).count()
-        }
+        flags = {f: spark.read.text(f).limit(1).where(is_header(text)).count() > 0 for f in files}
     else:
         first = (
             lines.where(F.col("_metadata.file_block_start") == 0)
@@ -69,8 +67,9 @@ def _files_with_header(spark: SparkSession, paths: list[str]) -> tuple[list[str]
             .groupBy("file")
             .agg(F.min_by("value", "row").alias("value"))
         )
-        with_header = {r.file for r in first.where(is_header(text)).select("file").collect()}
-    return [f for f in files if f in with_header], [f for f in files if f not in with_header]
+        # one row per file, like the file listing the driver holds anyway
+        flags = {r.file: r.flag for r in first.select("file", is_header(text).alias("flag")).collect()}
+    return [f for f in sorted(flags) if flags[f]], [f for f in sorted(flags) if not flags[f]]
 
 
 def read_items(
