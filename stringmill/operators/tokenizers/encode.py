@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ...functions.pieces import pretokenize
 from ..skew import lookup_join
+from .lattice import Lattice, best_cut, chunks
 from .merges import encode_flat, flatten, pair_code, unflatten
 from .model import PREFIX, TokenModel
 
@@ -95,31 +96,34 @@ def _wordpiece_line(model: TokenModel) -> Callable[[str], list[int]]:
     return one
 
 
-def _unigram_line(model: TokenModel) -> Callable[[str], list[int]]:
-    ids, unk, logp = model.ids, model.unk_id, model.logp
-    longest = max(map(len, logp))
-    penalty = min(logp.values()) - 10.0  # fixed value: cost of an unknown character
+def _unigram_udf(model: TokenModel) -> Callable[[Column], Column]:
+    ids, unk = model.ids, model.unk_id
+    lattice = Lattice(model.logp)
+    piece_ids = [ids[p] for p in lattice.pieces]
+    penalty = min(model.logp.values()) - 10.0  # fixed value: cost of an unknown character
+
+    def fused(cut: list[int]) -> list[int]:
+        """Neighbouring unknown characters are one unknown token."""
+        out: list[int] = []
+        for piece in cut:
+            if piece >= 0:
+                out.append(piece_ids[piece])
+            elif not out or out[-1] != unk:
+                out.append(unk)
+        return out
 
-    def one(line: str) -> list[int]:
-        """Best path; neighbouring unknown characters are one unknown token."""
-        best, back = [0.0], [0]
-        for end in range(1, len(line) + 1):
-            score, start = best[end - 1] + penalty, end - 1
-            for begin in range(max(0, end - longest), end):
-                p = logp.get(line[begin:end])
-                if p is not None and best[begin] + p > score:
-                    score, start = best[begin] + p, begin
-            best.append(score)
-            back.append(start)
-        out, end = [], len(line)
-        while end:
-            piece = ids.get(line[back[end] : end]) if line[back[end] : end] in logp else unk
-            if not (piece == unk and out and out[-1] == unk):
-                out.append(piece)
-            end = back[end]
-        return out[::-1]
+    @F.arrow_udf(_IDS)
+    def run(lines: pa.Array) -> pa.Array:
+        texts = lines.to_pylist()
+        result: list[list[int] | None] = [None if t is None else [] for t in texts]
+        full = [i for i, t in enumerate(texts) if t]
+        for group in chunks([texts[i] for i in full]):
+            rows = [full[i] for i in group]
+            for row, cut in zip(rows, best_cut(lattice, [texts[i] for i in rows], penalty)):
+                result[row] = fused(cut)
+        return pa.array(result, pa.list_(pa.int32()))
 
-    return one
+    return run
 
 
 def raw_ids(
@@ -130,8 +134,9 @@ def raw_ids(
         return _pieces_udf(model)(pretokenize(text, kind, pattern))
     if model.algorithm == "BPE":
         return _bpe_udf(model)(pretokenize(text, "CHAR"))
-    one = _wordpiece_line if model.algorithm == "WORDPIECE" else _unigram_line
-    return _line_udf(one(model))(text)
+    if model.algorithm == "WORDPIECE":
+        return _line_udf(_wordpiece_line(model))(text)
+    return _unigram_udf(model)(text)
 
 
 def with_marks(ids: Column, bos: int, eos: int, max_length: int | None = MAX_LENGTH) -> Column:

@@ -6,13 +6,14 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.pieces import pretokenize
 from ...functions.text import SPECIAL_TOKENS
 from ...sources.shared import cut_lineage
+from .lattice import Lattice, chunks, expected_uses
 from .model import TokenModel, line_counts
 
 MIN_VOCAB = 44  # fixed value: smallest vocabulary, special tokens counted
@@ -44,46 +45,23 @@ def _seed_pieces(lines: DataFrame) -> DataFrame:
     return pieces.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def _log_sums(line: str, logp: dict[str, float], longest: int) -> tuple[list, list, list]:
-    """Edges (start, end, score) per end position, forward and backward sums of one line."""
-    size = len(line)
-    edges = [
-        [
-            (end - k, logp[line[end - k : end]])
-            for k in range(1, min(longest, end) + 1)
-            if line[end - k : end] in logp
-        ]
-        for end in range(size + 1)
-    ]
-    forward = [0.0] + [-math.inf] * size
-    for end in range(1, size + 1):
-        terms = [forward[start] + score for start, score in edges[end]]
-        top = max(terms)
-        forward[end] = top + math.log(sum(math.exp(t - top) for t in terms))
-    backward = [-math.inf] * size + [0.0]
-    for end in range(size, 0, -1):
-        for start, score in edges[end]:
-            backward[start] = np.logaddexp(backward[start], backward[end] + score)
-    return edges, forward, backward
-
-
 def expected_counts(lines: DataFrame, logp: dict[str, float]) -> DataFrame:
     """Expected uses of each piece over the corpus, summed in the task before the shuffle."""
-    longest = max(map(len, logp))
+    lattice = Lattice(logp)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(lattice.pieces))
         for batch in batches:
-            for line, n in zip(batch["line"], batch["n"]):
-                edges, forward, backward = _log_sums(line, logp, longest)
-                for end in range(1, len(line) + 1):
-                    for start, score in edges[end]:
-                        use = math.exp(forward[start] + score + backward[end] - forward[-1])
-                        piece = line[start:end]
-                        total[piece] = total.get(piece, 0.0) + n * use
-        yield pd.DataFrame({"piece": list(total), "expected": list(total.values())})
-
-    return lines.mapInPandas(run, _EXPECTED).groupBy("piece").agg(F.sum("expected").alias("expected"))
+            texts = batch.column("line").to_pylist()
+            weights = batch.column("n").to_numpy().astype(float)
+            for group in chunks(texts):
+                total += expected_uses(lattice, [texts[i] for i in group], weights[group])
+        used = np.flatnonzero(total)
+        pieces = pa.array([lattice.pieces[i] for i in used], pa.string())
+        yield pa.RecordBatch.from_arrays([pieces, pa.array(total[used])], ["piece", "expected"])
+
+    rows = lines.select("line", "n").mapInArrow(run, _EXPECTED)
+    return rows.groupBy("piece").agg(F.sum("expected").alias("expected"))
 
 
 def train_unigram(
