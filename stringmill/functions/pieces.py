@@ -64,9 +64,10 @@ def pretokenize(text: Column, kind: str = "CHAR", pattern: str | None = None) ->
             raise ValueError(f"kind must be one of {tuple(PATTERNS)}, not {kind!r}")
         pattern = PATTERNS[kind.upper()]
     if pattern == "":
-        cut = F.split(text, "")
-    else:
-        cut = F.split(F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT)
+        # one piece per code point; only the empty string would yield an empty piece
+        none = F.array().cast("array<string>")
+        return F.when(text == "", none).otherwise(F.split(text, ""))
+    cut = F.split(F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT)
     return F.filter(cut, lambda piece: piece != "")
 
 

@@ -22,7 +22,7 @@ def similar_known(
     The match is kept factorised: generated templates and known rows meet through the key, so
     the result is never larger than the known table, however many templates share a key.
     """
-    keys = gen.select(similarity_key(F.col(template), criterion).alias("key")).distinct()
+    keys = distinct_keys(gen, template, criterion).select("key").distinct()
     keyed = known.withColumn("key", similarity_key(F.col("template"), criterion))
     return lookup_join(keyed, keys, "key", "left_semi", spread_by="ord")
 
@@ -41,6 +41,22 @@ def matches_summary(matches: DataFrame, by: str = "key") -> DataFrame:
     )
 
 
+def distinct_keys(
+    gen: DataFrame, template: str = "template", criterion: str = "canonical"
+) -> DataFrame:
+    """Distinct templates with their similarity ``key``.
+
+    The key is tied to the count of its template, so the optimizer cannot move the costly
+    expression, or a filter on it, below the aggregate to every single row.
+    """
+    key = similarity_key(F.col(template), criterion)
+    return (
+        gen.groupBy(template)
+        .agg(F.count("*").alias("__n"))
+        .select(template, F.when(F.col("__n") > 0, key).alias("key"))
+    )
+
+
 def feasibility(
     gen: DataFrame,
     known: DataFrame,
@@ -54,8 +70,7 @@ def feasibility(
     no pairs at all. With it the function runs once per distinct (template, product) of a key,
     its errors count as false, and the pairs are aggregated as they come.
     """
-    key = similarity_key(F.col(template), "canonical")
-    templates = gen.select(template, key.alias("key")).where("key is not null").distinct()
+    templates = distinct_keys(gen, template).where("key is not null")
     keyed = known.withColumn("key", similarity_key(F.col("template"), "canonical"))
     if applies is None:
         table = matches_summary(keyed.where("key is not null"))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ...functions.pieces import pretokenize
 from ...functions.text import SPECIAL_TOKENS
-from ...sources.shared import cut_lineage
+from ...sources.shared import cut_lineage, spread
 from .merges import apply_merge, count_pairs, flatten, pair_code, pair_ids, unflatten
 from .model import PREFIX, TokenModel, line_counts
 
@@ -133,7 +133,7 @@ def train_merges(
     col: str = "item",
 ) -> TokenModel:
     """Merges until ``vocab_size`` tokens besides the specials exist; the alphabet is never cut."""
-    lines = line_counts(items, col)
+    lines = spread(cut_lineage(line_counts(items, col)))
     tokens = [*specials, *_alphabet(lines, prefix, specials)]
     ids = {t: i for i, t in enumerate(tokens)}
     target = vocab_size + len(specials)

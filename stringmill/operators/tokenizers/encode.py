@@ -41,11 +41,40 @@ def _pieces_udf(model: TokenModel) -> Callable[[Column], Column]:
     return lookup
 
 
+def _char_ids(model: TokenModel) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Function from texts to (ids of all characters, offsets of the texts)."""
+    single = sorted((ord(t), i) for t, i in model.ids.items() if len(t) == 1)
+    codes = np.array([c for c, _ in single], dtype=np.int64)
+    ids = np.array([i for _, i in single], dtype=np.int32)
+    unk = model.unk_id
+
+    def convert(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        joined = "".join(t for t in texts.to_pylist() if t is not None)
+        chars = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        at = np.minimum(np.searchsorted(codes, chars), len(codes) - 1)
+        found = np.where(codes[at] == chars, ids[at], unk)
+        return found, np.concatenate(([0], np.cumsum(lengths)))
+
+    return convert
+
+
+def _chars_udf(model: TokenModel) -> Callable[[Column], Column]:
+    """Character pieces and their ids in one step, without a string per character."""
+    convert = _char_ids(model)
+
+    @F.arrow_udf(_IDS)
+    def lookup(texts: pa.Array) -> pa.Array:
+        ids, offsets = convert(texts)
+        return _lists(offsets, ids)
+
+    return lookup
+
+
 def _bpe_udf(model: TokenModel) -> Callable[[Column], Column]:
-    ids, unk, merges = model.ids, model.unk_id, model.merges
-    tokens = list(model.tokens)
+    ids, convert = model.ids, _char_ids(model)
     table = {}
-    for rank, (a, b) in enumerate(merges):
+    for rank, (a, b) in enumerate(model.merges):
         table.setdefault(pair_code(ids[a], ids[b]), (rank, ids[a + b]))
     codes = np.array(sorted(table), dtype=np.int64)
     ranks = np.array([table[c][0] for c in codes.tolist()], dtype=np.int64)
@@ -53,12 +82,9 @@ def _bpe_udf(model: TokenModel) -> Callable[[Column], Column]:
     results = np.array([table[c][1] for c in codes.tolist()], dtype=np.int64)
 
     @F.arrow_udf(_IDS)
-    def merge(chars: pa.Array) -> pa.Array:
-        offsets = chars.offsets.to_numpy()
-        flat = chars.flatten().cast(pa.string())
-        start = pc.fill_null(pc.index_in(flat, value_set=pa.array(tokens, pa.string())), unk)
-        symbols = flatten(start.to_numpy(zero_copy_only=False), offsets - offsets[0])
-        values, ends = unflatten(encode_flat(symbols, codes, order, results))
+    def merge(texts: pa.Array) -> pa.Array:
+        chars, offsets = convert(texts)
+        values, ends = unflatten(encode_flat(flatten(chars, offsets), codes, order, results))
         return _lists(ends, values)
 
     return merge
@@ -130,10 +156,12 @@ def raw_ids(
     text: Column, model: TokenModel, kind: str = "CHAR", pattern: str | None = None
 ) -> Column:
     """Ids of a text without begin and end tokens."""
+    if model.algorithm == "WORDLEVEL" and kind.upper() == "CHAR" and pattern is None:
+        return _chars_udf(model)(text)
     if model.algorithm == "WORDLEVEL":
         return _pieces_udf(model)(pretokenize(text, kind, pattern))
     if model.algorithm == "BPE":
-        return _bpe_udf(model)(pretokenize(text, "CHAR"))
+        return _bpe_udf(model)(text)
     if model.algorithm == "WORDPIECE":
         return _line_udf(_wordpiece_line(model))(text)
     return _unigram_udf(model)(text)
@@ -220,17 +248,18 @@ def encode_wordlevel_join(
 
 def decode(ids: Column, model: TokenModel) -> Column:
     """Text of ids without special tokens and without separators between tokens."""
-    special = [model.ids[s] for s in model.specials]
-    tokens, prefix = list(model.tokens), model.algorithm == "WORDPIECE"
-    shown = [t[len(PREFIX) :] if prefix and t.startswith(PREFIX) else t for t in tokens]
+    prefix = model.algorithm == "WORDPIECE"
+    inner = [t[len(PREFIX) :] if prefix and t.startswith(PREFIX) else t for t in model.tokens]
+    shown = ["" if t in model.specials else s for t, s in zip(model.tokens, inner)]
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def names(lists: pa.Array) -> pa.Array:
+    @F.arrow_udf(T.StringType())
+    def texts(lists: pa.Array) -> pa.Array:
         offsets = lists.offsets.to_numpy()
         taken = pa.array(shown, pa.string()).take(lists.flatten())
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), taken)
+        rows = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), taken)
+        return pc.binary_join(rows, "")
 
-    return F.array_join(names(F.filter(ids, lambda i: ~i.isin(special))), "")
+    return texts(ids)
 
 
 def roundtrip_report(

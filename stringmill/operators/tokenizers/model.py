@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ... import schemas
+from ...functions.pieces import PATTERNS
 from ...functions.text import SPECIAL_TOKENS
 
 ALGORITHMS = ("WORDLEVEL", "BPE", "WORDPIECE", "UNIGRAM")
@@ -63,6 +65,91 @@ class TokenModel:
         )
 
 
+def to_tokenizer_json(
+    model: TokenModel, kind: str = "CHAR", pattern: str | None = None, max_word: int = 1024
+) -> str:
+    """The model as a ``tokenizer.json`` text, the exchange format of tokenizer libraries."""
+    ids = model.ids
+    bos, eos = model.specials[0], model.specials[1]
+    added = [
+        {
+            "id": ids[t],
+            "content": t,
+            "single_word": False,
+            "lstrip": False,
+            "rstrip": False,
+            "normalized": False,
+            "special": True,
+        }
+        for t in model.specials
+    ]
+    regex = PATTERNS[kind.upper()] if pattern is None else pattern
+    split = {
+        "type": "Split",
+        "pattern": {"Regex": regex},
+        "behavior": "Isolated",
+        "invert": False,
+    }
+    post = {
+        "type": "TemplateProcessing",
+        "single": [
+            {"SpecialToken": {"id": bos, "type_id": 0}},
+            {"Sequence": {"id": "A", "type_id": 0}},
+            {"SpecialToken": {"id": eos, "type_id": 0}},
+        ],
+        "pair": [{"Sequence": {"id": "A", "type_id": 0}}, {"Sequence": {"id": "B", "type_id": 1}}],
+        "special_tokens": {t: {"id": t, "ids": [ids[t]], "tokens": [t]} for t in (bos, eos)},
+    }
+    unk = model.specials[3]
+    core: dict[str, object] = {"type": "WordLevel", "vocab": ids, "unk_token": unk}
+    decoder = None
+    if model.algorithm == "BPE":
+        core = {"type": "BPE", "unk_token": unk, "vocab": ids, "merges": [list(m) for m in model.merges]}
+    elif model.algorithm == "WORDPIECE":
+        core = {
+            "type": "WordPiece",
+            "unk_token": unk,
+            "continuing_subword_prefix": PREFIX,
+            "max_input_chars_per_word": max_word,
+            "vocab": ids,
+        }
+        decoder = {"type": "WordPiece", "prefix": PREFIX, "cleanup": False}
+    elif model.algorithm == "UNIGRAM":
+        core = {
+            "type": "Unigram",
+            "unk_id": model.unk_id,
+            "vocab": [[t, model.logp.get(t, 0.0)] for t in model.tokens],
+            "byte_fallback": False,
+        }
+    return json.dumps(
+        {
+            "version": "1.0",
+            "truncation": None,
+            "padding": None,
+            "added_tokens": added,
+            "normalizer": None,
+            "pre_tokenizer": split if model.algorithm == "WORDLEVEL" else None,
+            "post_processor": post,
+            "decoder": decoder,
+            "model": core,
+        },
+        ensure_ascii=False,
+    )
+
+
+def from_tokenizer_json(text: str) -> TokenModel:
+    """A model stored as ``tokenizer.json``."""
+    data = json.loads(text)
+    core, specials = data["model"], tuple(t["content"] for t in data["added_tokens"])
+    algorithm = core["type"].upper()
+    if algorithm == "UNIGRAM":
+        scores = {t: p for t, p in core["vocab"] if t not in specials}
+        return TokenModel(algorithm, tuple(t for t, _ in core["vocab"]), logp=scores, specials=specials)
+    tokens = tuple(sorted(core["vocab"], key=core["vocab"].get))
+    merges = [m.split(" ") if isinstance(m, str) else m for m in core.get("merges", [])]
+    return TokenModel(algorithm, tokens, tuple((a, b) for a, b in merges), specials=specials)
+
+
 def wordlevel_model(vocab: DataFrame, specials: tuple[str, ...] = SPECIAL_TOKENS) -> TokenModel:
     """A word-level vocabulary table as a model, after a check of its size."""
     rows = vocab.select("id", "token").orderBy("id").limit(MAX_MODEL + 1).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ...functions.pieces import pretokenize
 from ...functions.text import SPECIAL_TOKENS
-from ...sources.shared import cut_lineage
+from ...sources.shared import cut_lineage, spread
 from .lattice import Lattice, chunks, expected_uses
 from .model import TokenModel, line_counts
 
@@ -72,7 +72,7 @@ def train_unigram(
 ) -> TokenModel:
     """Piece probabilities; single characters always stay, so every line can be split."""
     target = max(MIN_VOCAB, vocab_size + len(specials)) - len(specials)
-    lines = cut_lineage(line_counts(items, col))
+    lines = cut_lineage(spread(cut_lineage(line_counts(items, col))))
     chars = F.length("piece") == 1
     counts = _seed_pieces(lines).where((F.col("n") > 1) | chars)
     seeds = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pieces import pretokenize
 from ..functions.text import BOS, DELETED_PREFIX, EOS, SPECIAL_TOKENS
+from ..sources.shared import cut_lineage
 
 MAX_WORDLEVEL = 30_000  # fixed value: size limit of a word-level vocabulary
 
@@ -92,6 +93,7 @@ def map_vocab_linear(freq: DataFrame, vocab_size: int, start: int, end: int | No
     is ``i + max(candidate_j - j)`` over all rows up to i. Counts may number ``MAX_WORDLEVEL``.
     """
     end = vocab_size if end is None else int(end)
+    freq = cut_lineage(freq)  # one row per token, read several times
     top, tokens = freq.agg(F.max("count"), F.count("*")).first()
     if start < 0:
         raise ValueError("start must not be negative")
@@ -121,6 +123,7 @@ def remap_vocab(vocab: DataFrame, mapped: DataFrame, prefix: str = DELETED_PREFI
     Old entries of mapped tokens and old tokens at taken ids go; an id freed that way and not
     taken again is filled with a placeholder.
     """
+    vocab, mapped = cut_lineage(vocab), cut_lineage(mapped)  # small, read several times
     new = mapped.select("token", F.col("new_id").alias("id"))
     kept = vocab.join(new.select("token"), "token", "left_anti").join(
         new.select("id"), "id", "left_anti"

@@ -129,6 +129,10 @@ def label_generated_templates(
     profile = rows.groupBy("template").agg(
         F.count("*").alias("n"), F.min("batch").alias("first_batch")
     )
+    # evaluated once per distinct template: it depends on an aggregate
+    profile = profile.withColumn(
+        "valid", (F.col("n") > 0) & template_key(F.col("template")).isNotNull()
+    )
     splits = known.groupBy("template").agg(
         F.lit(True).alias("is_known"),
         F.bool_or(F.col("split") == "valid").alias("in_val"),
@@ -139,7 +143,7 @@ def label_generated_templates(
         splits, "template", "left"
     )
     joined = lookup_join(rows, facts, "template", spread_by=["batch", "ord"])
-    valid = template_key(F.col("template")).isNotNull()
+    valid = F.col("valid")
 
     def flag(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(False))
@@ -149,7 +153,7 @@ def label_generated_templates(
         "batch",
         "ord",
         "template",
-        valid.alias("valid"),
+        "valid",
         (F.col("n") == 1).alias("unique"),
         (valid & (F.col("batch") == F.col("first_batch"))).alias("first"),
         feasible.alias("feasible"),

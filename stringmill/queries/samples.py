@@ -47,13 +47,13 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).join(labels, "ord", "left_semi").select("batch", "ord", "item")
 
 
-def with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_split(spark: SparkSession, sf_dir: str, read=lambda df: df) -> DataFrame:
     """Documents with a split: toxic ones test, bad ones validation, all others train."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "ord")
     split = (
         F.when(F.col("toxic") == 1, "test").when(F.col("quality") == 0, "validation").otherwise("train")
     )
-    return documents(spark, sf_dir).join(labels, "ord", "left").select(
+    return read(documents(spark, sf_dir)).join(labels, "ord", "left").select(
         split.alias("split"), "batch", "ord", "item"
     )
 

@@ -15,6 +15,7 @@ from ..plans.labelling import (
     template_table,
     template_tally,
 )
+from ..sources.shared import spread
 from .registry import query, table
 from .samples import FRACTIONS, rounded
 
@@ -23,6 +24,9 @@ _O = "concat('[O;D', l_suppkey % 20, ':2]')"
 GENERATED = f"""concat(
   CASE WHEN l_returnflag = 'A' THEN concat({_O}, '.', {_C}) ELSE concat({_C}, '.', {_O}) END,
   CASE WHEN l_linestatus = 'F' AND l_linenumber = 7 THEN '.' ELSE '' END, '>>', {_C}, {_O})"""
+_GENERATED_FROM = (
+    "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"
+)
 _KC = "concat('[C;H', p_size % 10, ':', p_size % 3, ']')"
 _KO = "concat('[O;D', p_partkey % 15, ':2]')"
 KNOWN = f"concat({_KC}, '.', {_KO}, '>>', {_KC}, {_KO})"
@@ -31,7 +35,7 @@ _KNOWN_SPLIT = "CASE WHEN p_retailprice < 940 THEN 'train' WHEN p_retailprice <
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").select(*_GENERATED_FROM)).select(
         F.expr("CAST(l_quantity AS INT)").alias("batch"),
         F.expr("l_orderkey * 8 + l_linenumber").alias("ord"),
         F.expr(GENERATED).alias("template"),

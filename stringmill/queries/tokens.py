@@ -21,7 +21,7 @@ from ..operators.tokenizers.grid import tokenizer_grid as train_grid
 from ..operators.tokenizers.model import model_vocab_size, wordlevel_model
 from ..operators.tokenizers.unigram import train_unigram
 from ..plans.tokenized import build_tokenized_dataset
-from ..sources.shared import cut_lineage
+from ..sources.shared import cut_lineage, spread
 from . import samples, templates
 from .registry import query, table
 
@@ -39,7 +39,7 @@ def _cut(text: str, pattern: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.documents(spark, sf_dir).select("ord", "item")
+    return spread(samples.documents(spark, sf_dir).select("ord", "item"))
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +364,7 @@ sc AS (SELECT u.*, -ln((coalesce(c.n, 0) + 1) / (coalesce(x.total, 0) + (SELECT
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples.with_split(spark, sf_dir)
+    rows = samples.with_split(spark, sf_dir, spread)
     return rows.select("split", "ord", pretokenize(F.col("item"), "CHAR").alias("tokens"))
 
 

@@ -28,3 +28,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result outlives the executors that computed it."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has too few splits for that; large inputs stay as they are.
+
+    For scans and checkpointed tables in front of work that costs more than moving the rows:
+    a file of one block would otherwise be cut, counted or encoded by one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

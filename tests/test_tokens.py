@@ -1,5 +1,6 @@
 import json
 import random
+from dataclasses import replace
 
 import pytest
 import tokenizers as lib
@@ -14,8 +15,19 @@ from stringmill.functions.pieces import PATTERNS
 from stringmill.operators import ngrams, vocab
 from stringmill.operators.tokenizers import encode as enc
 from stringmill.operators.tokenizers.bpe import shrink, train_bpe, train_wordpiece
-from stringmill.operators.tokenizers.grid import check_combination, combinations, tokenizer_grid
-from stringmill.operators.tokenizers.model import TokenModel, model_vocab_size, wordlevel_model
+from stringmill.operators.tokenizers.grid import (
+    check_combination,
+    combinations,
+    tokenizer_grid,
+    train_tokenizer,
+)
+from stringmill.operators.tokenizers.model import (
+    TokenModel,
+    from_tokenizer_json,
+    model_vocab_size,
+    to_tokenizer_json,
+    wordlevel_model,
+)
 from stringmill.operators.tokenizers.unigram import train_unigram
 from stringmill.plans.tokenized import build_tokenized_dataset, with_splits
 
@@ -87,6 +99,23 @@ def test_bpe_on_words_with_checkpoints(rows, monkeypatch):
     assert train_bpe(frame(rows, lines), 30).ids == tok.get_vocab()
 
 
+@pytest.mark.parametrize("algorithm", ["WORDLEVEL", "BPE", "WORDPIECE", "UNIGRAM"])
+def test_stored_models_open_in_the_library(rows, algorithm):
+    lines = [x for x in corpus(11) if not set(x) & set("^_ §°")]
+    df = frame(rows, lines)
+    kind = "SMARTS" if algorithm == "WORDLEVEL" else "CHAR"
+    model = train_tokenizer(df, kind, algorithm, 0 if algorithm == "WORDLEVEL" else 45)
+    text = to_tokenizer_json(model, kind)
+    tok = lib.Tokenizer.from_str(text)
+    probes = lines + ["CZ", "C" * 40]
+    got = enc.encode(frame(rows, probes), model, kind).orderBy("ord").collect()
+    assert [r.input_ids for r in got] == [tok.encode(x).ids for x in probes]
+    # the WordPiece form of the file holds no merges
+    stored = replace(model, merges=()) if algorithm == "WORDPIECE" else model
+    assert from_tokenizer_json(text) == stored
+    assert from_tokenizer_json(tok.to_str()).ids == model.ids
+
+
 def test_min_frequency_and_small_goal(rows):
     df = frame(rows, ["abab", "abc", "x"])
     assert train_bpe(df, 50, min_frequency=4).merges == ()
