@@ -60,27 +60,24 @@ def key_profile(gen: DataFrame, known: DataFrame | None, key: str = "key") -> Da
     )
 
 
-def _by_digest(df: DataFrame, table: DataFrame, key: str, spread_by: str) -> DataFrame:
-    rows = df.withColumn("__digest", digest(F.col(key)))
-    joined = lookup_join(rows, table.withColumnRenamed("digest", "__digest"), "__digest", spread_by=spread_by)
-    return joined.drop("__digest")
-
-
 def flag_singleton(df: DataFrame, key: str = "key", spread_by: str = "ord") -> DataFrame:
     """Adds ``unique``: the key occurs exactly once in the whole output."""
-    counts = df.groupBy(digest(F.col(key)).alias("digest")).agg(
-        (F.count("*") == 1).alias("unique")
-    )
-    return _by_digest(df, counts, key, spread_by)
+    rows = df.withColumn("__digest", digest(F.col(key)))
+    counts = rows.groupBy("__digest").agg(F.count("*").alias("__n"))
+    joined = lookup_join(rows, counts, "__digest", spread_by=spread_by, row_count="__n")
+    return joined.withColumn("unique", F.col("__n") == 1).drop("__digest", "__n")
 
 
 def flag_novel(
     gen: DataFrame, known: DataFrame, key: str = "key", spread_by: str = "ord"
 ) -> DataFrame:
     """Adds ``novel``: the key is not among the known ones."""
-    seen = known.select(digest(F.col(key)).alias("digest")).distinct()
-    joined = _by_digest(gen, seen.withColumn("__seen", F.lit(True)), key, spread_by)
-    return joined.withColumn("novel", F.col("__seen").isNull()).drop("__seen")
+    rows = gen.withColumn("__digest", digest(F.col(key)))
+    seen = known.select(digest(F.col(key)).alias("__digest")).distinct()
+    joined = lookup_join(
+        rows, seen.withColumn("__seen", F.lit(True)), "__digest", spread_by=spread_by
+    )
+    return joined.withColumn("novel", F.col("__seen").isNull()).drop("__digest", "__seen")
 
 
 def decontaminate(train: DataFrame, known: DataFrame, key: str = "item") -> DataFrame:

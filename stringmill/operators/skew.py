@@ -20,11 +20,13 @@ def _key_hash(keys: Sequence[str]) -> Column:
 
 def hot_hashes(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hashes of the most frequent keys, at most ``MAX_HOT`` rows of one long."""
+    counts = rows.select(_key_hash(keys).alias("__hash")).groupBy("__hash").count()
+    return _hottest(counts, hot_rows)
+
+
+def _hottest(counts: DataFrame, hot_rows: int) -> DataFrame:
     return (
-        rows.select(_key_hash(keys).alias("__hash"))
-        .groupBy("__hash")
-        .count()
-        .where(F.col("count") >= hot_rows)
+        counts.where(F.col("count") >= hot_rows)
         .orderBy(F.col("count").desc(), "__hash")
         .limit(MAX_HOT)
         .select("__hash", F.lit(True).alias("__hot"))
@@ -70,16 +72,24 @@ def lookup_join(
     spread_by: str | Sequence[str] = "ord",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    row_count: str | None = None,
 ) -> DataFrame:
     """Join any number of rows per key to a table with at most one row per key.
 
     Only hot keys are salted: their rows are spread by ``spread_by`` (columns that differ
     between rows of one key, so that a rerun of a task gives the same salt) and their single
     table row is repeated once per salt. Nulls match nulls. All other keys join as usual.
+    ``row_count`` names a column of the table that already holds the number of rows per key;
+    without it the rows are counted by key hash first.
     """
     keys = [on] if isinstance(on, str) else list(on)
     spread = [spread_by] if isinstance(spread_by, str) else list(spread_by)
-    hot = F.broadcast(hot_hashes(rows, keys, hot_rows))
+    if row_count is None:
+        found = hot_hashes(rows, keys, hot_rows)
+    else:
+        counts = table.select(_key_hash(keys).alias("__hash"), F.col(row_count).alias("count"))
+        found = _hottest(counts, hot_rows)
+    hot = F.broadcast(found.dropDuplicates(["__hash"]) if row_count else found)
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))
 
     left = (

@@ -11,6 +11,7 @@ from ..functions.text import clean_generated, digest, identity_key, template_key
 from ..operators.skew import lookup_join
 from ..operators.tally import ITEM_COUNTERS, TEMPLATE_COUNTERS, fractions
 from ..operators.templates import feasibility
+from ..sources.shared import stored
 
 Marks = tuple[str, str, str]
 MARKS: Marks = ("^", " ", "_")  # fixed values: prompt, padding, end of generated text
@@ -47,7 +48,7 @@ def label_generated_items(
     occurs once in the whole output, ``novel`` = it is not known (also true for invalid items),
     ``first`` = first batch of a valid key.
 
-    All flags are found on digests. The texts are shuffled once, in the last join, on the row
+    All flags are found on digests, over a table of row identities that is stored once. The texts are shuffled once, in the last join, on the row
     identity, which no two rows share.
     """
     rows = clean_items(gen.select("batch", "ord", "item"), "item", marks)
@@ -60,6 +61,8 @@ def label_generated_items(
         F.col("canonical").isNotNull().alias("valid"),
     )
     kept = slim.groupBy("batch", "key").agg(F.min("ord").alias("ord"), F.max("valid").alias("valid"))
+    # some 50 bytes per row, read for the counts, for hot keys and for the flags
+    kept = stored(kept, "kept")
 
     raw = F.col("item")
     known_key = digest(identity_key(raw, canonical(raw)) if canonical_known else raw)
@@ -125,7 +128,7 @@ def label_generated_templates(
     repeated template are the same in all its rows.
     """
     rows = clean_items(gen.select("batch", "ord", "template"), "template", marks, drop_empty=False)
-    rows = batch_distinct(rows, "template")
+    rows = stored(batch_distinct(rows, "template"), "templates")
     profile = rows.groupBy("template").agg(
         F.count("*").alias("n"), F.min("batch").alias("first_batch")
     )
@@ -133,6 +136,7 @@ def label_generated_templates(
     profile = profile.withColumn(
         "valid", (F.col("n") > 0) & template_key(F.col("template")).isNotNull()
     )
+    profile = stored(profile, "profile")
     splits = known.groupBy("template").agg(
         F.lit(True).alias("is_known"),
         F.bool_or(F.col("split") == "valid").alias("in_val"),

@@ -110,7 +110,7 @@ def stream_tally(
             return
         keys = batch.groupBy("key").agg(
             F.bool_or("valid").alias("valid"), F.bool_or("novel").alias("novel")
-        )
+        ).persist()
         seen = (
             spark.read.schema("key string, batch_id long")
             .option("basePath", f"{path}/seen")
@@ -125,6 +125,7 @@ def stream_tally(
         first = new.agg(F.count("*").alias("c2"), F.count_if("novel").alias("c3"))
         c0, c1 = total.first()
         c2, c3 = first.first()
+        keys.unpersist()
         rows = list(enumerate(zip(("generated", "valid", "unique", "novel"), (c0, c1, c2, c3))))
         spark.createDataFrame(
             [(i, c, n) for i, (c, n) in rows], "idx int, counter string, count long"

@@ -37,6 +37,9 @@ def test_hot_keys_are_salted_without_changing_the_result(rows, how):
     got = lookup_join(left, right, "key", how, hot_rows=20, salts=5)
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=key) == want
     assert hot_hashes(left, ["key"], 20).count() == 1
+    counted = right.join(left.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
+    again = lookup_join(left, counted, "key", how, hot_rows=20, salts=5, row_count="n")
+    assert sorted((tuple(r) for r in again.select(*names).collect()), key=key) == want
 
 
 def test_small_tables_are_recognised(rows, monkeypatch):
