@@ -6,9 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +33,65 @@ def with_embedding(
 def embedding_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """One row ``(n, mu, sigma)`` with the sample covariance (n - 1).
 
-    The d x d sums are combined in a tree over the executors; only the final matrix, whose
-    size depends on the vector width alone, reaches the driver.
+    One pass: every task sums its vectors to count, mean and centred products, and these are
+    merged in two steps by streaming tasks. The size of what is merged depends on the vector
+    width and the number of tasks, not on the number of rows.
     """
-    vectors = df.where(F.col(vec).isNotNull()).select(
-        array_to_vector(F.col(vec).cast("array<double>")).alias(vec)
-    )
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, vec))
-    summary = matrix.computeColumnSummaryStatistics()
-    n = int(summary.count())
-    if n < 2:
+    vectors = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+    parts = vectors.mapInArrow(_sum_vectors, _PARTS)
+    merged = parts.repartition(MERGE_TASKS).mapInArrow(_merge_parts, _PARTS)
+    total = merged.repartition(1).mapInArrow(_merge_parts, _PARTS).first()
+    if total is None or total["n"] < 2:
         raise ValueError("a covariance needs at least two rows")
-    sigma = matrix.computeCovariance().toArray().tolist()
+    width = len(total["mean"])
+    sigma = np.array(total["products"]).reshape(width, width) / (total["n"] - 1)
     return df.sparkSession.createDataFrame(
-        [(n, summary.mean().tolist(), sigma)], schemas.MOMENTS
+        [(total["n"], total["mean"], sigma.tolist())], schemas.MOMENTS
     )
 
 
+MERGE_TASKS = 16
+_PARTS = "n long, mean array<double>, products array<double>"
+_Part = tuple[int, np.ndarray, np.ndarray]
+
+
+def _merge(a: _Part | None, b: _Part) -> _Part:
+    """Count, mean and centred products of two samples together."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    shift = b[1] - a[1]
+    mean = a[1] + shift * (b[0] / n)
+    return n, mean, a[2] + b[2] + np.outer(shift, shift) * (a[0] * b[0] / n)
+
+
+def _row(part: _Part | None) -> Iterator[pa.RecordBatch]:
+    if part is not None:
+        n, mean, products = part
+        columns = [pa.array([n]), pa.array([mean.tolist()]), pa.array([products.ravel().tolist()])]
+        yield pa.RecordBatch.from_arrays(columns, ["n", "mean", "products"])
+
+
+def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = None
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            mean = x.mean(0)
+            part = _merge(part, (len(x), mean, (x - mean).T @ (x - mean)))
+    yield from _row(part)
+
+
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            mean = batch.column("mean")[i].values.to_numpy()
+            products = batch.column("products")[i].values.to_numpy()
+            part = _merge(part, (batch.column("n")[i].as_py(), mean, products.reshape(len(mean), -1)))
+    yield from _row(part)
+
+
 def covariance_entries(stats: DataFrame) -> DataFrame:
     """Long form of the moments: ``(i, j, mu_i, cov)``."""
     rows = stats.select("mu", F.posexplode("sigma").alias("i", "line"))

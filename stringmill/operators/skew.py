@@ -74,7 +74,7 @@ def lookup_join(
     salts: int = SALTS,
     row_count: str | None = None,
 ) -> DataFrame:
-    """Join any number of rows per key to a table with at most one row per key.
+    """Join any number of rows per key to a table, usually with one row per key.
 
     Only hot keys are salted: their rows are spread by ``spread_by`` (columns that differ
     between rows of one key, so that a rerun of a task gives the same salt) and their single

@@ -97,8 +97,9 @@ def feasibility(
                 F.min(F.when(has_id, F.struct("ord", "id"))).alias("first"),
             )
         )
+        # hot keys are salted here as well; each template meets each product of its key once
         hits = (
-            templates.join(products, "key")
+            lookup_join(templates, products, "key", "inner", spread_by=template)
             .where(works_with(F.col(template), F.col("product")))
             .groupBy(template)
             .agg(F.sum("ids").alias("num_works_with"), F.min("first")["id"].alias("first_id"))
