@@ -275,11 +275,11 @@ def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_split(rows, 10, 15, seed=42, key="ord", tie="ord")
 
 
-@query("SELECT o_orderkey AS ord, o_custkey FROM orders ORDER BY o_orderkey LIMIT 5000")
+@query("SELECT o_orderkey AS ord, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000")
 def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First n rows in order: the operator under test is the limit itself."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), "o_custkey")
-    return first_n(rows, 5000)
+    return first_n(rows, 1000)
 
 
 @query("SELECT doc_id AS ord, lang FROM documents ORDER BY doc_id LIMIT 1000000")
