@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
+from ..functions.text import digest, trimmed
 from .skew import lookup_join
 
 
@@ -54,8 +54,10 @@ def with_canonical_udf(
     def forms(values: pd.Series) -> pd.Series:
         return pd.Series([one(v) for v in values], dtype=object)
 
-    table = df.select(col).distinct().withColumn(out, forms(F.col(col)))
-    return _finish(lookup_join(df, table, col, spread_by=spread_by), col, out, strict)
+    key = digest(F.col(col)).alias("__digest")
+    table = df.select(col, key).distinct().select("__digest", forms(F.col(col)).alias(out))
+    joined = lookup_join(df.withColumn("__digest", key), table, "__digest", spread_by=spread_by)
+    return _finish(joined.drop("__digest"), col, out, strict)
 
 
 def _finish(df: DataFrame, col: str, out: str, strict: bool) -> DataFrame:

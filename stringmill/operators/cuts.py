@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TOP_ROWS = 100_000  # up to this size Spark's top-k is the plain and fast way
+# Spark's top-k sends this many rows per task to one task; beyond it a cut is looked for.
+TOP_ROWS = 1_000
+# a range this small is ranked by one task
+RANKED_ROWS = 100_000
 
 
 def first_n(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
@@ -28,12 +31,49 @@ def cap_rows(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
     """First ``min(n, rows)`` rows in order. ``order_by`` must be unique."""
     if n <= TOP_ROWS:
         return df.orderBy(order_by).limit(n)
-    if df.schema[order_by].dataType.typeName() in ("long", "integer", "short"):
+    kind = df.schema[order_by].dataType
+    if kind.typeName() in ("long", "integer", "short"):
         cut = _long_cut(df.select(F.col(order_by).cast("long").alias("v")), n)
         return df if cut is None else df.where(F.col(order_by) <= cut)
+    if kind.typeName() == "struct" and len(kind.fields) > 1:
+        return _struct_cut(df, n, order_by, kind.fieldNames())
     return df.orderBy(order_by).limit(n)
 
 
+def _struct_cut(df: DataFrame, n: int, order_by: str, fields: list[str]) -> DataFrame:
+    """First rows in file order: whole blocks by their counts, then rows of the last block."""
+    *outer, row = [F.col(f"{order_by}.{f}") for f in fields]
+    block = F.struct(*outer)
+    # one count per block, like the list of splits the driver holds anyway
+    sizes = sorted((tuple(r[0]), r[1]) for r in df.groupBy(block).count().collect())
+    taken = 0
+    for key, count in sizes:
+        if taken + count >= n:
+            last = F.struct(*[F.lit(v).alias(f) for v, f in zip(key, fields)])
+            inside = df.where(block == last).select(row.alias("v"))
+            cut = inside.orderBy("v").limit(n - taken).agg(F.max("v")).first()[0]
+            return df.where((block < last) | ((block == last) & (row <= cut)))
+        taken += count
+    return df
+
+
+def heaviest(df: DataFrame, weight: Column, n: int, *ties: str) -> DataFrame:
+    """The ``n`` rows with the greatest positive weight, ties by columns ascending.
+
+    Counts per power of two say which rows can be among them, so that not every task sends
+    its own top ``n`` to the last one. ``df`` is read twice: pass a stored table.
+    """
+    level = F.floor(F.log2(weight))
+    sizes = sorted(df.groupBy(level.alias("l")).count().collect(), reverse=True)  # some 60 rows
+    total = 0
+    for cut, count in sizes:
+        total += count
+        if total >= n:
+            df = df.where(level >= cut)
+            break
+    return df.orderBy(weight.desc(), *ties).limit(n)
+
+
 def _long_cut(values: DataFrame, n: int) -> int | None:
     """The n-th smallest of unique longs; None when there are at most n."""
     low, high, rows = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
@@ -43,7 +83,7 @@ def _long_cut(values: DataFrame, n: int) -> int | None:
     while True:
         width = (high - low) // 4096 + 1
         inside = values.where(F.col("v").between(low, high))
-        if width == 1 or rows <= TOP_ROWS:
+        if width == 1 or rows <= RANKED_ROWS:
             return inside.orderBy("v").limit(n - taken).agg(F.max("v")).first()[0]
         # at most 4096 count rows come back
         for bucket, count in sorted(

@@ -39,12 +39,11 @@ SMALL_BYTES = 32 * 2**20
 
 
 def is_small(table: DataFrame) -> bool:
-    """Whether a table is within the broadcast bounds. Reads at most ``SMALL_ROWS`` rows of it."""
+    """Whether a table is within the broadcast bounds, by one aggregate over it."""
     texts = [F.octet_length(f.name) for f in table.schema.fields if f.dataType.typeName() == "string"]
     size = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(8 * len(table.columns)))
     rows, size = (
         table.select(size.cast("long").alias("b"))
-        .limit(SMALL_ROWS + 1)
         .agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)))
         .first()
     )

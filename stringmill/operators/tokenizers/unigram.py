@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ...functions.pieces import pretokenize
 from ...functions.text import SPECIAL_TOKENS
-from ...sources.shared import cut_lineage, spread
+from ...sources.shared import cut_lineage, spread, stored
+from ..cuts import heaviest
 from .lattice import Lattice, chunks, expected_uses
 from .model import TokenModel, line_counts
 
@@ -74,12 +75,10 @@ def train_unigram(
     target = max(MIN_VOCAB, vocab_size + len(specials)) - len(specials)
     lines = cut_lineage(spread(cut_lineage(line_counts(items, col))))
     chars = F.length("piece") == 1
-    counts = _seed_pieces(lines).where((F.col("n") > 1) | chars)
-    seeds = (
-        counts.orderBy(chars.desc(), (F.col("n") * F.length("piece")).desc(), "piece")
-        .limit(MAX_SEEDS)
-        .collect()
-    )
+    counts = stored(_seed_pieces(lines).where((F.col("n") > 1) | chars), "seeds")
+    seeds = counts.where(chars).collect()  # one row per character
+    longer = counts.where(~chars)
+    seeds += heaviest(longer, F.col("n") * F.length("piece"), MAX_SEEDS, "piece").collect()
     score = {r["piece"]: float(r["n"] * len(r["piece"])) for r in seeds if r["piece"] not in specials}
     required = {p for p in score if len(p) == 1}
     fallback = {p: 1e-6 for p in specials if len(p) == 1}  # specials may occur as characters

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.pieces import pretokenize
 from ..functions.text import BOS, DELETED_PREFIX, EOS, SPECIAL_TOKENS
-from ..sources.shared import cut_lineage
+from ..sources.shared import cut_lineage, stored
+from .cuts import heaviest
 
 MAX_WORDLEVEL = 30_000  # fixed value: size limit of a word-level vocabulary
 
@@ -55,10 +56,11 @@ def vocab_rank(
 ) -> DataFrame:
     """Ids of a word-level vocabulary: specials, then count descending, token ascending.
 
-    The top ``limit`` tokens are picked in parallel; only those are numbered.
+    Only the top ``limit`` tokens are numbered.
     """
     room = limit - len(specials)
-    words = top_frequent(counts.where(~F.col("token").isin(*specials)), room)
+    plain = stored(counts.where(~F.col("token").isin(*specials)), "counts")
+    words = heaviest(plain, F.col("count"), room, "token")
     rank = F.row_number().over(W.orderBy(F.col("count").desc(), "token"))
     ranked = words.select("token", (rank + len(specials) - 1).cast("int").alias("id"))
     fixed = counts.sparkSession.createDataFrame(

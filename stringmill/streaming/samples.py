@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.text import clean_generated, identity_key, trimmed
+from ..functions.text import clean_generated, digest, identity_key, trimmed
 from ..operators.tally import fractions
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 
 
 def stream_label(
@@ -24,16 +24,18 @@ def stream_label(
 ) -> DataFrame:
     """Cleaned items with ``canonical, key, valid, novel``; known keys are a static table ``(key)``.
 
-    The static side is made distinct, so the left join never multiplies rows.
+    The static side is made distinct, so the left join never multiplies rows, and stored as
+    digests, so a batch reads no more than those.
     """
     rows = stream.withColumn(col, clean_generated(F.col(col), *marks))
     if drop_empty:
         rows = rows.where(F.length(col) > 0)
     rows = rows.withColumn("canonical", canonical(F.col(col)))
     rows = rows.withColumn("key", identity_key(F.col(col), F.col("canonical")))
-    seen = known.select("key").distinct().withColumn("__seen", F.lit(True))
-    return rows.join(seen, "key", "left").select(
-        *[c for c in rows.columns],
+    seen = stored(known.select(digest(F.col("key")).alias("__digest")).distinct(), "known")
+    seen = seen.withColumn("__seen", F.lit(True))
+    return rows.withColumn("__digest", digest(F.col("key"))).join(seen, "__digest", "left").select(
+        *rows.columns,
         F.col("canonical").isNotNull().alias("valid"),
         F.col("__seen").isNull().alias("novel"),
     )
@@ -42,11 +44,13 @@ def stream_label(
 def stream_first_seen(
     stream: DataFrame, key: str = "key", watermark: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Each key once over all batches. With a watermark (column, delay) the state is bounded:
+    """Each key once over all batches; the state holds digests. With a watermark (column, delay) the state is bounded:
     a key counts as new again after the delay."""
+    rows = stream.withColumn("__digest", digest(F.col(key)))
     if watermark is None:
-        return stream.dropDuplicates([key])
-    return stream.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
+        return rows.dropDuplicates(["__digest"]).drop("__digest")
+    bounded = rows.withWatermark(*watermark)
+    return bounded.dropDuplicatesWithinWatermark(["__digest"]).drop("__digest")
 
 
 def run_available(stream: DataFrame, name: str, options: Callable[[DataStreamWriter], DataStreamWriter] | None = None) -> DataFrame:
@@ -108,11 +112,11 @@ def stream_tally(
     def process(batch: DataFrame, batch_id: int) -> None:
         if state["stopped"]:
             return
-        keys = batch.groupBy("key").agg(
+        keys = batch.groupBy(digest(F.col("key")).alias("key")).agg(
             F.bool_or("valid").alias("valid"), F.bool_or("novel").alias("novel")
         ).persist()
         seen = (
-            spark.read.schema("key string, batch_id long")
+            spark.read.schema("key binary, batch_id long")
             .option("basePath", f"{path}/seen")
             .parquet(f"{path}/seen")
             .where(F.col("batch_id") < batch_id)
@@ -138,7 +142,7 @@ def stream_tally(
             state["stopped"] = "aborted"
 
     # an empty first folder, so that the table of seen keys exists from the start
-    spark.createDataFrame([], "key string, valid boolean, novel boolean").write.parquet(
+    spark.createDataFrame([], "key binary, valid boolean, novel boolean").write.parquet(
         f"{path}/seen/batch_id=-1"
     )
     query = (

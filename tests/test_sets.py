@@ -116,6 +116,7 @@ def test_first_rows(rows, monkeypatch):
     df = rows("ord long, v int", *[(o, 1) for o in order])
     want = sorted(order)
     monkeypatch.setattr(cuts, "TOP_ROWS", 50)
+    monkeypatch.setattr(cuts, "RANKED_ROWS", 60)
     for n in (1, 49, 51, 500, 2999, 3000):
         assert sorted(r.ord for r in cuts.first_n(df, n).collect()) == want[:n]
     assert cuts.cap_rows(df, 10_000).count() == 3000
@@ -123,6 +124,16 @@ def test_first_rows(rows, monkeypatch):
         cuts.first_n(df, 3001)
 
 
+def test_heaviest_rows(rows):
+    rng = random.Random(2)
+    data = [(f"t{i}", rng.choice([1, 2, 3, 4, 7, 8, 9, 1000, 2**40])) for i in range(200)]
+    df = rows("token string, w long", *data)
+    want = sorted(data, key=lambda r: (-r[1], r[0]))
+    for n in (1, 5, 60, 199, 500):
+        got = [tuple(r) for r in cuts.heaviest(df, F.col("w"), n, "token").collect()]
+        assert got == want[:n]
+
+
 def test_canonical_forms(rows):
     df = rows("ord long, item string", (1, " a "), (2, "  "), (3, "grow"), (4, " a "))
     assert [r.canonical for r in with_canonical(df).orderBy("ord").collect()] == ["a", None, "grow", "a"]

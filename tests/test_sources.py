@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stringmill.operators.cuts import cap_rows
 from stringmill.operators.runs import (
     attach_run_registry,
     catalogue_table,
@@ -43,6 +44,8 @@ def test_order_survives_blocks(spark, tmp_path):
         df = items.read_known(spark, str(tmp_path / "a.csv"))
         assert df.rdd.getNumPartitions() > 4
         assert texts(df) == lines
+        for n in (1, 1200, 4999, 5000, 6000):
+            assert texts(cap_rows(df, n)) == lines[:n]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
