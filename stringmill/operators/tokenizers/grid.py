@@ -10,7 +10,7 @@ from ...functions.text import SPECIAL_TOKENS
 from ..vocab import train_wordlevel
 from .bpe import shrink, train_bpe, train_wordpiece
 from .model import ALGORITHMS, TokenModel, wordlevel_model
-from .unigram import train_unigram
+from .unigram import train_unigram, train_unigrams
 
 # fixed values: the grid
 KINDS = ("CHAR", "ATOM", "SMARTS")
@@ -71,15 +71,20 @@ def tokenizer_grid(
     """One model per cell of the grid.
 
     The merges of a small BPE or WordPiece vocabulary are the first merges of a larger one, so
-    each of these algorithms is trained once, at its largest size, and cut.
+    each of these algorithms is trained once, at its largest size, and cut. Unigram sizes share
+    their rounds as far as they are the same.
     """
     cells = list(cells or combinations())
     models: dict[tuple[str, str, int], TokenModel] = {}
+    unigrams = [c for c in cells if c[1] == "UNIGRAM"]
+    if unigrams:
+        trained = train_unigrams(items, [c[2] for c in unigrams], specials, col)
+        models |= {c: trained[c[2]] for c in unigrams}
     for cell in sorted(cells, key=lambda c: -c[2]):
         kind, algorithm, size = cell
         larger = [c for c in models if c[1] == algorithm and algorithm in ("BPE", "WORDPIECE")]
         if larger:
             models[cell] = shrink(models[larger[0]], size)
-        else:
+        elif cell not in models:
             models[cell] = train_tokenizer(items, kind, algorithm, size, specials=specials, col=col)
     return {cell: models[cell] for cell in cells}

@@ -72,7 +72,16 @@ def train_unigram(
     col: str = "item",
 ) -> TokenModel:
     """Piece probabilities; single characters always stay, so every line can be split."""
-    target = max(MIN_VOCAB, vocab_size + len(specials)) - len(specials)
+    return train_unigrams(items, [vocab_size], specials, col)[vocab_size]
+
+
+def train_unigrams(
+    items: DataFrame,
+    sizes: Sequence[int],
+    specials: Sequence[str] = SPECIAL_TOKENS,
+    col: str = "item",
+) -> dict[int, TokenModel]:
+    """Models of several sizes. They share all rounds until the pruning passes a size."""
     lines = cut_lineage(spread(cut_lineage(line_counts(items, col))))
     chars = F.length("piece") == 1
     counts = stored(_seed_pieces(lines).where((F.col("n") > 1) | chars), "seeds")
@@ -82,22 +91,46 @@ def train_unigram(
     score = {r["piece"]: float(r["n"] * len(r["piece"])) for r in seeds if r["piece"] not in specials}
     required = {p for p in score if len(p) == 1}
     fallback = {p: 1e-6 for p in specials if len(p) == 1}  # specials may occur as characters
-    logp = _normalise(score | fallback)
-    while True:
+    goals = {max(MIN_VOCAB, size + len(specials)) - len(specials) for size in sizes}
+
+    def settled(score: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+        logp = _normalise(score | fallback)
         for _ in range(EM_STEPS):
             rows = expected_counts(lines, logp).collect()  # at most one row per live piece
             expected = {r["piece"]: r["expected"] for r in rows if r["piece"] in score}
             score = {p: max(expected.get(p, 0.0), 1e-6) for p in score}
             logp = _normalise(score | fallback)
-        if len(score) <= max(target, len(required)):
-            break
-        size = max(target, len(required), int(len(score) * KEEP))
+        return score, logp
+
+    def pruned(score: dict[str, float], size: int) -> dict[str, float]:
         order = sorted(score, key=lambda p: (p not in required, -score[p], p))
-        score = {p: score[p] for p in order[:size]}
-        logp = _normalise(score | fallback)
-    ranked = sorted(score, key=lambda p: (-score[p], p))
-    tokens = (*specials, *ranked)
-    return TokenModel("UNIGRAM", tokens, logp={p: logp[p] for p in ranked}, specials=tuple(specials))
+        return {p: score[p] for p in order[:size]}
+
+    done: dict[int, tuple[dict[str, float], dict[str, float]]] = {}
+    state = settled(score)
+    while True:
+        score = state[0]
+        done |= {g: state for g in goals if g not in done and len(score) <= max(g, len(required))}
+        open_goals = [g for g in goals if g not in done]
+        if not open_goals:
+            break
+        natural = max(len(required), int(len(score) * KEEP))
+        for goal in open_goals:
+            if goal > natural and goal != min(open_goals):
+                done[goal] = settled(pruned(score, goal))
+        state = settled(pruned(score, max(natural, min(open_goals))))
+
+    models = {}
+    for size in sizes:
+        score, logp = done[max(MIN_VOCAB, size + len(specials)) - len(specials)]
+        ranked = sorted(score, key=lambda p: (-score[p], p))
+        models[size] = TokenModel(
+            "UNIGRAM",
+            (*specials, *ranked),
+            logp={p: logp[p] for p in ranked},
+            specials=tuple(specials),
+        )
+    return models
 
 
 def _normalise(score: dict[str, float]) -> dict[str, float]:

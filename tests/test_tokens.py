@@ -28,7 +28,7 @@ from stringmill.operators.tokenizers.model import (
     to_tokenizer_json,
     wordlevel_model,
 )
-from stringmill.operators.tokenizers.unigram import train_unigram
+from stringmill.operators.tokenizers.unigram import train_unigram, train_unigrams
 from stringmill.plans.tokenized import build_tokenized_dataset, with_splits
 
 SPECIALS = ["^", "_", " ", "§", "°"]
@@ -154,6 +154,16 @@ def test_unigram_training_properties(rows):
     assert unknown.count(3) == 1
 
 
+def test_unigram_sizes_trained_together(rows):
+    df = frame(rows, corpus(9))
+    together = train_unigrams(df, [50, 80, 3])
+    for size, model in together.items():
+        alone = train_unigram(df, size)
+        # sums over tasks may differ in the last digits
+        assert set(model.tokens) == set(alone.tokens)
+        assert model.logp == pytest.approx(alone.logp, rel=1e-6)
+
+
 def test_unigram_expected_counts_against_all_splits(rows):
     from stringmill.operators.tokenizers.unigram import expected_counts
 
