@@ -35,16 +35,20 @@ def unflatten(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat[flat != -1], offsets
 
 
+def _without_overlap(at: np.ndarray) -> np.ndarray:
+    """In a run of equal symbols every second position starts a merge."""
+    run_start = np.concatenate(([True], np.diff(at) != 1))
+    first = np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
+    return at[(np.arange(len(at)) - first) % 2 == 0]
+
+
 def apply_merge(flat: np.ndarray, left: int, right: int, new: int) -> np.ndarray:
     """Replaces the pair by the new symbol, from left to right."""
     at = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right))
     if not len(at):
         return flat
     if left == right:
-        # in a run of equal symbols every second position starts a merge
-        run_start = np.concatenate(([True], np.diff(at) != 1))
-        first = np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        at = _without_overlap(at)
     flat = flat.copy()
     flat[at] = new
     keep = np.ones(len(flat), dtype=bool)
@@ -66,21 +70,35 @@ def count_pairs(flat: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
 def encode_flat(flat: np.ndarray, codes: np.ndarray, ranks: np.ndarray, results: np.ndarray) -> np.ndarray:
     """Applies merges by rank, lowest rank present first, until none applies.
 
-    ``codes`` is sorted; ``ranks`` and ``results`` belong to it.
+    ``codes`` is sorted; ``ranks`` and ``results`` belong to it. The rank of each pair is kept
+    next to its left symbol and looked up again only around the symbols of the last merge.
     """
-    if not len(codes):
+    if not len(codes) or not len(flat):
         return flat
     none = np.iinfo(np.int64).max
     by_rank = np.argsort(ranks)
-    while True:
-        pairs = pair_code(flat[:-1], flat[1:])
-        pairs[(flat[:-1] == -1) | (flat[1:] == -1)] = -1
-        at = np.searchsorted(codes, pairs)
-        at[at == len(codes)] = 0
-        rank = np.where(codes[at] == pairs, ranks[at], none)
-        low = rank.min() if len(rank) else none
-        if low == none:
-            return flat
+
+    def rank_at(where: np.ndarray) -> np.ndarray:
+        left, right = flat[where], flat[where + 1]
+        pairs = np.where((left == -1) | (right == -1), -1, pair_code(left, right))
+        slot = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+        return np.where(codes[slot] == pairs, ranks[slot], none)
+
+    rank = np.full(len(flat), none)
+    rank[:-1] = rank_at(np.arange(len(flat) - 1))
+    while (low := rank.min()) != none:
         i = by_rank[low]
         left, right = pair_ids(int(codes[i]))
-        flat = apply_merge(flat, left, right, int(results[i]))
+        at = np.flatnonzero(rank == low)
+        if left == right:
+            at = _without_overlap(at)
+        flat[at] = results[i]
+        keep = np.ones(len(flat), dtype=bool)
+        keep[at + 1] = False
+        flat, rank = flat[keep], rank[keep]
+        merged = at - np.arange(len(at))  # one symbol less per earlier merge
+        # a line ends with -1, so a merged symbol always has a right neighbour
+        near = np.concatenate((merged, merged - 1))
+        near = near[near >= 0]
+        rank[near] = rank_at(near)
+    return flat
