@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec
+from . import bpe_codec, chunks, quality
+from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.decode(bpe_codec.encode(docs).drop("text"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(
+    """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """
+)
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
