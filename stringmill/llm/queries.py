@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, minhash, quality
+from . import bpe_codec, chunks, minhash, mixture, quality
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+@query()
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(*mixture.mix_sources(table(spark, sf_dir, "documents"))).drop("source")
