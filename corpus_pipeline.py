@@ -1,23 +1,70 @@
-"""Corpus pipeline: clean documents in, token ids out. Each stage calls one operator of llm."""
+"""Corpus pipeline: documents in, mixed and encoded training text out.
+
+Each stage calls one operator of stringmill.llm on all that the stage before it kept, and its
+decisions take effect: rejected and repeated documents are gone in the next stage. Stages take and
+return the columns of documents; the last one returns ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stringmill.llm import bpe_codec, chunks, minhash, mixture, quality
+from stringmill.llm.base import stored, text_or_empty
+
+LEAST_SCORE = 0.3
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves documents that the classifier scores at 0.3 or more. It learns from all labels."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, into="__score").where(F.col("__score") >= LEAST_SCORE).select(docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of those with equal texts: the one with the largest id."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
+    kept = chunks.exact_groups(docs).where("kept").select(key, F.col("text_sha256").alias("__digest"))
+    digest = F.sha2(text_or_empty("text").cast("binary"), 256).alias("__digest")
+    chosen = docs.select("*", key, digest).join(kept, ["__key", "__digest"], "left_semi")
+    return chosen.dropDuplicates(["__key", "__digest"]).select(docs.columns)
+
+
+def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of each near-duplicate group: the one with the smallest id."""
+    dropped = minhash.near_groups(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
 
-from stringmill.llm import bpe_codec
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' words as often as the mix draws them, one row per document and pass."""
+    rows, _, drawn = mixture.mix_sources(docs)
+    return mixture.mixed_texts(docs, rows, drawn, length="n_chars")
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode(docs)
+def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, with the digest of the bytes that they decode to."""
+    coded = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "source", "text")))
+    return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("encode", encode)]
-#: The classifier is trained and the near-duplicate classes are found iteratively: no SQL.
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", distinct_documents),
+    ("MinHash near-dedup", unlike_documents),
+    ("mixing sources to target weights", mixed_documents),
+    ("byte-level BPE encoding and decoding", encoded_documents),
+]
+#: A trained classifier and pseudorandom draws: SQL cannot say them; a brute-force version tests it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each reading the written result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name.replace(" ", "-"))
     return docs
