@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, minhash, mixture, quality
+from . import bpe_codec, chunks, minhash, mixture, quality, substrings
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,23 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(*mixture.mix_sources(table(spark, sf_dir, "documents"))).drop("source")
+
+
+@query(
+    r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM docs)),
+    hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+    last AS (SELECT w.doc_id, w.j, w.word, max(h.i) OVER (PARTITION BY w.doc_id ORDER BY w.j) AS i FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id AND h.i = w.j),
+    told AS (SELECT doc_id, j, word, coalesce(i >= j - 34, false) AS gone FROM last)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+    FROM docs d LEFT JOIN (
+        SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS k FROM told GROUP BY doc_id) t USING (doc_id)
+    """
+)
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"), n=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
