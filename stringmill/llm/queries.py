@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, minhash, mixture, quality, substrings
+from . import bpe_codec, chunks, kneser_ney, minhash, mixture, quality, substrings
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,10 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.without_repeats(table(spark, sf_dir, "documents"), n=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.fit(docs.where(crc_bucket("doc_id", 10) != 0))
+    return kneser_ney.score(docs, model).withColumn("held_out", crc_bucket("doc_id", 10) == 0)
