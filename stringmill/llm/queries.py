@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, kneser_ney, minhash, mixture, quality, substrings
+from . import bpe_codec, chunks, kneser_ney, language, minhash, mixture, quality, substrings
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,11 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.fit(docs.where(crc_bucket("doc_id", 10) != 0))
     return kneser_ney.score(docs, model).withColumn("held_out", crc_bucket("doc_id", 10) == 0)
+
+
+@query()
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(crc_bucket("doc_id", 3) != 1))
+    found = language.predict(docs, model).withColumn("n_spans", F.size("spans"))
+    return found.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_spans")
