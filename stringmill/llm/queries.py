@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, kneser_ney, language, minhash, mixture, quality, substrings
+from . import bpe_codec, chunks, kneser_ney, language, minhash, mixture, neighbours, quality, substrings
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(crc_bucket("doc_id", 3) != 1))
     found = language.predict(docs, model).withColumn("n_spans", F.size("spans"))
     return found.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+@query()
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
