@@ -86,9 +86,13 @@ def chunk_table(docs: DataFrame, mean: int = MEAN_BYTES, bits: int = 64) -> Data
     return docs.select("text").mapInArrow(run, "chunk_key long, chunk binary").distinct()
 
 
-def clashes(chunks: DataFrame) -> DataFrame:
-    """Chunks whose key stands for several byte strings, with their rank under the key."""
-    several = chunks.groupBy("chunk_key").agg(F.count("*").alias("n")).where("n > 1").select("chunk_key")
+def clashing_keys(chunks: DataFrame) -> DataFrame:
+    """Keys that stand for several byte strings; past the distinct chunks only 16 bytes each move."""
+    return chunks.groupBy("chunk_key").agg(F.count("*").alias("n")).where("n > 1").select("chunk_key")
+
+
+def clashes(chunks: DataFrame, several: DataFrame) -> DataFrame:
+    """Chunks behind clashing keys, with their rank under the key."""
     order = Window.partitionBy("chunk_key").orderBy("chunk")
     return chunks.join(several, "chunk_key", "left_semi").select("chunk_key", "chunk", F.row_number().over(order).alias("chunk_rank"))
 
@@ -127,18 +131,23 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", mean:
     """
     rows = id_and_text(docs, key, text)
     keyed = recipes(rows, mean, bits)
-    clashing = stored(clashes(chunk_table(rows, mean, bits)), "clashes")
-    if not clashing.isEmpty():
+    chunks = chunk_table(rows, mean, bits)
+    several = stored(clashing_keys(chunks), "clashing")
+    if not several.isEmpty():
+        clashing = stored(clashes(chunks, several), "clashes")
         keyed = _verified(rows, keyed, clashing, mean, bits)
     # rows that agree in id and recipe travel as one
     same = keyed.groupBy("doc_id", "recipe").agg(F.count("*").alias("copies"), F.first("text_sha256").alias("text_sha256"))
     same = stored(same, "recipes")
-    groups = same.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    found = same.join(groups, "recipe").select(
+    groups = same.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")).where("group_size > 1")
+    # a table of its own, so that the join below can split the rows of a large group
+    groups = stored(groups, "groups")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    found = same.join(groups, "recipe", "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        keep_id.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         "text_sha256",
         F.size("recipe").alias("n_chunks"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
