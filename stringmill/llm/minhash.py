@@ -6,8 +6,8 @@
 2. Classes that share a bucket are candidates. In each bucket all members are linked with one centre
    only, and every link is confirmed on the full sets of both texts.
 3. Confirmed links give components. A bucket whose members all fell into one component is settled.
-   Buckets with several components get another centre, and finally every pair of a bucket whose ends
-   still lie in different components is confirmed or refused: stars save work, they lose no link.
+   In the others, pairs whose ends lie in different components are compared too, block by block
+   inside tasks, and only links that join components come out: stars save work, they lose no link.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .words import Words, list_array, mix, rolling, slices, words_of
 ROWS = 5
 MISS = 1e-6
 TRIES = 256
-STAR_ROUNDS = 2
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 
 
 def band_count(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -118,17 +119,94 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, rep, n with the component of each member, for buckets of several components only."""
-    labels = components(links)
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, rep, n and component of the members of buckets that still hold several components.
+
+    Also block, the members' part of a large bucket, and blocks, their number. Blocks grow with the
+    root of the bucket, so that the copies of a member do too, and shrink where sets are large.
+    """
     rows = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    open_ = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return stored(rows.join(open_, "bucket", "left_semi"), "open")
+    state = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.max("n").alias("largest")).where("low < high")
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(BLOCK * 16), F.sqrt("m") * 16))
+    size = F.greatest(F.lit(16), F.least(size, F.lit(BLOCK_SHINGLES) / F.col("largest")))
+    blocks = F.ceil(F.col("m") / size).cast("int")
+    open_ = stored(state.select("bucket", blocks.alias("blocks")), "open")
+    found = rows.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks").cast("long")).cast("int"))
+    return found.select("rep", "bucket", "component", "block", "blocks")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over the values that both sides hold."""
+    sides = []
+    for sets in (left, right):
+        values = np.concatenate(sets)
+        sides.append((values, np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        hit = np.flatnonzero(shared[at] == values) if len(shared) else np.zeros(0, int)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        places.append((at[order], owner[order]))
+    for low in range(0, len(shared), 4096):
+        parts = []
+        for (at, owner), sets in zip(places, (left, right)):
+            a, b = np.searchsorted(at, [low, low + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[a:b], at[a:b] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
 
 
-def _fits(percent: int):
-    """Only sets of similar size can be similar enough."""
-    return F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent
+def _joins(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between components only those that join two that were apart before."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        u, v = top(x), top(y)
+        if u != v:
+            above[u] = v
+            out.append((x, y))
+    return out
+
+
+def across(open_members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links a, b between components, from all pairs of a bucket that lie in different components.
+
+    Every pair of blocks is one group of bounded size; pairs are compared inside it and only links
+    that join components leave it.
+    """
+    with_text = open_members.join(texts, "rep")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = with_text.withColumn("other", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "text")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        sets = []
+        for batch in slices(rows.select(["text"]).to_batches(), "text"):
+            sets += shingle_sets(words_of(batch.column("text"), lower=True), n)
+        block, component = rows.column("block").to_numpy(), rows.column("component").to_numpy()
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            common = _common([sets[x] for x in left], [sets[x] for x in right]).astype(np.int64)
+            sizes = np.array([len(x) for x in sets])
+            union = sizes[left][:, None] + sizes[right][None, :] - common
+            good = (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
+            x, y = np.nonzero(good)
+            links = _joins(component[left][x], component[right][y])
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -150,23 +228,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     wanted = members.select("rep").distinct()
     texts = stored(rows.join(wanted, rows.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text"), "candidates")
     links = stored(confirm(members.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), texts, n, percent), "links")
-    members = members.select("bucket", "rep", "n")
-    for turn in range(STAR_ROUNDS):
-        left = _labelled(members, links)
-        if left.isEmpty():
-            break
-        # another centre: the member with the largest hash of this turn, whatever its component
-        rank = F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("a"), F.col("component").alias("c"), F.col("n").alias("other_n"))
-        stars = left.groupBy("bucket").agg(F.max(rank).alias("s")).select("bucket", "s.*")
-        pairs = left.join(stars, "bucket").where((F.col("component") != F.col("c")) & _fits(percent)).select("a", F.col("rep").alias("b")).distinct()
-        links = stored(links.unionAll(confirm(pairs, texts, n, percent)), "links")
-    else:
-        left = _labelled(members, links)
-        if not left.isEmpty():
-            other = left.select("bucket", F.col("rep").alias("a"), F.col("component").alias("c"), F.col("n").alias("other_n"))
-            pairs = left.join(other, "bucket").where((F.col("a") < F.col("rep")) & (F.col("component") != F.col("c")) & _fits(percent)).select("a", F.col("rep").alias("b")).distinct()
-            links = stored(links.unionAll(confirm(pairs, texts, n, percent)), "links")
-    labels = components(links)
+    labels = stored(components(links), "labels")
+    more = stored(across(_open_members(members.select("bucket", "rep", "n"), labels), texts, n, percent), "links")
+    if not more.isEmpty():
+        above = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        found = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        # components of one document have no label of their own yet
+        alone = above.join(labels.select(F.col("component")).distinct(), "component", "left_anti")
+        labels = found.unionAll(alone.select(F.col("component").alias("node"), F.col("top").alias("component")))
     by_class = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     found = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")

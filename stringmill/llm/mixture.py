@@ -205,7 +205,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rows = small.join(F.broadcast(table.select("source_no", F.col("source").alias("name"))), _same(F.col("source"), F.col("name"))).withColumn("copy", F.row_number().over(twin))
     rows = rows.select(F.struct("doc_id", "tie", "copy").alias("row_id"), "doc_id", "source_no", "size")
     rows = stored(positions(rows), "rows")
-    drawn = slots(spark, sources, shard_slots, seed).join(blocks_of(rows, block), ["source_no", "block"])
+    # both sides grow with the data; the size that Spark guesses for generated slots is far too small
+    drawn = slots(spark, sources, shard_slots, seed).join(blocks_of(rows, block).hint("merge"), ["source_no", "block"])
     return rows, table, drawn.select("shard", "slot", "epoch", "source_no", "block", "row_id", "word_from", "word_to")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, kneser_ney, language, minhash, mixture, neighbours, quality, substrings
+from . import bpe_codec, chunks, id_files, kneser_ney, language, minhash, mixture, neighbours, quality, substrings
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -118,3 +118,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query()
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.write_and_read(table(spark, sf_dir, "documents")).drop("ids")
