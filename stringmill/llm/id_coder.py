@@ -19,7 +19,7 @@ import numpy as np
 
 BLOCK = 4096
 _MAGIC = b"IDMIX1\0\0"
-_HEAD = struct.Struct("<8sQIIIQ")  # magic, ids, block length, distinct ids, order-0 bits, header bytes
+_HEAD = "<8sQIIIQ"  # magic, ids, block length, distinct ids, order-0 bits, header bytes
 _SLOTS = 12  # bits of the context tables
 _ONE = 1 << 16
 
@@ -107,7 +107,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     frequency = _frequencies(counts, bits) if len(kinds) else np.zeros(0, np.int64)
     lanes, tail = _layout(len(ids), block)
     head = zlib.compress(np.diff(kinds.astype(np.int64), prepend=0).astype("<u4").tobytes() + frequency.astype("<u4").tobytes(), 6)
-    out = [_HEAD.pack(_MAGIC, len(ids), block, len(kinds), bits, len(head)), head]
+    out = [struct.pack(_HEAD, _MAGIC, len(ids), block, len(kinds), bits, len(head)), head]
     if lanes:
         digits, sizes = _encode_lanes(ranks, frequency, bits, block, lanes, tail)
         sums = np.array([zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4")) for i in range(lanes)], "<u4")
@@ -182,10 +182,10 @@ def _flush(digits: np.ndarray, place: np.ndarray, low: np.ndarray) -> None:
 
 def decode(stream: bytes) -> np.ndarray:
     """The ids of a stream. A block whose checksum differs is an error that names the block."""
-    magic, n, block, kinds, bits, size = _HEAD.unpack_from(stream)
+    magic, n, block, kinds, bits, size = struct.unpack_from(_HEAD, stream)
     if magic != _MAGIC:
         raise ValueError("not an id stream")
-    at = _HEAD.size
+    at = struct.calcsize(_HEAD)
     head = np.frombuffer(zlib.decompress(stream[at : at + size]), "<u4").astype(np.int64)
     names, frequency = np.cumsum(head[:kinds]), head[kinds:]
     at += size

@@ -37,7 +37,7 @@ FILE_BYTES = 24 << 20
 STREAM_IDS = 8 << 20
 CACHE_WORDS = 2_000_000
 _MAGIC = b"IDFILE1\0"
-_HEAD = struct.Struct("<8sQQI")  # magic, documents, bytes of the document table, its checksum
+_HEAD = "<8sQQI"  # magic, documents, bytes of the document table, its checksum
 
 
 class WordIds:
@@ -116,7 +116,7 @@ def _file(docs: list[pa.Array], counts: list[np.ndarray], streams: list[bytes])
     n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     table = known.fill_null(0).to_numpy().astype("<i8").tobytes() + known.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes() + n.astype("<i8").tobytes()
     table = zlib.compress(table, 1)
-    yield _HEAD.pack(_MAGIC, len(known), len(table), zlib.crc32(table))
+    yield struct.pack(_HEAD, _MAGIC, len(known), len(table), zlib.crc32(table))
     yield table
     yield struct.pack("<I", len(streams))
     for s in streams:
@@ -178,8 +178,8 @@ def read(spark: SparkSession, folder: str, starts: dict[int, int] | None = None)
 
 
 def _documents(raw: memoryview, start: int) -> Iterator[pa.RecordBatch]:
-    magic, n, size, check = _HEAD.unpack_from(raw)
-    at = _HEAD.size
+    magic, n, size, check = struct.unpack_from(_HEAD, raw)
+    at = struct.calcsize(_HEAD)
     if magic != _MAGIC or zlib.crc32(raw[at : at + size]) != check:
         raise ValueError("not an id file, or its document table is damaged")
     table = zlib.decompress(raw[at : at + size])
