@@ -17,10 +17,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 1024
 _MAGIC = b"IDMIX1\0\0"
 _HEAD = "<8sQIIIQ"  # magic, ids, block length, distinct ids, order-0 bits, header bytes
-_SLOTS = 12  # bits of the context tables
+_SLOTS = 10  # bits of the context tables
 _ONE = 1 << 16
 
 

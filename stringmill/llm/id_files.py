@@ -34,8 +34,10 @@ from .words import Words, ragged, slices, words_of
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 FILE_BYTES = 24 << 20
-STREAM_IDS = 8 << 20
+STREAM_IDS = 2 << 20
 CACHE_WORDS = 2_000_000
+LINE_WORDS = 256
+MARK = " <|endoftext|> "  # a special token of the tokenizer: no match goes across it
 _MAGIC = b"IDFILE1\0"
 _HEAD = "<8sQQI"  # magic, documents, bytes of the document table, its checksum
 
@@ -51,6 +53,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(MARK.strip())
         self.clear()
 
     def clear(self) -> None:
@@ -58,12 +61,33 @@ class WordIds:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _add(self, words: Words, at: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+    def _encoded(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words from the library, and the number of ids of each.
+
+        Words go in lines with a special token between them, which ends every match on both sides.
+        A line that comes back with another number of marks holds the mark itself: its words are
+        then sent one by one.
+        """
         raw = words.data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(f) for f in found], np.int64)
-        flat = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
+        lines = [texts[i : i + LINE_WORDS] for i in range(0, len(texts), LINE_WORDS)]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for low in range(0, len(lines), 64):  # few encodings at a time are in memory
+            some = lines[low : low + 64]
+            for line, made in zip(some, self.tokenizer.encode_batch_fast([MARK.join(x) for x in some], add_special_tokens=False)):
+                found = np.array(made.ids, np.int32)
+                cuts = np.flatnonzero(found == self.mark)
+                if len(cuts) == len(line) - 1:
+                    ids.append(np.delete(found, cuts))
+                    sizes.append(np.diff(np.concatenate([[-1], cuts, [len(found)]])) - 1)
+                else:
+                    alone = [e.ids for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
+                    ids.append(np.array([i for x in alone for i in x], np.int32))
+                    sizes.append(np.array([len(x) for x in alone], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _add(self, words: Words, at: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        flat, sizes = self._encoded(words, at)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -86,8 +110,7 @@ class WordIds:
                 self._add(words, first[new], keys[new], checks[first[new]])
                 at = np.searchsorted(self.keys, keys)
             if (self.checks[at][place] != checks).any():  # two words under one first hash: no shortcut for this slice
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([words.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.starts, words.ends)], add_special_tokens=False)]
-                return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
+                return self._encoded(words, np.arange(len(words.starts)))
             sizes = self.sizes[at][place]
             return self.pool[ragged(self.starts[at][place], sizes)], sizes
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
