@@ -197,7 +197,8 @@ def decode(stream: bytes) -> np.ndarray:
         raise ValueError("block index: checksum differs")
     sizes, sums = np.frombuffer(index, "<u4").reshape(lanes, 2).astype(np.int64).T
     at += 4 + 8 * lanes
-    digits = np.append(np.frombuffer(stream, "<u2", int(sizes.sum()), at), np.zeros(8, np.uint16)).astype(np.uint64)
+    # an id takes three digits at most: a damaged block reads on, but never past this
+    digits = np.append(np.frombuffer(stream, "<u2", int(sizes.sum()), at), np.zeros(3 * block + 8, np.uint16)).astype(np.uint64)
     ranks = _decode_lanes(digits, np.cumsum(sizes) - sizes, frequency, bits, block, lanes, tail)
     ids = names[ranks.T.reshape(-1)[:n]].astype("<u4")
     for i in range(lanes):
