@@ -38,6 +38,7 @@ STREAM_IDS = 2 << 20
 CACHE_WORDS = 2_000_000
 LINE_WORDS = 256
 MARK = " <|endoftext|> "  # a special token of the tokenizer: no match goes across it
+SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
 _MAGIC = b"IDFILE1\0"
 _HEAD = "<8sQQI"  # magic, documents, bytes of the document table, its checksum
 
@@ -199,7 +200,7 @@ def read(spark: SparkSession, folder: str, starts: dict[int, int] | None = None)
                 yield from _documents(memoryview(content.as_buffer()), given.get(number, 0))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.idf").load(folder).select("path", "content")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return files.mapInArrow(run, SCHEMA)
 
 
 def _documents(raw: memoryview, start: int) -> Iterator[pa.RecordBatch]:
@@ -241,6 +242,8 @@ def write_and_read(docs: DataFrame, folder: str | None = None, **options) -> Dat
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "id-files")
     made = sorted((r["number"], r["ids"]) for r in write(docs, folder, **options).collect())
+    if not made:  # an empty table has no file
+        return spark.createDataFrame([], SCHEMA)
     starts, total = {}, 0
     for number, n in made:
         starts[number], total = total, total + n

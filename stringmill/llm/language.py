@@ -135,7 +135,7 @@ class Model:
         buckets, owner = features(words, self.bits)
         n = len(words.starts)
         total = np.stack([np.bincount(owner, self.table[buckets, i], n) for i in range(len(self.languages))], 1)
-        total /= np.maximum(np.bincount(owner, minlength=n), 1)[:, None] ** 0.5
+        total = total / np.maximum(np.bincount(owner, minlength=n), 1)[:, None] ** 0.5
         allowed = self.uses[scripts_of(words)]
         total[~allowed & allowed.any(1)[:, None]] = -50.0
         return total.astype(np.float32)
