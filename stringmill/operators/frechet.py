@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ def _merge(a: _Part | None, b: _Part) -> _Part:
     """Count, mean and centred products of two samples together."""
     if a is None:
         return b
+    if len(a[1]) != len(b[1]):
+        raise ValueError(f"vectors of different lengths: {len(a[1])}, {len(b[1])}")
     n = a[0] + b[0]
     shift = b[1] - a[1]
     mean = a[1] + shift * (b[0] / n)
@@ -76,6 +79,9 @@ def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = None
     for batch in batches:
         if batch.num_rows:
+            widths = pc.list_value_length(batch.column("v")).unique()
+            if len(widths) > 1:
+                raise ValueError(f"vectors of different lengths: {widths.to_pylist()[:5]}")
             x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
             mean = x.mean(0)
             part = _merge(part, (len(x), mean, (x - mean).T @ (x - mean)))

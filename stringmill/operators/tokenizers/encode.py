@@ -19,7 +19,6 @@ from .merges import encode_flat, flatten, pair_code, unflatten
 from .model import PREFIX, TokenModel
 
 MAX_LENGTH = 1024  # fixed value: default sequence length of a model
-WORDPIECE_MAX_CHARS = 1024  # fixed value: longer lines are one unknown token
 _IDS = T.ArrayType(T.IntegerType())
 
 
@@ -104,7 +103,7 @@ def _wordpiece_line(model: TokenModel) -> Callable[[str], list[int]]:
 
     def one(line: str) -> list[int]:
         """Longest match first; a line that cannot be covered is one unknown token."""
-        if len(line) > WORDPIECE_MAX_CHARS:
+        if len(line) > model.max_word:
             return [unk]
         out, start = [], 0
         while start < len(line):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ...functions.text import SPECIAL_TOKENS
-from ..vocab import train_wordlevel
+from ..vocab import MAX_WORDLEVEL, train_wordlevel
 from .bpe import shrink, train_bpe, train_wordpiece
 from .model import ALGORITHMS, TokenModel, wordlevel_model
 from .unigram import train_unigram, train_unigrams
@@ -50,11 +50,13 @@ def train_tokenizer(
     specials: Sequence[str] = SPECIAL_TOKENS,
     pattern: str | None = None,
     col: str = "item",
+    wordlevel_limit: int = MAX_WORDLEVEL,
 ) -> TokenModel:
+    """One model; a word-level vocabulary takes all pieces up to ``wordlevel_limit`` tokens."""
     check_combination(kind, algorithm, max(0, vocab_size))
     algorithm, min_frequency = algorithm.upper(), max(1, min_frequency)
     if algorithm == "WORDLEVEL":
-        return wordlevel_model(train_wordlevel(items, kind, pattern, col, specials), tuple(specials))
+        return wordlevel_model(train_wordlevel(items, kind, pattern, col, specials, wordlevel_limit), tuple(specials))
     if algorithm == "BPE":
         return train_bpe(items, vocab_size, min_frequency, specials, col)
     if algorithm == "WORDPIECE":

@@ -14,6 +14,7 @@ from ...functions.text import SPECIAL_TOKENS
 
 ALGORITHMS = ("WORDLEVEL", "BPE", "WORDPIECE", "UNIGRAM")
 PREFIX = "##"  # fixed value: mark of a WordPiece token inside a word
+MAX_WORD = 1024  # fixed value: length limit of a WordPiece line where a model names none
 MAX_MODEL = 1_000_000  # tokens a driver-held model may have
 
 
@@ -26,6 +27,7 @@ class TokenModel:
     merges: tuple[tuple[str, str], ...] = ()
     logp: dict[str, float] = field(default_factory=dict)
     specials: tuple[str, ...] = SPECIAL_TOKENS
+    max_word: int = MAX_WORD  # WordPiece: a longer line is one unknown token
 
     @property
     def ids(self) -> dict[str, int]:
@@ -66,7 +68,7 @@ class TokenModel:
 
 
 def to_tokenizer_json(
-    model: TokenModel, kind: str = "CHAR", pattern: str | None = None, max_word: int = 1024
+    model: TokenModel, kind: str = "CHAR", pattern: str | None = None
 ) -> str:
     """The model as a ``tokenizer.json`` text, the exchange format of tokenizer libraries."""
     ids = model.ids
@@ -110,7 +112,7 @@ def to_tokenizer_json(
             "type": "WordPiece",
             "unk_token": unk,
             "continuing_subword_prefix": PREFIX,
-            "max_input_chars_per_word": max_word,
+            "max_input_chars_per_word": model.max_word,
             "vocab": ids,
         }
         decoder = {"type": "WordPiece", "prefix": PREFIX, "cleanup": False}
@@ -147,7 +149,8 @@ def from_tokenizer_json(text: str) -> TokenModel:
         return TokenModel(algorithm, tuple(t for t, _ in core["vocab"]), logp=scores, specials=specials)
     tokens = tuple(sorted(core["vocab"], key=core["vocab"].get))
     merges = [m.split(" ") if isinstance(m, str) else m for m in core.get("merges", [])]
-    return TokenModel(algorithm, tokens, tuple((a, b) for a, b in merges), specials=specials)
+    longest = core.get("max_input_chars_per_word", MAX_WORD)
+    return TokenModel(algorithm, tokens, tuple((a, b) for a, b in merges), specials=specials, max_word=longest)
 
 
 def wordlevel_model(vocab: DataFrame, specials: tuple[str, ...] = SPECIAL_TOKENS) -> TokenModel:

@@ -75,9 +75,10 @@ def train_wordlevel(
     pattern: str | None = None,
     col: str = "item",
     specials: Sequence[str] = SPECIAL_TOKENS,
+    limit: int = MAX_WORDLEVEL,
 ) -> DataFrame:
-    """Word-level vocabulary of a corpus; every piece counts, however rare."""
-    return vocab_rank(piece_counts(items, kind, pattern, col), specials)
+    """Word-level vocabulary of a corpus: its ``limit`` most frequent tokens, marks included."""
+    return vocab_rank(piece_counts(items, kind, pattern, col), specials, limit)
 
 
 def vocab_size_report(vocab: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS) -> DataFrame:

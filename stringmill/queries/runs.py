@@ -13,7 +13,7 @@ from .registry import query, table
 
 _REGISTRY = """
 WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, concat('order ', o_orderkey) AS run_name,
-                  concat('cust_', o_custkey) AS stem FROM orders WHERE o_totalprice > 400000),
+                  concat('cust_', o_custkey) AS stem FROM orders),
 a AS (SELECT stem, CASE WHEN count(*) > 1 THEN 'Multiple' ELSE min(run_id) END AS run_id,
              CASE WHEN count(*) > 1 THEN 'Multiple' ELSE min(run_name) END AS run_name FROM r GROUP BY stem),
 att AS (SELECT c.c_custkey, concat('cust_', c.c_custkey) AS stem, a.run_id, a.run_name
@@ -26,7 +26,6 @@ def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     registry = (
         table(spark, sf_dir, "orders")
-        .where("o_totalprice > 400000")
         .select(
             F.col("o_orderkey").cast("string").alias("run_id"),
             F.concat(F.lit("order "), "o_orderkey").alias("run_name"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,12 @@ from .. import schemas
 from ..functions.text import is_header
 from ..operators.cuts import first_n
 
-# fixed values: file name parts that say which split a file holds
-SPLIT_NAMES = {"train": "train", "val": "validation", "test": "test"}
+# fixed values: words in a path that say which split a file holds
+SPLIT_NAMES = {
+    "train": ("train", "training"),
+    "validation": ("validation", "valid", "dev", "val"),
+    "test": ("test", "testing", "eval", "evaluation"),
+}
 
 # Above this many files the header test is one Spark job over all first blocks.
 PEEK_FILES = 256
@@ -50,12 +57,15 @@ def _csv(spark: SparkSession, header: bool, multiline: bool = False):
     )
 
 
-def _files_with_header(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+def _by_first_line(spark: SparkSession, paths: list[str], said: Column) -> dict[object, list[str]]:
+    """The files in groups of what ``said`` tells of their first line, ``value``."""
     lines = spark.read.text(paths)
-    files = lines.inputFiles()
-    text = F.ltrim(F.col("value"), F.lit('"'))
+    files = [unquote(f) for f in lines.inputFiles()]
+    told = {}
     if len(files) <= PEEK_FILES:
-        flags = {f: spark.read.text(f).limit(1).where(is_header(text)).count() > 0 for f in files}
+        for f in files:
+            row = spark.read.text(f).limit(1).select(said.alias("told")).first()
+            told[f] = row and row["told"]
     else:
         first = (
             lines.where(F.col("_metadata.file_block_start") == 0)
@@ -68,8 +78,33 @@ def _files_with_header(spark: SparkSession, paths: list[str]) -> tuple[list[str]
             .agg(F.min_by("value", "row").alias("value"))
         )
         # one row per file, like the file listing the driver holds anyway
-        flags = {r.file: r.flag for r in first.select("file", is_header(text).alias("flag")).collect()}
-    return [f for f in sorted(flags) if flags[f]], [f for f in sorted(flags) if not flags[f]]
+        told = {unquote(r.file): r.told for r in first.select("file", said.alias("told")).collect()}
+    groups = defaultdict(list)
+    for f in sorted(told):
+        groups[told[f]].append(f)
+    return groups
+
+
+def _files_with_header(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    groups = _by_first_line(spark, paths, is_header(F.ltrim(F.col("value"), F.lit('"'))))
+    return groups[True], groups[False] + groups[None]
+
+
+def _header_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """The files as one table per header line: names hold for the files that carry them."""
+    whole = _csv(spark, True).csv(paths)
+    if len(whole.inputFiles()) == 1:
+        return [whole]
+    groups = _by_first_line(spark, paths, F.col("value"))
+    groups.pop(None, None)  # files without a line
+    return [_csv(spark, True).csv(files) for files in groups.values()] or [whole]
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 def read_items(
@@ -97,10 +132,7 @@ def read_items(
         for flag, files in groups
         if files
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return _union(parts)
 
 
 def read_known(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -114,17 +146,24 @@ def read_table(
     columns: Sequence[str] | None = None,
     renames: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Named columns of files with a header line, all as strings, plus ``ord``."""
+    """Named columns of files with a header line, all as strings, plus ``ord``.
+
+    Each file's own header names its columns, whatever their order. A file without one of the
+    columns is an error; without ``columns`` the first file's are asked for.
+    """
     paths = _paths(path)
-    raw = _csv(spark, True).csv(paths)
-    names = list(columns) if columns else raw.columns
-    missing = [c for c in names if c not in raw.columns]
+    groups = _header_groups(spark, paths)
+    names = list(columns) if columns else groups[0].columns
+    missing = sorted({c for raw in groups for c in names if c not in raw.columns})
     if missing:
         raise ValueError(f"no column {missing} in {paths}")
     renames = renames or {}
-    return raw.select(
-        file_order().alias("ord"), *[F.col(f"`{c}`").alias(renames.get(c, c)) for c in names]
-    )
+    return _union([
+        raw.select(
+            file_order().alias("ord"), *[F.col(f"`{c}`").alias(renames.get(c, c)) for c in names]
+        )
+        for raw in groups
+    ])
 
 
 def read_reactions(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -150,34 +189,55 @@ def read_generated(
     Nulls are dropped, then the first ``n`` rows are taken; more than there are is an error.
     """
     paths = _paths(path)
-    raw = _csv(spark, True).csv(paths)
-    if valid_only and not {"smiles", "valid"} <= set(raw.columns):
+    groups = _header_groups(spark, paths)
+    if valid_only and not all({"smiles", "valid"} <= set(raw.columns) for raw in groups):
         raise ValueError("valid_only needs the columns smiles and valid")
-    if "smiles" in raw.columns:
-        rows = raw.where(F.lower("valid") == "true") if valid_only else raw
-        rows = rows.select(file_order().alias("ord"), F.col("smiles").alias("item"))
-    else:
-        rows = read_items(spark, paths, header=False)
-    rows = rows.dropna(subset=["item"])
+    parts = []
+    for raw in groups:
+        if "smiles" in raw.columns:
+            kept = raw.where(F.lower("valid") == "true") if valid_only else raw
+            parts.append(kept.select(file_order().alias("ord"), F.col("smiles").alias("item")))
+    bare = [f for raw in groups if "smiles" not in raw.columns for f in map(unquote, raw.inputFiles())]
+    if bare:
+        parts.append(read_items(spark, bare, header=False))
+    rows = _union(parts).dropna(subset=["item"])
     return rows if n is None else first_n(rows, n)
 
 
+def split_word(words: Sequence[str]) -> str:
+    """Pattern of one of the words standing by itself between ends, digits and ``-._/`` or blanks."""
+    return "(?i)(?:^|[-._ 0-9/])(?:" + "|".join(words) + ")(?:[-._ 0-9/]|$)"
+
+
 def read_split_dir(
     spark: SparkSession, directory: str, suffixes: Sequence[str] = ("csv", "txt")
 ) -> DataFrame:
-    """A folder of headerless files as ``(split, ord, item)``; the path below it names the split."""
-    below = F.substring_index(F.col("_metadata.file_path"), directory.rstrip("/"), -1)
-    name = F.lower(below)
-    split = F.coalesce(*[F.when(name.contains(k), F.lit(v)) for k, v in SPLIT_NAMES.items()])
+    """A folder of headerless files as ``(split, ord, item)``; the path below it names the split.
+
+    When no path holds a split's word, all files are training files. When some do, a file with
+    none or with words of several splits is in doubt, which is an error: no file is left out
+    unseen.
+    """
     glob = "*.{" + ",".join(s + z for s in suffixes for z in ("", ".gz", ".bz2")) + "}"
-    return (
+    rows = (
         _csv(spark, False)
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
         .csv(directory, schema=schemas.ITEMS)
-        .select(split.alias("split"), file_order().alias("ord"), "item")
-        .where(F.col("split").isNotNull())
     )
+    end = directory.rstrip("/")
+    named = {}
+    for f in map(unquote, rows.inputFiles()):
+        below = f.rpartition(end)[2]
+        named[f] = [s for s, words in SPLIT_NAMES.items() if re.search(split_word(words), below)]
+    split = F.lit("train")
+    if any(named.values()):
+        doubt = sorted(f for f, splits in named.items() if len(splits) != 1)
+        if doubt:
+            raise ValueError(f"no split, or more than one, in the names of {doubt[:5]}")
+        below = F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), end, -1)
+        split = F.coalesce(*[F.when(below.rlike(split_word(words)), F.lit(s)) for s, words in SPLIT_NAMES.items()])
+    return rows.select(split.alias("split"), file_order().alias("ord"), "item")
 
 
 def merge_tables(

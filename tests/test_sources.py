@@ -86,6 +86,42 @@ def test_split_dir(spark, tmp_path):
     assert got == [("test", "d"), ("train", "a"), ("train", "b"), ("validation", "c")]
 
 
+def test_split_dir_words(spark, tmp_path):
+    plain, mixed = tmp_path / "plain", tmp_path / "mixed"
+    plain.mkdir(), mixed.mkdir()
+    for name in ("part0.csv", "retrain.csv", "latest.csv"):
+        (plain / name).write_text(f"{name}\n")
+    got = {(r.split, r.item) for r in items.read_split_dir(spark, str(plain)).collect()}
+    assert got == {("train", "part0.csv"), ("train", "retrain.csv"), ("train", "latest.csv")}
+    for name in ("dev.csv", "evaluation.csv", "My Training-1+2.csv"):
+        (mixed / name).write_text(f"{name}\n")
+    got = {(r.split, r.item) for r in items.read_split_dir(spark, str(mixed)).collect()}
+    assert got == {("validation", "dev.csv"), ("test", "evaluation.csv"), ("train", "My Training-1+2.csv")}
+    (mixed / "other.csv").write_text("x\n")
+    with pytest.raises(ValueError, match="other.csv"):
+        items.read_split_dir(spark, str(mixed))
+
+
+@pytest.mark.parametrize("peek", [0, 256])
+def test_header_of_each_file(spark, tmp_path, monkeypatch, peek):
+    monkeypatch.setattr(items, "PEEK_FILES", peek)
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n4,3\n")
+    rows = items.read_table(spark, str(tmp_path)).orderBy("ord")
+    assert [(r.x, r.y) for r in rows.collect()] == [("1", "2"), ("3", "4")]
+    (tmp_path / "c.csv").write_text("y,z\n4,3\n")
+    with pytest.raises(ValueError, match="no column"):
+        items.read_table(spark, str(tmp_path))
+
+
+def test_generated_with_two_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("smiles,valid\nC,True\nD,False\n")
+    (tmp_path / "b.csv").write_text("valid,smiles\nTrue,N\n")
+    assert [r.item for r in items.read_generated(spark, str(tmp_path)).orderBy("ord").collect()] == ["C", "D", "N"]
+    kept = items.read_generated(spark, str(tmp_path), valid_only=True).orderBy("ord")
+    assert [r.item for r in kept.collect()] == ["C", "N"]
+
+
 def test_merge(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\nx,1\ny,2\nx,3\n")
     (tmp_path / "b.csv").write_text("k,v\ny,2\nz,4\n")

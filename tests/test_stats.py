@@ -124,3 +124,10 @@ def test_evaluation(rows, tmp_path):
         evaluate_items(g)
     with pytest.raises(ValueError, match="no canonical form"):
         precompute_stats(r.withColumn("item", F.lit(" ")), str(tmp_path / "x"))
+
+
+def test_ragged_vectors_are_refused(spark):
+    for parts in (1, 4):
+        df = spark.createDataFrame([([1.0, 2.0],), ([3.0],), ([4.0, 5.0, 6.0],), ([7.0, 8.0],)], "embedding array<double>")
+        with pytest.raises(Exception, match="different lengths"):
+            embedding_stats(df.repartition(parts)).collect()

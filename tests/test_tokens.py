@@ -321,3 +321,19 @@ def test_next_token_accuracy(rows):
     df = rows("predictions array<int>, labels array<int>", ([1, 2, 3], [9, 1, 5]), ([4], [4]), ([7, 7], [0, 7]))
     r = ngrams.next_token_accuracy(df).first()
     assert (r.n_tokens, r.accuracy) == (3, pytest.approx(2 / 3))
+
+
+def test_wordpiece_limit_is_kept(spark):
+    model = TokenModel("WORDPIECE", (*SPECIALS, "a", "##a"), max_word=1100)
+    stored = from_tokenizer_json(to_tokenizer_json(model))
+    assert stored == model
+    df = spark.createDataFrame([(0, "a" * 1100), (1, "a" * 1101)], "ord long, item string")
+    sizes = [len(r.ids) for r in df.select(enc.raw_ids(F.col("item"), stored).alias("ids"), "ord").orderBy("ord").collect()]
+    assert sizes == [1100, 1]
+    assert lib.Tokenizer.from_str(to_tokenizer_json(model)).encode("a" * 1100, add_special_tokens=False).ids == [len(SPECIALS)] + [len(SPECIALS) + 1] * 1099
+
+
+def test_wordlevel_limit(spark):
+    df = spark.createDataFrame([("aab",), ("ac",)], "item string")
+    model = train_tokenizer(df, wordlevel_limit=len(SPECIALS) + 1)
+    assert model.tokens == (*SPECIALS, "a")
