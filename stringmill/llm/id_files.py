@@ -29,7 +29,7 @@ from stringmill.sources.shared import shared_path
 from . import id_coder
 from .base import id_and_text, text_or_empty
 from .hash_files import _put
-from .words import Words, ragged, slices, text_bytes, words_of
+from .words import Words, ascii_lower, ragged, slices, words_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -126,9 +126,8 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None)
     """doc_id, ids of all texts of a slice, and the number of ids of each text."""
     source = _word_ids(path)
     for batch in slices(batches, "text"):
-        # the tokenizer lower-cases all but special tokens, which all begin alike
-        special = b"<|" in text_bytes(batch.column("text"))[0].tobytes()
-        words = words_of(batch.column("text"), lower=not special)
+        # the tokenizer lower-cases all but special tokens, which all begin alike, but composes letters and marks first
+        words = ascii_lower(words_of(batch.column("text")), b"<|")
         ids, sizes = source.of(words)
         counts = np.diff(np.append(0, np.cumsum(sizes))[words.first])
         if end_id is not None:

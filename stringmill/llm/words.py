@@ -143,6 +143,23 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, offsets, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets))
 
 
+def ascii_lower(words: Words, but: bytes) -> Words:
+    """The same words with A-Z in lower case, except words that hold other than ASCII or the two bytes but.
+
+    A letter followed by a combining mark may have a composed form in one case only, so that lower
+    case before and after normalisation differ: such words stay as they are.
+    """
+    kept = words.data >= 128
+    kept[:-1] |= (words.data[:-1] == but[0]) & (words.data[1:] == but[1])
+    data = _LOWER[words.data]
+    if kept.any():
+        total = np.append(0, np.cumsum(kept))
+        at = np.flatnonzero(total[words.ends] > total[words.starts])
+        own = ragged(words.starts[at], (words.ends - words.starts)[at])
+        data[own] = words.data[own]
+    return Words(data, words.offsets, words.starts, words.ends, words.first)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All indices start, start + 1, ... of several runs, one run after the other."""
     ends = np.cumsum(lengths)

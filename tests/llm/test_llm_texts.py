@@ -102,6 +102,17 @@ def test_id_files_of_odd_rows(odd):
     assert id_files.write_and_read(odd.limit(0)).count() == 0
 
 
+def test_id_files_compose_letters_and_marks_before_lower_case(spark):
+    """Some letters have a composed form with a mark in lower case only; '<|' elsewhere changes nothing."""
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [" ".join(f"{letter}{m} {letter.lower()}{m} x{letter}{m}y" for m in marks) for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    texts += ["die T\u0308ur", "<|ENDOFTEXT|> Die T\u0308ur <|endoftext|>", "A<", "|B", "Plain ASCII Words", "\u0130 \u212a \u03a3\u0391\u03a3 IT'S"]
+    rows = list(enumerate(texts))
+    for some in (rows, rows[:27]):  # with and without '<|' in the slice
+        got = id_files.write_and_read(spark.createDataFrame(some, "doc_id long, text string")).orderBy("doc_id").collect()
+        assert [tuple(r)[:4] for r in got] == expected_files(some)
+
+
 def test_damaged_id_file_is_an_error():
     with pytest.raises(ValueError, match="not an id file"):
         list(id_files._documents(memoryview(b"IDFILE0\0" + bytes(64)), 0))
