@@ -10,7 +10,7 @@ from ...functions.text import SPECIAL_TOKENS
 from ..vocab import MAX_WORDLEVEL, train_wordlevel
 from .bpe import shrink, train_bpe, train_wordpiece
 from .model import ALGORITHMS, TokenModel, wordlevel_model
-from .unigram import train_unigram, train_unigrams
+from .unigram import MAX_PIECE_LENGTH, SEED_SIZE, train_unigram, train_unigrams
 
 # fixed values: the grid
 KINDS = ("CHAR", "ATOM", "SMARTS")
@@ -51,6 +51,8 @@ def train_tokenizer(
     pattern: str | None = None,
     col: str = "item",
     wordlevel_limit: int = MAX_WORDLEVEL,
+    max_piece_length: int = MAX_PIECE_LENGTH,
+    seed_size: int = SEED_SIZE,
 ) -> TokenModel:
     """One model; a word-level vocabulary takes all pieces up to ``wordlevel_limit`` tokens."""
     check_combination(kind, algorithm, max(0, vocab_size))
@@ -61,7 +63,7 @@ def train_tokenizer(
         return train_bpe(items, vocab_size, min_frequency, specials, col)
     if algorithm == "WORDPIECE":
         return train_wordpiece(items, vocab_size, min_frequency, specials, col)
-    return train_unigram(items, vocab_size, specials, col)
+    return train_unigram(items, vocab_size, specials, col, max_piece_length, seed_size)
 
 
 def tokenizer_grid(
@@ -69,6 +71,8 @@ def tokenizer_grid(
     cells: Sequence[tuple[str, str, int]] | None = None,
     specials: Sequence[str] = SPECIAL_TOKENS,
     col: str = "item",
+    max_piece_length: int = MAX_PIECE_LENGTH,
+    seed_size: int = SEED_SIZE,
 ) -> dict[tuple[str, str, int], TokenModel]:
     """One model per cell of the grid.
 
@@ -80,7 +84,7 @@ def tokenizer_grid(
     models: dict[tuple[str, str, int], TokenModel] = {}
     unigrams = [c for c in cells if c[1] == "UNIGRAM"]
     if unigrams:
-        trained = train_unigrams(items, [c[2] for c in unigrams], specials, col)
+        trained = train_unigrams(items, [c[2] for c in unigrams], specials, col, max_piece_length, seed_size)
         models |= {c: trained[c[2]] for c in unigrams}
     for cell in sorted(cells, key=lambda c: -c[2]):
         kind, algorithm, size = cell

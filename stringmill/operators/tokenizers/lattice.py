@@ -19,19 +19,19 @@ class Lattice:
         self.pieces = sorted(logp)
         self.score = np.array([logp[p] for p in self.pieces])
         self.longest = max(map(len, self.pieces))
-        children: dict[tuple[int, int], int] = {}
-        ends: dict[int, int] = {}
-        for i, piece in enumerate(self.pieces):
-            node = 0
-            for c in piece:
-                node = children.setdefault((node, ord(c)), len(children) + 1)
-            ends[node] = i
-        keys = np.array([(n << _CODE_BITS) | c for n, c in children], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.child = np.array(list(children.values()), dtype=np.int64)[order]
-        self.ends = np.full(len(children) + 1, -1, dtype=np.int64)
-        self.ends[list(ends)] = list(ends.values())
+        lengths = np.array([len(p) for p in self.pieces])
+        codes = np.array(self.pieces, f"<U{self.longest}").view(np.uint32).reshape(len(self.pieces), self.longest)
+        node, last, keys = np.zeros(len(self.pieces), dtype=np.int64), 0, []
+        for k in range(self.longest):  # nodes are numbered by depth, so keys come out sorted
+            live = np.flatnonzero(lengths > k)
+            level, place = np.unique((node[live] << _CODE_BITS) | codes[live, k].astype(np.int64), return_inverse=True)
+            node[live] = last + 1 + place
+            last += len(level)
+            keys.append(level)
+        self.keys = np.concatenate(keys)
+        self.child = np.arange(1, last + 1)
+        self.ends = np.full(last + 1, -1, dtype=np.int64)
+        self.ends[node] = np.arange(len(self.pieces))
 
     def matches(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Piece starting at each character per length (row k = length k + 1); -1 = none.

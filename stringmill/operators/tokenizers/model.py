@@ -28,6 +28,7 @@ class TokenModel:
     logp: dict[str, float] = field(default_factory=dict)
     specials: tuple[str, ...] = SPECIAL_TOKENS
     max_word: int = MAX_WORD  # WordPiece: a longer line is one unknown token
+    left_out: dict[str, int] = field(default_factory=dict, compare=False)  # Unigram: candidates that did not start
 
     @property
     def ids(self) -> dict[str, int]:

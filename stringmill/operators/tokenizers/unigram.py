@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ...functions.pieces import pretokenize
@@ -18,16 +18,18 @@ from .lattice import Lattice, chunks, expected_uses
 from .model import TokenModel, line_counts
 
 MIN_VOCAB = 44  # fixed value: smallest vocabulary, special tokens counted
-MAX_PIECE = 8  # characters of a seed piece
-MAX_SEEDS = 50_000  # seed pieces that start the EM
+# the library's values
+MAX_PIECE_LENGTH = 16  # characters of a piece
+SEED_SIZE = 1_000_000  # seed pieces of two or more characters that start the EM
+MIN_COUNT = 2  # occurrences of a seed piece of two or more characters
 KEEP = 0.75  # share of pieces that survive one pruning
 EM_STEPS = 2
 
 _EXPECTED = "piece string, expected double"
 
 
-def _seed_pieces(lines: DataFrame) -> DataFrame:
-    """All substrings up to ``MAX_PIECE`` characters with their counts."""
+def _seed_pieces(lines: DataFrame, longest: int) -> DataFrame:
+    """All substrings up to ``longest`` characters with their counts."""
 
     def grams(chars: F.Column, k: int) -> F.Column:
         last = F.size(chars) - k
@@ -41,11 +43,41 @@ def _seed_pieces(lines: DataFrame) -> DataFrame:
     chars = F.col("chars")
     split = lines.select("n", pretokenize(F.col("line"), "CHAR").alias("chars"))
     pieces = split.select(
-        "n", F.explode(F.concat(*[grams(chars, k) for k in range(1, MAX_PIECE + 1)])).alias("piece")
+        "n", F.explode(F.concat(*[grams(chars, k) for k in range(1, longest + 1)])).alias("piece")
     )
     return pieces.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def undominated(counts: DataFrame) -> DataFrame:
+    """Pieces without those that a longer piece of the same count always contains; characters stay."""
+    length = F.length("piece")
+    inner = F.array(F.substring("piece", F.lit(1), length - 1), F.substring("piece", F.lit(2), length - 1))
+    within = counts.where(length > 2).select(F.explode(inner).alias("piece"), F.lit(0).alias("n"), F.col("n").alias("above"))
+    both = counts.select("piece", "n", F.lit(0).alias("above")).unionAll(within)
+    found = both.groupBy("piece").agg(F.max("n").alias("n"), F.max("above").alias("above"))
+    return found.where((F.col("n") > F.col("above")) | (length == 1)).select("piece", "n")
+
+
+def seed_pieces(lines: DataFrame, longest: int, most: int, least: int) -> tuple[dict[str, int], dict[str, int]]:
+    """Counts of the pieces that start the EM, and the numbers of those left out.
+
+    Left out are ``rare`` pieces, ``dominated`` ones, and those ``beyond`` the heaviest ``most``.
+    All characters are kept.
+    """
+    chars = F.length("piece") == 1
+    seen = Observation()
+    all_pieces = _seed_pieces(lines, longest).observe(seen, F.count(F.lit(1)).alias("n"))
+    counts = stored(all_pieces.where((F.col("n") >= least) | chars), "counts")
+    kept = stored(undominated(counts), "seeds")
+    longer = kept.where(~chars)
+    frequent, fit, many = counts.count(), kept.count(), longer.count()
+    if many > most:
+        longer = heaviest(longer, F.col("n") * F.length("piece"), most, "piece")
+    seeds = kept.where(chars).collect() + longer.collect()  # one row per character, and most
+    left_out = {"rare": seen.get["n"] - frequent, "dominated": frequent - fit, "beyond": max(0, many - most)}
+    return {r["piece"]: r["n"] for r in seeds}, left_out
+
+
 def expected_counts(lines: DataFrame, logp: dict[str, float]) -> DataFrame:
     """Expected uses of each piece over the corpus, summed in the task before the shuffle."""
     lattice = Lattice(logp)
@@ -70,9 +102,12 @@ def train_unigram(
     vocab_size: int,
     specials: Sequence[str] = SPECIAL_TOKENS,
     col: str = "item",
+    max_piece_length: int = MAX_PIECE_LENGTH,
+    seed_size: int = SEED_SIZE,
+    min_count: int = MIN_COUNT,
 ) -> TokenModel:
     """Piece probabilities; single characters always stay, so every line can be split."""
-    return train_unigrams(items, [vocab_size], specials, col)[vocab_size]
+    return train_unigrams(items, [vocab_size], specials, col, max_piece_length, seed_size, min_count)[vocab_size]
 
 
 def train_unigrams(
@@ -80,15 +115,19 @@ def train_unigrams(
     sizes: Sequence[int],
     specials: Sequence[str] = SPECIAL_TOKENS,
     col: str = "item",
+    max_piece_length: int = MAX_PIECE_LENGTH,
+    seed_size: int = SEED_SIZE,
+    min_count: int = MIN_COUNT,
 ) -> dict[int, TokenModel]:
-    """Models of several sizes. They share all rounds until the pruning passes a size."""
+    """Models of several sizes. They share all rounds until the pruning passes a size.
+
+    Candidates are all substrings of up to ``max_piece_length`` characters that occur at least
+    ``min_count`` times, except those that a longer one of the same count contains; the heaviest
+    ``seed_size`` of them start. ``left_out`` of each model tells how many did not.
+    """
     lines = cut_lineage(spread(cut_lineage(line_counts(items, col))))
-    chars = F.length("piece") == 1
-    counts = stored(_seed_pieces(lines).where((F.col("n") > 1) | chars), "seeds")
-    seeds = counts.where(chars).collect()  # one row per character
-    longer = counts.where(~chars)
-    seeds += heaviest(longer, F.col("n") * F.length("piece"), MAX_SEEDS, "piece").collect()
-    score = {r["piece"]: float(r["n"] * len(r["piece"])) for r in seeds if r["piece"] not in specials}
+    seeds, left_out = seed_pieces(lines, max_piece_length, seed_size, min_count)
+    score = {p: float(n * len(p)) for p, n in seeds.items() if p not in specials}
     required = {p for p in score if len(p) == 1}
     fallback = {p: 1e-6 for p in specials if len(p) == 1}  # specials may occur as characters
     goals = {max(MIN_VOCAB, size + len(specials)) - len(specials) for size in sizes}
@@ -129,6 +168,7 @@ def train_unigrams(
             (*specials, *ranked),
             logp={p: logp[p] for p in ranked},
             specials=tuple(specials),
+            left_out=left_out,
         )
     return models
 

@@ -164,6 +164,38 @@ def test_unigram_sizes_trained_together(rows):
         assert model.logp == pytest.approx(alone.logp, rel=1e-6)
 
 
+def test_unigram_seeds_against_all_substrings(rows):
+    from stringmill.operators.tokenizers.model import line_counts
+    from stringmill.operators.tokenizers.unigram import seed_pieces
+
+    lines = corpus(4, "abc", 25) + ["xabcdefghijklmnopqrstuvwx", "yabcdefghijklmnopqrstuvwz"]
+    counts = {}
+    for line in lines:
+        for i in range(len(line)):
+            for j in range(i + 1, min(i + 16, len(line)) + 1):
+                counts[line[i:j]] = counts.get(line[i:j], 0) + 1
+    frequent = {p: n for p, n in counts.items() if n > 1 or len(p) == 1}
+    inner = {(q, n) for p, n in frequent.items() if len(p) > 2 for q in (p[1:], p[:-1])}
+    want = {p: n for p, n in frequent.items() if len(p) == 1 or (p, n) not in inner}
+    assert max(map(len, want)) == 16
+    left_out = {"rare": len(counts) - len(frequent), "dominated": len(frequent) - len(want), "beyond": 0}
+    items = line_counts(frame(rows, lines))
+    assert seed_pieces(items, 16, 10**6, 2) == (want, left_out)
+    few, left_out = seed_pieces(items, 16, 5, 2)
+    longer = {p: n for p, n in want.items() if len(p) > 1}
+    heavy = sorted(longer, key=lambda p: (-longer[p] * len(p), p))[:5]
+    assert few == {p: n for p, n in want.items() if len(p) == 1 or p in heavy}
+    assert left_out["beyond"] == len(longer) - 5
+
+
+def test_unigram_learns_pieces_of_any_given_length(rows):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("mnopq") for _ in range(rng.randint(1, 9))) + "abcdefghijkl" + rng.choice("mnopq") for _ in range(80)]
+    model = train_unigram(frame(rows, lines), 60)
+    assert any("abcdefghijkl" in t for t in model.tokens)
+    assert max(map(len, train_unigram(frame(rows, lines), 60, max_piece_length=4).tokens)) <= 4
+
+
 def test_unigram_expected_counts_against_all_splits(rows):
     from stringmill.operators.tokenizers.unigram import expected_counts
 
