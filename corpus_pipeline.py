@@ -32,9 +32,16 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each near-duplicate group: the one with the smallest id."""
-    dropped = minhash.near_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Leaves one document of each near-duplicate group: the one with the smallest id.
+
+    Rows are numbered in order of their ids and removed by number, so that different texts under one
+    id are judged apart. Rows with a null id have no number and stay.
+    """
+    order = [F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text")]
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("__row")
+    rows = stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).select("*", number), "numbered")
+    dropped = minhash.near_groups(rows, key="__row").where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(dropped, "__row", "left_anti").select(docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,13 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(df.where("vec_id = 4"), df).count() == 0
 
 
+def test_near_dedup_stage_judges_texts_under_one_id_apart(spark):
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, long), (2, long + " end"), (2, "another text under the second id"), (3, "third text stands alone here"), (None, long), (0, long + " tail")]
+    left = corpus_pipeline.unlike_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF_DIR)
+    assert {tuple(r) for r in left.collect()} == {rows[i] for i in (2, 3, 4, 5)}
+
+
 def test_pipeline_against_brute_force(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
     scores = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
