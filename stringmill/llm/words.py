@@ -13,12 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+LONG_WORD = 64
+_LANE_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,44 +34,81 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Rolling:
-    """Polynomial hashes of any spans of a sequence from one running sum (modulo 2**64)."""
+_BASE = 0x5D2E_9C1B_7F4A_8E63  # any odd number; one table of its powers serves all hashes
+_BLOCK = 1 << 17
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers 0 to n at least of the base and of its inverse."""
+    if len(_powers[0]) <= n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(1 << n.bit_length(), base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers
 
-    def __init__(self, seed: int):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.bytes = rng.integers(0, 2**64, 256, np.uint64)
-        self.base = int(rng.integers(0, 2**63)) * 2 + 1
-        self._up = self._down = np.ones(1, np.uint64)
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) <= n:
-            size = 1 << n.bit_length()
+class Rolling:
+    """Polynomial hashes of spans of a sequence from one running sum (modulo 2**64).
 
-            def powers(base: int) -> np.ndarray:
-                steps = np.full(size, base % 2**64, np.uint64)
-                steps[0] = 1
-                return np.cumprod(steps)
+    For spans of up to 64 values. The low bits of longer ones depend on few bits of the values where
+    these alternate in the pattern of Thue and Morse, so windows() joins longer windows from parts.
+    """
 
-            self._up, self._down = powers(self.base), powers(pow(self.base, -1, 2**64))
-        return self._up, self._down
+    def __init__(self, seed: int):
+        self.seed = np.uint64(seed)
+        self.bytes = np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, 256, np.uint64)
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[start:end] for each span."""
-        up, down = self._powers(len(values))
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=total[1:])
-        h = total[ends]
-        h -= total[starts]
-        h *= down[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
-
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.spans(self.bytes[data], starts, ends)
+        """Hash of values[start:end] for each span; starts ascend. Sums run block by block."""
+        out = np.empty(len(starts), np.uint64)
+        edges = np.append(np.searchsorted(starts, np.arange(0, max(len(values), 1), _BLOCK)), len(starts))
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            low, high = int(starts[a]), int(ends[a:b].max())
+            up, down = _power_tables(high - low + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(values[low:high] * up[: high - low], out=total[1:])
+            h = total[ends[a:b] - low]
+            h -= total[starts[a:b] - low]
+            h *= down[starts[a:b] - low]
+            out[a:b] = mix(h + (ends[a:b] - starts[a:b]).astype(np.uint64))
+        return out
 
     def windows(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """Hash of each run of n consecutive values."""
-        starts = np.arange(max(len(hashes) - n + 1, 0))
-        return self.spans(hashes, starts, starts + n)
+        many = max(len(hashes) - n + 1, 0)
+        width = min(n, 64)
+        starts = np.arange(max(len(hashes) - width + 1, 0))
+        out = self.spans(hashes, starts, starts + width)
+        while width < n:
+            step = min(width, n - width)
+            out = mix(mix(out[: len(out) - step] + self.seed) ^ out[step:]) if len(out) > step else out[:0]
+            width += step
+        return out[:many]
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the bytes of each span: eight bytes a step, the library's hash for those above LONG_WORD."""
+    lengths = ends - starts
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    first = int(mix(np.array([seed], np.uint64))[0])
+    h = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(first)
+    live = np.flatnonzero(lengths <= LONG_WORD)
+    at = 0
+    while len(live):
+        rest = lengths[live] - at
+        lane = lanes[starts[live] + at]
+        lane &= _LANE_MASKS[np.minimum(rest, 8)]
+        h[live] = mix(h[live] ^ lane)
+        at += 8
+        live = live[rest > 8]
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]], first)
+    return h
 
 
 @lru_cache(None)
@@ -87,7 +127,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        return rolling(seed).words(self.data, self.starts, self.ends)
+        return _span_hashes(self.data, self.starts, self.ends, seed)
 
     def texts(self) -> np.ndarray:
         """Index of the text of each word."""
@@ -124,15 +164,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             low = high
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Splits all texts into words, with A-Z in lower case where asked for."""
+def words_of(texts: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """Splits all texts into words, with A-Z in lower case where asked for; space marks the bytes between words."""
     data, offsets = text_bytes(texts)
     if lower:
         data = _LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
