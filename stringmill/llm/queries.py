@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.queries.registry import Query, table
 
-from . import bpe_codec, chunks, id_files, kneser_ney, language, minhash, mixture, neighbours, quality, substrings
+from . import bpe_codec, chunks, id_files, infill, kneser_ney, language, licences, minhash, mixture, neighbours, quality, substrings, vector_codes
 from .base import crc_bucket
 
 QUERIES: dict[str, Query] = {}
@@ -123,3 +123,71 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.write_and_read(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query(
+    r"""
+    WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS d FROM documents),
+    drawn AS (
+        SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+               list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(d, i, 8))::BIGINT) AS h
+        FROM docs),
+    cuts AS (
+        SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM drawn),
+    parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts
+    """
+)
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restored(infill.rearranged(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def _codebook_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of exact assignment and floored means over all rows; squares stay below 2**53, so doubles are exact."""
+    nearest = """
+    a{r} AS MATERIALIZED (
+        SELECT vec_id, part, x, unnest(arg_min(e, [d, e::DOUBLE], 1)) AS e, min(d) AS d
+        FROM (SELECT vec_id, part, x, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM parts JOIN b{r} USING (part))
+        GROUP BY vec_id, part, x)"""
+    means = """
+    b{n} AS MATERIALIZED (
+        SELECT part, e, coalesce(m, c) AS c
+        FROM b{r} LEFT JOIN (
+            SELECT part, e, list(m ORDER BY i) AS m
+            FROM (SELECT part, e, i, floor(sum(x[i]) / count(*)) AS m FROM a{r}, range(1, len(x) + 1) AS t(i) GROUP BY part, e, i)
+            GROUP BY part, e) USING (part, e))"""
+    steps = [nearest.format(r=0)]
+    for r in range(rounds):
+        steps += [means.format(r=r, n=r + 1), nearest.format(r=r + 1)]
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    parts AS MATERIALIZED (SELECT vec_id, p AS part, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(p)),
+    b0 AS MATERIALIZED (
+        SELECT part, e, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}) USING (vec_id)),
+    {",".join(steps)},
+    digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, e)) AS h FROM b{rounds}),
+    coded AS (
+        SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id), digest
+    """
+
+
+@query(_codebook_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.scanned(table(spark, sf_dir, "documents")))

@@ -93,7 +93,7 @@ class Rolling:
 def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """Hash of the bytes of each span: eight bytes a step, the library's hash for those above LONG_WORD."""
     lengths = ends - starts
-    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    lanes = _lane(data)
     first = int(mix(np.array([seed], np.uint64))[0])
     h = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(first)
     live = np.flatnonzero(lengths <= LONG_WORD)
@@ -116,6 +116,11 @@ def rolling(seed: int) -> Rolling:
     return Rolling(seed)
 
 
+def _lane(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 @dataclass
 class Words:
     """Words of some texts: byte spans, and the index of the first word of each text."""
@@ -142,6 +147,20 @@ class Words:
         return out, left >= n
 
 
+def same_words(words: Words, at: np.ndarray, others: Words, place: np.ndarray) -> np.ndarray:
+    """Whether words and others have equal bytes, pair by pair."""
+    sizes = words.ends[at] - words.starts[at]
+    equal = sizes == others.ends[place] - others.starts[place]
+    lanes, other_lanes = _lane(words.data), _lane(others.data)
+    live, done = np.flatnonzero(equal), 0
+    while len(live):
+        mask = _LANE_MASKS[np.minimum(sizes[live] - done, 8)]
+        equal[live] = (lanes[words.starts[at[live]] + done] ^ other_lanes[others.starts[place[live]] + done]) & mask == 0
+        done += 8
+        live = live[equal[live] & (sizes[live] > done)]
+    return equal
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; nulls are empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
