@@ -1,39 +1,46 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-A bounded sample gives centroids (balanced splitting until parts are small). Every vector is posted
-to its nearest centroid, and to others nearly as near, so that neighbours across a boundary share a
-list. Centroids are found by best-first search in a neighbour graph held in memory. A query reads
-the lists whose centroid is not much farther than its nearest one; how much is measured on the
-sample, by brute force, so that RECALL of the true neighbours there lie in a list that is read.
-(In the whole table neighbours are nearer than in a sample of it, so its recall is no lower.)
+A bounded sample gives centroids (balanced splitting until parts are small), about as many as the
+root of the number of rows. Every vector is posted to its nearest centroid and, near a boundary, to others
+nearly as near. Centroids are found by best-first search in a neighbour graph held in memory. A query
+reads the lists whose centroid is not much farther than its nearest one. How many replicas a vector
+has and how far a query reads are measured: PROBES rows of the sample are compared with ALL rows in
+one map over the table, and of the settings that find RECALL of their true neighbours the one that
+reads the fewest rows is taken (more replicas where that costs at most a quarter more).
 Clustered vectors need few lists; vectors without any structure need many. Lists are dealt to tasks in
 blocks of bounded size, and so are the queries that read them: a list that holds a third of all
-vectors is many blocks.
+vectors is many blocks. Vectors of each length are searched apart.
 
 What reaches the driver or every worker is the sample (at most SAMPLE_PER rows for each of at most
-MAX_CENTROIDS centroids), the centroids, their graph, and one number per centroid.
+MAX_CENTROIDS centroids), the centroids, their graph, the neighbours of PROBES rows, and one number
+per centroid.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST_ROWS = 128
-MAX_CENTROIDS = 8192
-SAMPLE_PER = 16
-REPLICAS = 3
-REPLICA_RATIO = 1.1
+from .base import stored
+from .words import list_array
+
+LISTS_PER_ROOT = 1
+MAX_CENTROIDS = 16384
+SAMPLE_PER = 32
+REPLICAS = 4
+REPLICA_RATIO = 1.2
 RECALL = 0.97
+PROBES = 128
 BEAM = 64
 LINKS = 16
 BLOCK_ROWS = 2048
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -72,6 +79,7 @@ class Index:
     links: np.ndarray
     entries: np.ndarray
     dim: int
+    replicas: int = 1
     ratio: float = 1.5
     reach: int = BEAM
 
@@ -91,7 +99,14 @@ class Index:
         return cls(centroids, links, rng.permutation(n)[: min(n, 48)], centroids.shape[1])
 
     def nearest(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids near each vector, nearest first, with squared distances (inf: none left)."""
+        """Centroids near each vector, nearest first, with squared distances (inf: none left).
+
+        Where a good part of all centroids is asked for, all distances are computed: no search is shorter.
+        """
+        if 4 * beam >= len(self.centroids):
+            gaps = np.maximum((self.centroids**2).sum(1) - 2 * x @ self.centroids.T + (x * x).sum(1, keepdims=True), 0)
+            order = gaps.argsort(1, kind="stable")[:, :beam]
+            return order, np.take_along_axis(gaps, order, 1)
         rows = max(1, (8 << 20) // max(len(self.centroids), 1))
         parts = [self._search(x[low : low + rows], beam) for low in range(0, len(x), rows)]
         return tuple(map(np.concatenate, zip(*parts)))
@@ -133,17 +148,13 @@ class Index:
         gaps = np.take_along_axis(gaps, order, 1) + (x * x).sum(1, keepdims=True)
         return np.take_along_axis(ids, order, 1), np.maximum(gaps, 0)
 
-    def postings(self, x: np.ndarray, replicas: int, ratio: float) -> list[np.ndarray]:
-        """Lists of each vector: the nearest centroid, and nearly as near ones in other directions."""
+    def postings(self, x: np.ndarray, replicas: int | None = None) -> list[np.ndarray]:
+        """Lists of each vector: the nearest centroid, and others nearly as near."""
+        replicas = replicas or self.replicas
         ids, gaps = self.nearest(x, max(16, 2 * replicas))
-        chosen = np.zeros(ids.shape, bool)
+        ids, gaps = ids[:, :replicas], gaps[:, :replicas]
+        chosen = np.isfinite(gaps) & (gaps <= REPLICA_RATIO**2 * gaps[:, :1] + 1e-9)
         chosen[:, 0] = True
-        for j in range(1, ids.shape[1]):
-            ok = np.isfinite(gaps[:, j]) & (gaps[:, j] <= ratio**2 * gaps[:, 0] + 1e-9) & (chosen.sum(1) < replicas)
-            for i in range(j):  # not where a chosen centroid already stands between
-                apart = ((self.centroids[ids[:, j]] - self.centroids[ids[:, i]]) ** 2).sum(1)
-                ok &= ~chosen[:, i] | (apart > gaps[:, j])
-            chosen[:, j] = ok
         return [row[keep] for row, keep in zip(ids, chosen)]
 
     def probes(self, x: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
@@ -153,74 +164,107 @@ class Index:
         keep = np.isfinite(gaps) & ((gaps <= self.ratio**2 * gaps[:, :1] + 1e-9) | (held < 20 * k + 20))
         return [row[some] for row, some in zip(ids, keep)]
 
-    def tune(self, x: np.ndarray, k: int = 5, recall: float = RECALL, queries: int = 512) -> None:
-        """Sets ratio and reach by brute force on the sample: queries of it against all of it."""
-        some = np.random.Generator(np.random.PCG64(4)).permutation(len(x))[:queries]
-        gaps = np.maximum((self.centroids**2).sum(1) - 2 * x[some] @ self.centroids.T + 1, 0)
-        least, need = gaps.min(1), []
-        for i, own in enumerate(some):
-            near = x @ x[own]
-            near[own] = -np.inf
-            for lists in self.postings(x[np.argpartition(-near, min(k, len(x)) - 1)[:k]], REPLICAS, REPLICA_RATIO):
-                need.append(np.sqrt((gaps[i, lists].min() + 1e-9) / (least[i] + 1e-9)))
-        self.ratio = float(np.quantile(need, recall)) * 1.01
-        self.reach = min(len(self.centroids), int(1.2 * (gaps <= self.ratio**2 * least[:, None] + 1e-9).sum(1).max()) + 8)
+    def calibrate(self, asked: np.ndarray, near: list[np.ndarray], sample: np.ndarray, recall: float = RECALL) -> None:
+        """Sets replicas, ratio and reach from queries, the true neighbours of each, and a sample of the rows."""
+        gaps = np.maximum((self.centroids**2).sum(1) - 2 * asked @ self.centroids.T + (asked * asked).sum(1, keepdims=True), 0)
+        least = gaps.min(1, keepdims=True)
+        owner = np.repeat(np.arange(len(near)), [len(v) for v in near])
+        costs = []
+        for replicas in range(1, REPLICAS + 1):
+            need = [np.sqrt((gaps[i, lists].min() + 1e-9) / (least[i, 0] + 1e-9)) for i, lists in zip(owner, self.postings(np.concatenate(near), replicas))]
+            ratio = float(np.quantile(need, recall)) * 1.001
+            inside = gaps <= ratio**2 * least + 1e-9
+            held = np.bincount(np.concatenate(self.postings(sample, replicas)), minlength=len(self.centroids))
+            costs.append(((inside @ held).mean(), replicas, ratio, int(1.2 * inside.sum(1).max()) + 8))
+        limit = 1.25 * min(costs)[0]
+        _, self.replicas, self.ratio, reach = max((c for c in costs if c[0] <= limit), key=lambda c: c[1])
+        self.reach = min(len(self.centroids), reach)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id, v array<double>: rows that can be compared. Null, zero or non-finite vectors drop out."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    """vec_id, v (floats stay floats, all else is double): rows that can be compared. Null, zero or non-finite vectors drop out."""
+    kind = "array<float>" if vectors.select(vector).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return rows.where(F.coalesce(finite, F.lit(False))).where(F.exists("v", lambda c: c != 0))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def fit(rows: DataFrame, list_rows: int = LIST_ROWS, max_centroids: int = MAX_CENTROIDS) -> Index | None:
-    """Centroids from a sample of at most SAMPLE_PER rows for each; None without rows.
+def true_neighbours(rows: DataFrame, asked: tuple[np.ndarray, np.ndarray], k: int) -> list[np.ndarray]:
+    """The k nearest vectors of each of some queries (ids, vectors), from all rows: one map, k rows a query from each task."""
+    ids, q = asked
+    dim, kind = q.shape[1], rows.schema["v"].dataType.simpleString()
 
-    Vectors of the most frequent length (ties: the longest) are indexed.
-    """
-    lengths = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if lengths is None:
-        return None
-    dim, n = lengths["dim"], lengths["count"]
-    many = max(1, min(max_centroids, n // list_rows))
-    most = many * SAMPLE_PER
-    some = rows.where(F.size("v") == dim)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_ids, held, best = np.zeros(0, np.int64), np.zeros((0, dim)), None
+        for whole in batches:
+            for low in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(low, BLOCK_ROWS)
+                # the best so far stand for all rows before this block
+                held_ids = np.concatenate([held_ids, batch.column("vec_id").to_numpy()])
+                held = np.concatenate([held, _matrix(batch.column("v"), dim)])
+                held_ids, first = np.unique(held_ids, return_index=True)
+                held = held[first]
+                best = top_pairs(asked, (held_ids, held), k)
+                keep = np.unique(np.searchsorted(held_ids, best[1]))
+                held_ids, held = held_ids[keep], held[keep]
+        if best is not None and len(best[0]):
+            at = np.searchsorted(held_ids, best[1])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size * dim + 1, dim), pa.int32()), pa.array(held[at].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2]), lists.cast(pa.list_(pa.float32() if kind == "array<float>" else pa.float64()))], names=["query_id", "vec_id", "score", "v"])
+
+    found = rows.mapInArrow(run, f"query_id long, vec_id long, score double, v {kind}")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near: dict[int, list] = {}
+    for r in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).collect():
+        near.setdefault(r["query_id"], []).append(r["v"])
+    return [_unit(np.array(near[i], float)) if i in near else np.zeros((0, dim), np.float32) for i in ids.tolist()]
+
+
+def fit(rows: DataFrame, dim: int, n: int, k: int = 5, lists_per_root: float = LISTS_PER_ROOT, max_centroids: int = MAX_CENTROIDS) -> Index:
+    """Index for n usable rows, all of length dim: centroids from a bounded sample, settings from true neighbours."""
+    many = int(max(1, min(max_centroids, lists_per_root * n**0.5, n // 16)))
+    most = many * SAMPLE_PER + PROBES
+    some = rows
     if n > most:  # a hash of the id decides, a little generously; then the smallest hashes
         share = min(1.0, 1.2 * most / n + 100 / n)
         some = some.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("v").toArrow()
-    x = _unit(np.concatenate([_matrix(b.column("v"), dim) for b in sample.to_batches() if b.num_rows]))
-    centroids = balanced_centroids(x, max(1, -(-len(x) // many)))
-    index = Index.build(centroids)
-    if len(x) > 1:
-        index.tune(x)
+    sample = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "v").toArrow().combine_chunks()
+    exact = np.concatenate([_matrix(b.column("v"), dim) for b in sample.to_batches() if b.num_rows])
+    x = _unit(exact)
+    # the probes do not shape the centroids: a row is nearer to a mean of which it is part
+    own = x[PROBES:] if len(x) > 2 * PROBES else x
+    index = Index.build(balanced_centroids(own, max(1, -(-len(own) // many))))
+    if len(index.centroids) > 1:
+        ids, first = np.unique(sample.column("vec_id").to_numpy()[:PROBES], return_index=True)
+        near = true_neighbours(rows, (ids, exact[first]), k)
+        used = [i for i, v in enumerate(near) if len(v)]
+        if used:
+            index.calibrate(x[first][used], [near[i] for i in used], own)
     return index
 
 
-def _posted(rows: DataFrame, index: Index, lists) -> DataFrame:
-    """vec_id, v, one row for each list that lists(x) names."""
-    dim = index.dim
+def _posted(rows: DataFrame, index: Index, lists, name: str) -> DataFrame:
+    """vec_id, v, lists (the lists that lists(x) names): one row for each vector, written once."""
+    dim, kind = index.dim, rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
                 batch = whole.slice(low, 2048)
                 found = lists(_unit(_matrix(batch.column("v"), dim)))
-                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                centroid = np.concatenate(found).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(owner)), batch.column("v").take(pa.array(owner)), pa.array(centroid)], names=["vec_id", "v", "centroid"])
+                named = list_array(pa.array(np.concatenate(found), pa.int32()), np.append(0, np.cumsum([len(f) for f in found])))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), named], names=["vec_id", "v", "lists"])
 
-    return rows.where(F.size("v") == dim).mapInArrow(run, "vec_id long, v array<double>, centroid int")
+    return stored(rows.mapInArrow(run, f"vec_id long, v {kind}, lists array<int>"), name)
 
 
 def _sizes(posted: DataFrame, n: int) -> np.ndarray:
     out = np.zeros(n, np.int64)
-    for r in posted.groupBy("centroid").count().collect():
+    for r in posted.select(F.explode("lists").alias("centroid")).groupBy("centroid").count().collect():
         out[r["centroid"]] = r["count"]
     return out
 
@@ -252,30 +296,38 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     queries has the columns of vectors. A row whose id is the query's own is no candidate; repeated
     rows of one id count once, with the best score. Ties go to the smaller id. Rows with a null id,
-    and vectors that are null, zero, empty or hold null or non-finite components, take no part; nor
-    do vectors of another length than most. Without usable rows the result is empty.
+    and vectors that are null, zero, empty or hold null or non-finite components, take no part.
+    Vectors of other lengths than a query's are no candidates; each length has an index of its own
+    (index, if given, serves its own length). Without usable rows the result is empty.
     """
     rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
-    index = index or fit(rows)
-    empty = "query_id long, rank int, vec_id long, score double"
-    if index is None:
-        return vectors.sparkSession.createDataFrame([], empty)
+    found = [_searched(rows.where(F.size("v") == r["dim"]), asked.where(F.size("v") == r["dim"]), index if index and index.dim == r["dim"] else None, r["dim"], r["count"], k) for r in rows.groupBy(F.size("v").alias("dim")).count().collect()]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    best = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(rows: DataFrame, asked: DataFrame, index: Index | None, dim: int, count: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block for the queries that read it; all vectors of one length."""
+    index = index or fit(rows, dim, count, k)
     n = len(index.centroids)
-    posted = _posted(rows, index, lambda x: index.postings(x, REPLICAS, REPLICA_RATIO))
+    posted = _posted(rows, index, index.postings, "postings")
     sizes = _sizes(posted, n)
-    reading = _posted(asked, index, lambda x: index.probes(x, sizes, k))
+    reading = _posted(asked, index, lambda x: index.probes(x, sizes, k), "readings")
     readers = _sizes(reading, n)
-    spark = vectors.sparkSession
-    parts = spark.createDataFrame([(i, int(-(-a // BLOCK_ROWS)) or 1, int(-(-b // BLOCK_QUERIES)) or 1) for i, (a, b) in enumerate(zip(sizes, readers))], "centroid int, blocks int, turns int")
+    spark = rows.sparkSession
+    parts = spark.createDataFrame([(i, int(-(-a // BLOCK_ROWS)) or 1, int(-(-b // BLOCK_QUERIES)) or 1) for i, (a, b) in enumerate(zip(sizes, readers)) if a and b] or [(-1, 1, 1)], "centroid int, blocks int, turns int")
     parts = F.broadcast(parts)  # one row per centroid: bounded by MAX_CENTROIDS
 
     def dealt(table: DataFrame, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
         number = F.pmod(F.xxhash64("vec_id"), F.col(own_parts).cast("long")).cast("int").alias(own)
-        return table.join(parts, "centroid").select("centroid", "vec_id", "v", number, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
+        posts = table.select("vec_id", "v", F.explode("lists").alias("centroid"))
+        return posts.join(parts, "centroid").select("centroid", "vec_id", "v", number, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)).alias(other))
 
     lists = dealt(posted, "block", "blocks", "turn", "turns").groupBy("centroid", "block", "turn")
     asking = dealt(reading, "turn", "turns", "block", "blocks").groupBy("centroid", "block", "turn")
-    dim = index.dim
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -284,7 +336,4 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             out = top_pairs(*sides, k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
-    found = lists.cogroup(asking).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return lists.cogroup(asking).applyInArrow(compare, "query_id long, vec_id long, score double")

@@ -202,6 +202,29 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(df.where("vec_id = 4"), df).count() == 0
 
 
+def test_neighbours_of_each_length_and_recall_on_given_vectors(spark):
+    rng = np.random.default_rng(4)
+    table = [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(df, df.where("vec_id % 50 < 2")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 16
+    for parity in (0, 1):
+        some = [r for r in table if r[0] % 2 == parity]
+        want = nearest_brute(some, [q for q in got if q % 2 == parity], 5)
+        assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = neighbours.usable(given, "vec_id", "embedding")
+    index = neighbours.fit(rows, 64, rows.count())
+    assert len(index.centroids) > 30
+    got = defaultdict(list)
+    for r in neighbours.search(given, given.where("vec_id % 50 = 0"), index=index).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = nearest_brute([tuple(r) for r in given.select("vec_id", "embedding").collect()], list(got), 5)
+    assert len(got) == 40 and np.mean([len(set(got[q]) & set(want[q])) / 5 for q in got]) >= 0.9
+
+
 def test_near_dedup_stage_judges_texts_under_one_id_apart(spark):
     long = " ".join(f"word{i}" for i in range(200))
     rows = [(1, long), (2, long + " end"), (2, "another text under the second id"), (3, "third text stands alone here"), (None, long), (0, long + " tail")]
