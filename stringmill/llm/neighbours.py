@@ -235,8 +235,8 @@ def fit(rows: DataFrame, dim: int, n: int, k: int = 5, lists_per_root: float = L
     sample = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "v").toArrow().combine_chunks()
     exact = np.concatenate([_matrix(b.column("v"), dim) for b in sample.to_batches() if b.num_rows])
     x = _unit(exact)
-    # the probes do not shape the centroids: a row is nearer to a mean of which it is part
-    own = x[PROBES:] if len(x) > 2 * PROBES else x
+    # a row is nearer to a mean of which it is part: as many probes shape the centroids as of all rows do
+    own = x[int(PROBES * (1 - len(x) / n)) :] if len(x) > 2 * PROBES else x
     index = Index.build(balanced_centroids(own, max(1, -(-len(own) // many))))
     if len(index.centroids) > 1:
         ids, first = np.unique(sample.column("vec_id").to_numpy()[:PROBES], return_index=True)
