@@ -1,17 +1,17 @@
 """BPE and WordPiece training as a sequence of Spark jobs.
 
-The corpus is a table of distinct lines with counts. One job per round applies the merges
-chosen so far map-side and sums pair counts; pairs are combined in each task before the
-shuffle. A round commits every merge that is certain, and the merged lines are checkpointed
-every few merges, so a lost executor never costs more than one round.
+The corpus is a table of distinct lines with counts, stored in parts with an inverted index from
+pairs to parts. One job per round sums pair counts: from the index where the merges of the last
+rounds do not occur, and from the lines of the other parts. A round commits every merge that is
+certain; after some merges the parts that hold them are rewritten, so a lost executor never costs
+more than one round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import replace
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,16 +21,14 @@ from pyspark.sql import types as T
 from ...functions.pieces import pretokenize
 from ...functions.text import SPECIAL_TOKENS
 from ...sources.shared import cut_lineage, spread
-from .merges import apply_merge, count_pairs, flatten, pair_code, pair_ids, unflatten
+from .merges import pair_code, pair_ids
 from .model import PREFIX, TokenModel, line_counts
+from .pair_index import PairIndex
 
 TOP_PAIRS = 512  # pairs per round that reach the driver
 MERGES_PER_CHECKPOINT = 32
 MAX_ALPHABET = 1_114_112  # code points there are
 
-_PAIRS = "code long, n long"
-_STATE = "n long, symbols array<int>"
-
 
 def _symbols(df: DataFrame, line: str, prefix: str) -> F.Column:
     chars = pretokenize(F.col(line), "CHAR")
@@ -52,46 +50,6 @@ def _alphabet(lines: DataFrame, prefix: str, specials: Sequence[str]) -> list[st
     return symbols
 
 
-def _with_merges(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """The lines after the given merges (left, right, new)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = _merged(batch, merges)
-            values, offsets = unflatten(flat)
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(values, pa.int32())
-            )
-            yield pa.RecordBatch.from_arrays([batch.column("n"), lists], ["n", "symbols"])
-
-    return state.mapInArrow(run, _STATE)
-
-
-def _merged(batch: pa.RecordBatch, merges: list[tuple[int, int, int]]) -> np.ndarray:
-    lists = batch.column("symbols")
-    offsets = lists.offsets.to_numpy()
-    flat = flatten(lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
-    for left, right, new in merges:
-        flat = apply_merge(flat, left, right, new)
-    return flat
-
-
-def _pair_counts(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """``(code, n)`` over all lines after the given merges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            c, n = count_pairs(_merged(batch, merges), batch.column("n").to_numpy())
-            codes, inverse = np.unique(np.concatenate((codes, c)), return_inverse=True)
-            total = np.zeros(len(codes), np.int64)
-            np.add.at(total, inverse, np.concatenate((counts, n)))
-            counts = total
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
-
-    return state.mapInArrow(run, _PAIRS).groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def _certain_merges(
     top: list[tuple[int, int]], complete: bool, room: int, min_frequency: int, tokens: list[str],
     join, known: set[str],
@@ -131,29 +89,36 @@ def train_merges(
     prefix: str = "",
     specials: Sequence[str] = SPECIAL_TOKENS,
     col: str = "item",
+    parts: int | None = None,
 ) -> TokenModel:
-    """Merges until ``vocab_size`` tokens besides the specials exist; the alphabet is never cut."""
+    """Merges until ``vocab_size`` tokens besides the specials exist; the alphabet is never cut.
+
+    ``reads`` of the model tells for each round how many merges it chose and how many of all stored
+    parts hold them. ``parts`` is their number; by default it follows the size of the corpus.
+    """
     lines = spread(cut_lineage(line_counts(items, col)))
     tokens = [*specials, *_alphabet(lines, prefix, specials)]
     ids = {t: i for i, t in enumerate(tokens)}
     target = vocab_size + len(specials)
     merges: list[tuple[str, str]] = []
     pending: list[tuple[int, int, int]] = []
+    algorithm = "WORDPIECE" if prefix else "BPE"
 
     def joined(a: str, b: str) -> str:
         return _joined(a, b, prefix)
 
-    state = cut_lineage(_encode_symbols(lines, ids, prefix)) if len(tokens) < target else None
+    if len(tokens) >= target:
+        return TokenModel(algorithm, tuple(tokens), specials=tuple(specials))
+    index = PairIndex(_encode_symbols(lines, ids, prefix), parts)
+    touched: set[int] = set()
+    reads: list[tuple[int, int, int]] = []
     while len(tokens) < target:
-        counts = _pair_counts(state, pending)
-        top = [
-            (r["code"], r["n"])
-            for r in counts.orderBy(F.col("n").desc(), "code").limit(TOP_PAIRS).collect()
-        ]
+        top = [tuple(r) for r in index.counts(pending, touched).orderBy(F.col("n").desc(), "code").limit(TOP_PAIRS).collect()]
         if not top:
             break
+        masks = {code: mask for code, _, mask in top}
         chosen = _certain_merges(
-            top, len(top) < TOP_PAIRS, target - len(tokens), min_frequency, tokens, joined, set(ids)
+            [(code, n) for code, n, _ in top], len(top) < TOP_PAIRS, target - len(tokens), min_frequency, tokens, joined, set(ids)
         )
         if not chosen:
             break
@@ -164,10 +129,14 @@ def train_merges(
                 ids[token] = len(tokens)
                 tokens.append(token)
             pending.append((left, right, ids[token]))
-        if len(pending) >= MERGES_PER_CHECKPOINT:
-            state, pending = cut_lineage(_with_merges(state, pending)), []
-    algorithm = "WORDPIECE" if prefix else "BPE"
-    return TokenModel(algorithm, tuple(tokens), tuple(merges), specials=tuple(specials))
+            touched |= index.in_groups(masks[pair_code(left, right)])
+        reads.append((len(chosen), len(touched), index.parts))
+        # up to half of the parts are cheaper to rewrite now than to read again in every round
+        if len(pending) >= MERGES_PER_CHECKPOINT or 2 * len(touched) <= index.parts:
+            index.rewrite(pending, touched)
+            pending, touched = [], set()
+    index.remove()
+    return TokenModel(algorithm, tuple(tokens), tuple(merges), specials=tuple(specials), reads=tuple(reads))
 
 
 def shrink(model: TokenModel, vocab_size: int) -> TokenModel:

@@ -29,6 +29,7 @@ class TokenModel:
     specials: tuple[str, ...] = SPECIAL_TOKENS
     max_word: int = MAX_WORD  # WordPiece: a longer line is one unknown token
     left_out: dict[str, int] = field(default_factory=dict, compare=False)  # Unigram: candidates that did not start
+    reads: tuple[tuple[int, int, int], ...] = field(default=(), compare=False)  # BPE: merges, parts with them, all parts
 
     @property
     def ids(self) -> dict[str, int]:
@@ -71,7 +72,7 @@ class TokenModel:
 def to_tokenizer_json(
     model: TokenModel, kind: str = "CHAR", pattern: str | None = None
 ) -> str:
-    """The model as a ``tokenizer.json`` text, the exchange format of tokenizer libraries."""
+    """The model as a ``tokenizer.json`` text, the exchange format of tokenizer libraries (its keys are fixed values)."""
     ids = model.ids
     bos, eos = model.specials[0], model.specials[1]
     added = [

@@ -18,7 +18,7 @@ from ..operators.tokenizers.encode import (
     roundtrip_report as not_restored,
 )
 from ..operators.tokenizers.grid import tokenizer_grid as train_grid
-from ..operators.tokenizers.model import model_vocab_size, wordlevel_model
+from ..operators.tokenizers.model import PREFIX, model_vocab_size, wordlevel_model
 from ..operators.tokenizers.unigram import train_unigram
 from ..plans.tokenized import build_tokenized_dataset
 from ..sources.shared import cut_lineage, spread
@@ -290,7 +290,45 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query()
+def _merging(table: str, goal: int, result: str, inner: str = "") -> str:
+    """Training in SQL: one private-use character stands for each token, numbered like the ids, so that pairs sort as pairs of ids.
+
+    No two merges of these queries make the same token.
+    """
+    n = len(SPECIALS)
+    return f"""
+WITH RECURSIVE lines AS MATERIALIZED (
+  SELECT list_transform(string_split(text, ''), lambda c, i: CASE WHEN i > 1 THEN '{inner}' || c ELSE c END) AS s, string_split(text, '') AS plain, count(*) AS n
+  FROM {table} WHERE length(text) > 0 GROUP BY ALL),
+found AS (SELECT DISTINCT false AS behind, unnest(plain) AS c FROM lines UNION SELECT DISTINCT '{inner}' <> '', unnest(s[2:]) FROM lines),
+alphabet AS MATERIALIZED (SELECT c, row_number() OVER (ORDER BY behind, unicode(right(c, 1))) - 1 + {n} AS id FROM found),
+names AS MATERIALIZED (SELECT map_from_entries(list((c, chr((57344 + id)::INT)))) AS m FROM alphabet),
+sizes AS MATERIALIZED (SELECT count(*) AS size FROM alphabet),
+step AS (
+  SELECT 0 AS i, array_to_string(list_transform(s, lambda c: m[c]), '') AS s, n, NULL::VARCHAR AS pair FROM lines, names
+  UNION ALL
+  SELECT i + 1, replace(s, best, chr((57344 + {n} + size + i)::INT)), n, best
+  FROM step, sizes, (
+    SELECT best
+    FROM (SELECT best, sum(n) AS uses
+          FROM (SELECT unnest(list_transform(list_zip(x[:-2], x[2:]), lambda p: p[1] || p[2])) AS best, n FROM (SELECT string_split(s, '') AS x, n FROM step))
+          GROUP BY best)
+    ORDER BY uses DESC, best LIMIT 1)
+  WHERE i < {goal} - size),
+merges AS MATERIALIZED (SELECT DISTINCT i - 1 AS rank, unicode(pair[1]) - 57344 AS a, unicode(pair[2]) - 57344 AS b FROM step WHERE i > 0),
+spelt AS (
+  SELECT -1 AS r, map_from_entries(list((id, c))) AS t FROM alphabet
+  UNION ALL
+  SELECT r + 1, map_concat(t, map([{n} + size + rank], [t[a] || t[b][{len(inner)} + 1:]])) FROM spelt, sizes, merges WHERE rank = r + 1),
+model AS (SELECT t FROM spelt ORDER BY r DESC LIMIT 1)
+{result}"""
+
+
+_MERGE_ROWS = 'SELECT m.rank::INT AS rank, t[a] AS "left", t[b] AS "right" FROM merges m, model'
+_VOCAB_ROWS = f"SELECT e.value AS token, e.key::INT AS id FROM (SELECT unnest(map_entries(t)) AS e FROM model) UNION ALL SELECT * FROM ({_SPECIAL_ROWS})"
+
+
+@query(_merging("conversations", 128, _MERGE_ROWS))
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered merges learnt from all conversation turns."""
     model = train_bpe(_turns(spark, sf_dir), 128, specials=SPECIALS)
@@ -306,9 +344,15 @@ def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("ord", F.md5(decode(ids, model)).alias("text"))
 
 
-@query()
+@query(_merging("documents", 128, _MERGE_ROWS))
+def bpe_merges_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from all documents, whose texts are long lines."""
+    return train_bpe(_documents(spark, sf_dir), 128, specials=SPECIALS).merges_table(spark)
+
+
+@query(_merging("documents", 230, _VOCAB_ROWS, PREFIX))
 def wordpiece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_wordpiece(_benchmark(spark, sf_dir), 200, specials=SPECIALS).vocab(spark)
+    return train_wordpiece(_documents(spark, sf_dir), 230, specials=SPECIALS).vocab(spark)
 
 
 @query()

@@ -8,7 +8,7 @@ from check import TABLES, rows_of
 
 SF_DIR = "/root/testdata/sf0.001"
 # these run for a while; check.py covers them
-SLOW = {"tokenizer_grid", "unigram_vocab", "unigram_roundtrip", "wordpiece_vocab", "bpe_merges"}
+SLOW = {"tokenizer_grid", "unigram_vocab", "unigram_roundtrip"}
 
 
 @pytest.fixture(scope="module")

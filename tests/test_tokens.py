@@ -369,3 +369,25 @@ def test_wordlevel_limit(spark):
     df = spark.createDataFrame([("aab",), ("ac",)], "item string")
     model = train_tokenizer(df, wordlevel_limit=len(SPECIALS) + 1)
     assert model.tokens == (*SPECIALS, "a")
+
+
+def test_bpe_reads_only_parts_that_hold_its_merges(rows, monkeypatch, tmp_path, spark):
+    """Two languages in many parts: same vocabulary as the library, few parts a round, nothing left behind."""
+    import os
+
+    from stringmill.operators.tokenizers import bpe, pair_index
+
+    folders = []
+    made = pair_index.shared_path
+    monkeypatch.setattr(pair_index, "shared_path", lambda s, name: folders.append(made(s, name)) or folders[-1])
+    # each letter has lines of its own
+    lines = [c + "".join(random.Random(i).choices([c + "x", c + "y", c + "z" + c, c + "-"], k=20)) for i, c in enumerate("abcdefgh" * 6)]
+    tok = lib.Tokenizer(BPE(unk_token="§"))
+    tok.train_from_iterator(lines, BpeTrainer(vocab_size=65, special_tokens=SPECIALS, min_frequency=1, show_progress=False))
+    for parts in (16, 100):
+        model = bpe.train_merges(frame(rows, lines), 60, parts=parts)
+        assert model.ids == tok.get_vocab()
+        assert all(0 < read <= total == parts for _, read, total in model.reads) and sum(m for m, _, _ in model.reads) == len(model.merges)
+        if parts == 16:
+            assert sum(read for _, read, _ in model.reads) < 0.5 * sum(total for _, _, total in model.reads)
+    assert folders and not any(os.path.exists(f) for f in folders)
