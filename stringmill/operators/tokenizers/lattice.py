@@ -6,6 +6,8 @@ long enough, so the Python loop runs over positions and piece lengths, not over
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 
 CHUNK_CHARS = 250_000  # characters handled together; bounds the memory of a task
@@ -33,6 +35,12 @@ class Lattice:
         self.ends = np.full(last + 1, -1, dtype=np.int64)
         self.ends[node] = np.arange(len(self.pieces))
 
+    def scored(self, score: np.ndarray) -> Lattice:
+        """The same pieces with other scores."""
+        out = copy(self)
+        out.score = score
+        return out
+
     def matches(self, codes: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Piece starting at each character per length (row k = length k + 1); -1 = none.
 

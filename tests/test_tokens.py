@@ -188,6 +188,25 @@ def test_unigram_seeds_against_all_substrings(rows):
     assert left_out["beyond"] == len(longer) - 5
 
 
+def test_unigram_seeds_across_partitions(rows, monkeypatch):
+    """Windows of one prefix in several partitions, characters that sort apart, and the zero character."""
+    from stringmill.operators.tokenizers import unigram
+
+    monkeypatch.setattr(unigram, "PART_WINDOWS", 3)
+    lines = [("ab" * 9, 2), ("a\x00b\U0001f600" * 3, 1), ("é" * 30, 3)]
+    counts = {}
+    for line, n in lines:
+        for i in range(len(line)):
+            for j in range(i + 1, min(i + 5, len(line)) + 1):
+                counts[line[i:j]] = counts.get(line[i:j], 0) + n
+    frequent = {p: n for p, n in counts.items() if n > 1 or len(p) == 1}
+    inner = {(q, n) for p, n in frequent.items() if len(p) > 2 for q in (p[1:], p[:-1])}
+    want = {p: n for p, n in frequent.items() if len(p) == 1 or (p, n) not in inner}
+    got, left_out = unigram.seed_pieces(rows("line string, n long", *lines), 5, 10**6, 2)
+    assert got == want
+    assert left_out == {"rare": len(counts) - len(frequent), "dominated": len(frequent) - len(want), "beyond": 0}
+
+
 def test_unigram_learns_pieces_of_any_given_length(rows):
     rng = random.Random(3)
     lines = ["".join(rng.choice("mnopq") for _ in range(rng.randint(1, 9))) + "abcdefghijkl" + rng.choice("mnopq") for _ in range(80)]
@@ -217,7 +236,7 @@ def test_unigram_expected_counts_against_all_splits(rows):
         for way, p in ways:
             for piece in way:
                 want[piece] = want.get(piece, 0.0) + n * p / total
-    got = {r.piece: r.expected for r in expected_counts(rows("line string, n long", *lines), logp).collect()}
+    got = expected_counts(rows("line string, n long", *lines), logp)
     assert got == pytest.approx(want)
 
 
