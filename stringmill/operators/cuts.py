@@ -1,60 +1,84 @@
 """First rows, exact splits and other cuts at a rank, without sorting the data.
 
-A cut is found in two steps: counts per range of the order value say in which range the
-wanted rank lies, then only this range is ranked. The data itself is filtered or labelled
-map-side by comparing with the cut value, so nothing but counts is shuffled.
+A cut is found in rounds: some values drawn by hash split the range in question, counts per range
+say in which one the wanted rank lies, and the next round looks at that one only. It works for every
+type that can be ordered, structs included. The data itself is filtered or labelled map-side by
+comparing with the cut value, so nothing but counts and a few values is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spark's top-k sends this many rows per task to one task; beyond it a cut is looked for.
 TOP_ROWS = 1_000
 # a range this small is ranked by one task
 RANKED_ROWS = 100_000
+SPLITTERS = 64
 
 
-def first_n(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
+def first_n(df: DataFrame, n: int, order_by: str = "ord", **sizes: int) -> DataFrame:
     """First ``n`` rows in order; an error when there are fewer."""
     if n <= 0:
         raise ValueError("n must be positive")
     rows = df.count()
     if n > rows:
         raise ValueError(f"asked for {n} rows, there are {rows}")
-    return cap_rows(df, n, order_by)
+    return cap_rows(df, n, order_by, **sizes)
 
 
-def cap_rows(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
-    """First ``min(n, rows)`` rows in order. ``order_by`` must be unique."""
-    if n <= TOP_ROWS:
+def cap_rows(df: DataFrame, n: int, order_by: str = "ord", top_rows: int = TOP_ROWS, ranked_rows: int = RANKED_ROWS) -> DataFrame:
+    """First ``min(n, rows)`` rows in order, nulls first. ``order_by`` must be unique."""
+    if n <= top_rows:
         return df.orderBy(order_by).limit(n)
-    kind = df.schema[order_by].dataType
-    if kind.typeName() in ("long", "integer", "short"):
-        cut = _long_cut(df.select(F.col(order_by).cast("long").alias("v")), n)
-        return df if cut is None else df.where(F.col(order_by) <= cut)
-    if kind.typeName() == "struct" and len(kind.fields) > 1:
-        return _struct_cut(df, n, order_by, kind.fieldNames())
-    return df.orderBy(order_by).limit(n)
-
-
-def _struct_cut(df: DataFrame, n: int, order_by: str, fields: list[str]) -> DataFrame:
-    """First rows in file order: whole blocks by their counts, then rows of the last block."""
-    *outer, row = [F.col(f"{order_by}.{f}") for f in fields]
-    block = F.struct(*outer)
-    # one count per block, like the list of splits the driver holds anyway
-    sizes = sorted((tuple(r[0]), r[1]) for r in df.groupBy(block).count().collect())
-    taken = 0
-    for key, count in sizes:
-        if taken + count >= n:
-            last = F.struct(*[F.lit(v).alias(f) for v, f in zip(key, fields)])
-            inside = df.where(block == last).select(row.alias("v"))
-            cut = inside.orderBy("v").limit(n - taken).agg(F.max("v")).first()[0]
-            return df.where((block < last) | ((block == last) & (row <= cut)))
-        taken += count
-    return df
+    values = df.select(F.col(order_by).alias("v"))
+    nulls, rows = values.agg(F.count_if(F.col("v").isNull()), F.count("*")).first()
+    if rows <= n:
+        return df
+    if n <= nulls:
+        return df.where(F.col(order_by).isNull()).limit(n)
+    cut = rank_value(values.where("v is not null"), n - nulls, ranked_rows)
+    return df.where(F.col(order_by).isNull() | (F.col(order_by) <= _literal(cut, df.schema[order_by].dataType)))
+
+
+def _literal(value: object, kind: T.DataType) -> Column:
+    """A collected value as a column of its type."""
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)))
+    if isinstance(kind, T.ArrayType) and value is not None:
+        return F.array(*(_literal(v, kind.elementType) for v in value)).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def rank_value(values: DataFrame, rank: int, ranked_rows: int = RANKED_ROWS) -> object:
+    """The value of this rank (1 = smallest) in a column ``v`` without nulls; repeated values count each.
+
+    Every round counts the rows between and at SPLITTERS values of the range, which narrows it to
+    about its SPLITTERS-th part, or to one value that fills the rank.
+    """
+    kind = values.schema["v"].dataType
+    inside, rows = values, values.count()
+    if not 1 <= rank <= rows:
+        raise ValueError(f"there is no row {rank} among {rows}")
+    while rows > ranked_rows:
+        drawn = inside.orderBy(F.xxhash64("v"), "v").limit(SPLITTERS).distinct().orderBy("v").collect()
+        # ranges in order: below the first splitter, at it, between it and the next, ...
+        place = sum(
+            ((F.col("v") > _literal(r["v"], kind)).cast("int") + (F.col("v") >= _literal(r["v"], kind)).cast("int") for r in drawn),
+            F.lit(0),
+        )
+        found = inside.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("place").collect()
+        for r in found:
+            if rank <= r["n"]:
+                break
+            rank -= r["n"]
+        if r["low"] == r["high"]:
+            return r["low"]
+        rows = r["n"]
+        inside = values.where(F.col("v").between(_literal(r["low"], kind), _literal(r["high"], kind)))
+    return inside.orderBy("v").limit(rank).agg(F.max("v")).first()[0]
 
 
 def heaviest(df: DataFrame, weight: Column, n: int, *ties: str) -> DataFrame:
@@ -74,27 +98,6 @@ def heaviest(df: DataFrame, weight: Column, n: int, *ties: str) -> DataFrame:
     return df.orderBy(weight.desc(), *ties).limit(n)
 
 
-def _long_cut(values: DataFrame, n: int) -> int | None:
-    """The n-th smallest of unique longs; None when there are at most n."""
-    low, high, rows = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    if rows <= n:
-        return None
-    taken = 0
-    while True:
-        width = (high - low) // 4096 + 1
-        inside = values.where(F.col("v").between(low, high))
-        if width == 1 or rows <= RANKED_ROWS:
-            return inside.orderBy("v").limit(n - taken).agg(F.max("v")).first()[0]
-        # at most 4096 count rows come back
-        for bucket, count in sorted(
-            inside.groupBy(F.floor((F.col("v") - low) / width)).count().collect()
-        ):
-            if taken + count >= n:
-                low, high, rows = low + bucket * width, min(high, low + (bucket + 1) * width - 1), count
-                break
-            taken += count
-
-
 def shuffle_order(key: Column, tie: Column, seed: int) -> Column:
     """Reproducible pseudo-random order value of a row."""
     return F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string"), tie.cast("string")))
@@ -113,25 +116,14 @@ def random_split(
     Rows are ordered by an MD5 of seed, key and tie; validation comes first, then test.
     """
     order = shuffle_order(F.col(key), F.col(tie), seed)
-    marks = df.select(order.alias("h"))
-    buckets = marks.groupBy(F.substring("h", 1, 4).alias("b")).count()
-    sizes = sorted((r["b"], r["count"]) for r in buckets.collect())  # at most 65 536 rows
-    rows = sum(c for _, c in sizes)
+    marks = df.select(order.alias("v"))
+    rows = marks.count()
     n_val = int(rows * val_percent / 100)
     n_test = int(rows * test_percent / 100)
 
     def cut(rank: int) -> str:
         """The order value of the row with this rank (1 = first)."""
-        before = 0
-        for b, count in sizes:
-            if before + count >= rank:
-                # one bucket holds a 65 536th of the rows, an equal share because MD5 is uniform
-                ranked = marks.where(F.col("h").startswith(b)).select(
-                    "h", F.row_number().over(W.orderBy("h")).alias("rn")
-                )
-                return ranked.where(F.col("rn") == rank - before).first()["h"]
-            before += count
-        return "g"  # behind every MD5
+        return rank_value(marks, rank)
 
     split = F.lit("train")
     if n_test:

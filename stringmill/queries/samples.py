@@ -275,18 +275,36 @@ def exact_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_split(rows, 10, 15, seed=42, key="ord", tie="ord")
 
 
-@query("SELECT o_orderkey AS ord, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000")
+# No query takes the short way of a small top-k: ranges are halved until they hold few rows.
+_ROUNDS = {"top_rows": 0, "ranked_rows": 64}
+
+
+@query("SELECT o_orderkey AS ord, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1200")
 def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First n rows in order: the operator under test is the limit itself."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), "o_custkey")
-    return first_n(rows, 1000)
+    return first_n(rows, 1200, **_ROUNDS)
 
 
-@query("SELECT doc_id AS ord, lang FROM documents ORDER BY doc_id LIMIT 1000000")
+@query("SELECT md5(concat(text, '-', doc_id)) AS ord, lang FROM documents ORDER BY ord LIMIT 150")
 def capped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without an error when there are fewer rows."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang")
-    return cap_rows(rows, 1_000_000)
+    """The first rows by a string; no error if there are fewer."""
+    order = F.md5(F.concat(F.col("text"), F.lit("-"), F.col("doc_id").cast("string")))
+    return cap_rows(table(spark, sf_dir, "documents").select(order.alias("ord"), "lang"), 150, **_ROUNDS)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 700")
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows by a struct of time and number."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.struct("ts", "event_id").alias("ord"))
+    return first_n(rows, 700, **_ROUNDS).drop("ord")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice, o_orderkey) <= 1100")
+def cheapest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rows by a double, equal ones by a number."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return first_n(rows.withColumn("ord", F.struct("o_totalprice", "o_orderkey")), 1100, **_ROUNDS).drop("ord")
 
 
 @query(

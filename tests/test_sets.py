@@ -219,3 +219,29 @@ def test_labels_equal_brute_force(rows):
 def test_default_form_trims(rows):
     df = rows("t string", (" x ",), ("",), (None,))
     assert [r[0] for r in df.select(trimmed(F.col("t"))).collect()] == ["x", None, None]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double", "timestamp", "struct<a: string, b: bigint>"])
+def test_rank_of_any_type(spark, kind):
+    """Repeated values, extremes and a value that fills most of the range."""
+    rng = random.Random(len(kind))
+    numbers = [rng.choice([5, 5, 5, rng.randint(-(2**40), 2**40), rng.randint(0, 50)]) for _ in range(2000)]
+    if kind.startswith("struct"):
+        column, values = F.struct((F.col("x") % 7).cast("string").alias("a"), F.col("x").alias("b")), None
+    elif kind == "timestamp":
+        column, values = F.timestamp_seconds(F.abs("x") % 10**9), None
+    else:
+        column, values = F.col("x").cast(kind), None
+    df = spark.createDataFrame([(x,) for x in numbers], "x long").select(column.alias("v")).repartition(5)
+    values = [r["v"] for r in df.orderBy("v").collect()]
+    for rank in (1, 2, 700, 1001, 1999, 2000):
+        assert cuts.rank_value(df, rank, ranked_rows=10) == values[rank - 1]
+    with pytest.raises(ValueError):
+        cuts.rank_value(df, 2001)
+
+
+def test_cap_with_nulls_and_by_any_order(spark):
+    df = spark.createDataFrame([(None, 0), *((f"k{i:04d}", i) for i in range(300))], "ord string, i int").repartition(4)
+    for n in (1, 2, 150, 300, 301, 400):
+        got = sorted(r["i"] for r in cuts.cap_rows(df, n, top_rows=0, ranked_rows=16).collect())
+        assert got == sorted([0, *range(300)])[: min(n, 301)] or n < 301 and len(got) == n
