@@ -18,7 +18,6 @@ from .lattice import Lattice, best_cut, chunks
 from .merges import encode_flat, flatten, pair_code, unflatten
 from .model import PREFIX, TokenModel
 
-MAX_LENGTH = 1024  # fixed value: default sequence length of a model
 _IDS = T.ArrayType(T.IntegerType())
 
 
@@ -166,7 +165,7 @@ def raw_ids(
     return _unigram_udf(model)(text)
 
 
-def with_marks(ids: Column, bos: int, eos: int, max_length: int | None = MAX_LENGTH) -> Column:
+def with_marks(ids: Column, bos: int, eos: int, max_length: int | None = None) -> Column:
     """Begin and end token around the ids; too long ones lose tokens at the left."""
     if max_length is not None:
         room = max_length - 2
@@ -198,18 +197,25 @@ def encode(
     kind: str = "CHAR",
     pattern: str | None = None,
     col: str = "item",
-    max_length: int | None = MAX_LENGTH,
+    max_length: int | None = None,
     pad_to: str | int | None = None,
     multiple: int = 1,
     spread_by: str = "ord",
+    cut_into: str | None = None,
 ) -> DataFrame:
     """Adds ``input_ids``, ``attention_mask`` and ``special_tokens_mask``.
 
+    Ids are whole unless ``max_length`` is given; then longer ones lose tokens at the left, and
+    ``cut_into`` names a column for how many.
+
     ``pad_to`` is a fixed length or the name of a batch column, whose rows are padded to the
     longest of the batch; lengths are rounded up to ``multiple``. None leaves rows as they are.
     """
-    ids = with_marks(raw_ids(F.col(col), model, kind, pattern), model.bos_id, model.eos_id, max_length)
-    rows = items.withColumn("input_ids", ids)
+    rows = items.withColumn("input_ids", raw_ids(F.col(col), model, kind, pattern))
+    if cut_into is not None:
+        room = F.size("input_ids") if max_length is None else F.lit(max_length - 2)
+        rows = rows.withColumn(cut_into, F.greatest(F.size("input_ids") - room, F.lit(0)))
+    rows = rows.withColumn("input_ids", with_marks(F.col("input_ids"), model.bos_id, model.eos_id, max_length))
     return pad_rows(rows, model.pad_id, pad_to, multiple, spread_by)
 
 

@@ -196,6 +196,63 @@ def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _plane(a: str, b: str) -> str:
+    """Moments of two sides in two dimensions, and their distance: the root of a 2 x 2 matrix has a closed form."""
+    return f"""
+WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+s AS (SELECT 1 AS side, * FROM e WHERE {a} UNION ALL SELECT 2, * FROM e WHERE {b}),
+m AS (SELECT side, avg(x) AS x, avg(y) AS y, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM s GROUP BY side),
+t AS (SELECT (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + p.a + p.c + q.a + q.c AS sums, p.a * q.a + 2 * p.b * q.b + p.c * q.c AS trace,
+             (p.a * p.c - p.b ** 2) * (q.a * q.c - q.b ** 2) AS det
+      FROM m p, m q WHERE p.side = 1 AND q.side = 2),
+d AS (SELECT sums - 2 * sqrt(trace + 2 * sqrt(det)) AS distance FROM t)"""
+
+
+def _in_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.when(F.col("label") == 0, "").otherwise(F.concat(F.lit("label "), "label"))
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("ord"), item.alias("item"), F.slice("embedding", 1, 2).alias("embedding"), "label")
+
+
+@query(_plane("label < 5", "label >= 5") + " SELECT round(distance, 9) AS distance, round(exp(-0.2 * distance), 9) AS score FROM d")
+def frechet_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance on the first two components."""
+    rows = _in_plane(spark, sf_dir)
+    distance = F.lit(frechet_distance(moments(rows.where("label < 5")), moments(rows.where("label >= 5"))))
+    return spark.range(1).select(F.round(distance, 9).alias("distance"), F.round(scores.score_from_distance(distance), 9).alias("score"))
+
+
+@query(
+    _plane("label BETWEEN 1 AND 5", "label >= 3")
+    + """, g AS (SELECT count(*) AS n, count_if(label > 0) AS valid, count(DISTINCT label) FILTER (label > 0) AS uniq,
+              count(DISTINCT label) FILTER (label > 0 AND label NOT IN (SELECT label FROM e WHERE label >= 3)) AS novel FROM e WHERE label < 6)
+SELECT round(distance, 9) AS "FCD", round(exp(-0.2 * distance), 9) AS "FCD GuacaMol", round(valid / n, 9) AS "Validity",
+       round(uniq / valid, 9) AS "Uniqueness", round(novel / uniq, 9) AS "Novelty" FROM d, g"""
+)
+def evaluate_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set metrics, and the distance of the valid rows on two components."""
+    rows = _in_plane(spark, sf_dir)
+    gen = rows.where("label < 6").withColumn("valid", F.col("item") != "")
+    result = evaluate(gen, rows.where("label >= 3"))
+    return result.select(*[F.round(f"`{c}`", 9).alias(c) for c in result.columns])
+
+
+@query(
+    _plane("vec_id IN (SELECT vec_id FROM embeddings WHERE label BETWEEN 1 AND 5 ORDER BY vec_id LIMIT 60)", "label >= 3")
+    + """, g AS (SELECT count_if(label > 0) AS valid, count(DISTINCT label) FILTER (label > 0) AS uniq,
+              count(DISTINCT label) FILTER (label > 0 AND label < 3) AS novel, count(*) AS n
+       FROM (SELECT label FROM embeddings WHERE label < 6 ORDER BY vec_id LIMIT 60))
+SELECT round(distance, 9) AS "FCD", round(exp(-0.2 * distance), 9) AS "FCD GuacaMol", round(valid / n, 9) AS "Validity",
+       round(uniq / valid, 9) AS "Uniqueness", round(novel / uniq, 9) AS "Novelty" FROM d, g"""
+)
+def evaluate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the first rows, and against stored reference rows."""
+    rows = _in_plane(spark, sf_dir)
+    gen = rows.where("label < 6").withColumn("valid", F.col("item") != "")
+    result = evaluate(gen, rows.where("label >= 3"), n=60)
+    return result.select(*[F.round(f"`{c}`", 9).alias(c) for c in result.columns])
+
+
 def _text_lengths():
     import numpy as np
 

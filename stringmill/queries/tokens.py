@@ -227,6 +227,18 @@ def encode_wordlevel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", F.md5(F.array_join("input_ids", " ")).alias("ids"))
 
 
+@query(
+    _IDS
+    + """, n AS (SELECT ord, max(pos) AS last FROM p GROUP BY ord),
+k AS (SELECT ord, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids FROM p JOIN vocab USING (token) JOIN n USING (ord) WHERE pos > last - 62 GROUP BY ord)
+SELECT doc_id AS ord, md5(concat('0 ', ids, ' 1')) AS ids, greatest(length(text) - 62, 0)::INT AS n_cut FROM documents JOIN k ON ord = doc_id"""
+)
+def encode_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 64 ids a document: which are left, and how many went."""
+    rows = encode(_documents(spark, sf_dir), _char_model(spark, sf_dir), max_length=64, cut_into="n_cut")
+    return rows.select("ord", F.md5(F.array_join("input_ids", " ")).alias("ids"), "n_cut")
+
+
 @query(_IDS + " SELECT ord, md5(ids) AS ids FROM e")
 def encode_wordlevel_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The join form for vocabularies that are too large to travel with the tasks."""
@@ -395,6 +407,28 @@ def tokenized_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    _WORD_VOCAB
+    + f""", d AS (SELECT doc_id AS ord, text, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents),
+p AS (SELECT ord, split, unnest(string_split(text, '')) AS token, unnest(range(1, length(text) + 1)) AS pos FROM d),
+f AS (SELECT token, count(*) AS n FROM p WHERE split = 'train' GROUP BY token UNION ALL
+      SELECT unnest(['<s>', '</s>']), count(*) FROM d WHERE split = 'train'),
+z AS (SELECT CAST(round_even((count(*) - 7) * 0.9, 0) AS BIGINT) AS top FROM vocab),
+r AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rn,
+             greatest(CAST(trunc(-((top - 256) / CAST(max(n) OVER () AS DOUBLE)) * n + top) AS BIGINT), 256) AS cand FROM f, z),
+m AS (SELECT token, rn + max(cand - rn) OVER (ORDER BY rn) AS id FROM r),
+marks AS (SELECT max(id) FILTER (token = '<s>') AS bos, max(id) FILTER (token = '</s>') AS eos FROM m)
+SELECT ord, split, count(*) + 2 AS n_ids, md5(concat(any_value(bos), ' ', string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY pos), ' ', any_value(eos))) AS ids
+FROM p LEFT JOIN m USING (token), marks GROUP BY ord, split"""
+)
+def tokenized_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the train part, mapped by frequency into the word vocabulary of all documents."""
+    split = F.when(F.col("ord") % 10 == 0, "validation").otherwise("train")
+    rows = _documents(spark, sf_dir).select(split.alias("split"), "ord", "item")
+    encoded, _ = build_tokenized_dataset(rows, multiple=1, specials=SPECIALS, into=_word_vocab(spark, sf_dir))
+    return encoded.select("ord", "split", F.size("input_ids").cast("long").alias("n_ids"), F.md5(F.array_join("input_ids", " ")).alias("ids"))
+
+
 _BIGRAMS = _CHARS + """, l AS (SELECT doc_id AS ord, CASE WHEN toxic = 1 THEN 'test' WHEN quality = 0 THEN 'validation' END AS split FROM labels),
 b AS (SELECT p.ord, coalesce(l.split, 'train') AS split, p.token AS context, lead(p.token) OVER (PARTITION BY p.ord ORDER BY p.pos) AS token
       FROM p LEFT JOIN l USING (ord)),

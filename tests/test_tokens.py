@@ -410,3 +410,25 @@ def test_bpe_reads_only_parts_that_hold_its_merges(rows, monkeypatch, tmp_path,
         if parts == 16:
             assert sum(read for _, read, _ in model.reads) < 0.5 * sum(total for _, _, total in model.reads)
     assert folders and not any(os.path.exists(f) for f in folders)
+
+
+def test_bpe_mapped_into_another_vocabulary(rows, spark):
+    """Mapped ids stand for the same pieces; a token that never occurs is mapped as well."""
+    from stringmill.operators.tokenizers.bpe import train_bpe
+    from stringmill.plans.tokenized import build_tokenized_dataset, mapped_model
+
+    lines = [x for x in corpus(3) if not set(x) & set("^_ §°")]
+    into = rows("token string, id int", *[(f"old{i}", i) for i in range(600)])
+    model = train_bpe(frame(rows, lines), 40)
+    mapped = mapped_model(model, frame(rows, lines), into)
+    assert len(mapped.tokens) == 600 and mapped.merges == model.merges
+    assert {t for t in model.tokens if t not in SPECIALS[2:]} <= set(mapped.tokens[256:])
+    assert mapped.pad_id == mapped.eos_id and mapped.tokens[:256] == tuple(f"old{i}" for i in range(256))
+    old, new = ids_of(frame(rows, lines), model), ids_of(frame(rows, lines), mapped)
+    assert [[mapped.tokens[i] for i in row] for row in new] == [[model.tokens[i] for i in row] for row in old]
+    data = rows("split string, ord long, item string", *[(s, i, t) for i, t in enumerate(lines) for s in ("train", "validation")])
+    encoded, built = build_tokenized_dataset(data, algorithm="BPE", vocab_size=40, into=into, max_length=6, multiple=1, cut_into="lost")
+    assert built.tokens == mapped.tokens
+    for r in encoded.collect():
+        whole = new[r.ord]
+        assert r.lost == max(0, len(whole) - 4) and r.input_ids == [mapped.bos_id, *whole[r.lost :], mapped.eos_id]
