@@ -12,7 +12,8 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     """One star step: every node's neighbours move to the smallest node of its neighbourhood."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    moved = both.join(least, "a").select(F.col("b").alias("x"), "m", "a")
+    # by shuffle: every broadcast table would take a page of 64 MB on the driver, round after round
+    moved = both.join(least.hint("merge"), "a").select(F.col("b").alias("x"), "m", "a")
     if large:
         out = moved.where("x > a").select(F.col("x").alias("a"), F.col("m").alias("b"))
     else:

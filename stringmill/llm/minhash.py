@@ -116,7 +116,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
     of = lambda end: texts.select(F.col("rep").alias(end), F.col("text").alias(f"text_{end}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("b").hint("merge"), "b").join(of("a").hint("merge"), "a").select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -125,13 +125,13 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     Also block, the members' part of a large bucket, and blocks, their number. Blocks grow with the
     root of the bucket, so that the copies of a member do too, and shrink where sets are large.
     """
-    rows = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    rows = members.join(labels.hint("merge"), members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     state = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.max("n").alias("largest")).where("low < high")
     size = F.greatest(F.lit(BLOCK), F.least(F.lit(BLOCK * 16), F.sqrt("m") * 16))
     size = F.greatest(F.lit(16), F.least(size, F.lit(BLOCK_SHINGLES) / F.col("largest")))
     blocks = F.ceil(F.col("m") / size).cast("int")
     open_ = stored(state.select("bucket", blocks.alias("blocks")), "open")
-    found = rows.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks").cast("long")).cast("int"))
+    found = rows.join(open_.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks").cast("long")).cast("int"))
     return found.select("rep", "bucket", "component", "block", "blocks")
 
 
@@ -185,7 +185,7 @@ def across(open_members: DataFrame, texts: DataFrame, n: int, percent: int) -> D
     Every pair of blocks is one group of bounded size; pairs are compared inside it and only links
     that join components leave it.
     """
-    with_text = open_members.join(texts, "rep")
+    with_text = open_members.join(texts.hint("merge"), "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_text.withColumn("other", other).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "text")
 
@@ -224,19 +224,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     classes = stored(used.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "classes")
     bucketed = classes.select("rep", "n", F.explode("buckets").alias("bucket")).distinct()
     shared = bucketed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most").select("bucket", "centre")
-    members = stored(bucketed.join(shared, "bucket").select("bucket", "rep", "n", "centre"), "members")
+    members = stored(bucketed.join(shared.hint("merge"), "bucket").select("bucket", "rep", "n", "centre"), "members")
     wanted = members.select("rep").distinct()
-    texts = stored(rows.join(wanted, rows.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text"), "candidates")
+    texts = stored(rows.join(wanted.hint("merge"), rows.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text"), "candidates")
     links = stored(confirm(members.where("centre <> rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), texts, n, percent), "links")
     labels = stored(components(links), "labels")
     more = stored(across(_open_members(members.select("bucket", "rep", "n"), labels), texts, n, percent), "links")
     if not more.isEmpty():
         above = components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        found = labels.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        found = labels.join(above.hint("merge"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         # components of one document have no label of their own yet
         alone = above.join(labels.select(F.col("component")).distinct(), "component", "left_anti")
         labels = found.unionAll(alone.select(F.col("component").alias("node"), F.col("top").alias("component")))
-    by_class = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    found = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
+    by_class = classes.select("set_key", "rep").join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    found = made.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class.hint("merge"), "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
