@@ -117,19 +117,27 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     taught = id_and_text(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, schema)
     # a window over the sample only: the features before a row decide whether it still fits
     before = F.sum(F.size("buckets")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("buckets"), F.xxhash64("parts")).rowsBetween(Window.unboundedPreceding, -1))
-    found = taught.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < terms).toArrow()
-    model, seen = Ftrl(bits), []
-    for chunk in found.to_batches():
-        ends = chunk.column("buckets").offsets.to_numpy()
-        at, x = chunk.column("buckets").values.to_numpy(), chunk.column("parts").values.to_numpy()
-        for y, a, b in zip(chunk.column("y").to_pylist(), ends, ends[1:]):
-            seen.append((np.append(at[a:b], 1 << bits), np.append(x[a:b], 1).astype(np.float64), y))
-    order = np.random.Generator(np.random.PCG64(8))
-    for _ in range(epochs if seen else 0):
-        for i in order.permutation(len(seen)):
-            model.learn(*seen[i])
-    w = model.weight(np.arange((1 << bits) + 1))
-    return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
+    found = taught.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < terms)
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = Ftrl(bits), []
+        for chunk in batches:
+            ends = chunk.column("buckets").offsets.to_numpy()
+            at, x = chunk.column("buckets").values.to_numpy(), chunk.column("parts").values.to_numpy()
+            seen += [(at[a:b], x[a:b], y) for y, a, b in zip(chunk.column("y").to_pylist(), ends, ends[1:])]
+        order = np.random.Generator(np.random.PCG64(8))
+        for _ in range(epochs if seen else 0):
+            for i in order.permutation(len(seen)):
+                at, x, y = seen[i]
+                model.learn(np.append(at, 1 << bits), np.append(x, 1).astype(np.float64), y)
+        w = model.weight(np.arange((1 << bits) + 1))
+        yield pa.RecordBatch.from_arrays([pa.array([w[:-1].astype("<f4").tobytes()], pa.binary()), pa.array([float(w[-1])])], names=["weights", "bias"])
+
+    # the bounded sample is one task's work: only the weights reach the driver
+    made = found.select("y", "buckets", "parts").coalesce(1).mapInArrow(learned, "weights binary, bias double").collect()
+    if not made:
+        return Model(np.zeros(1 << bits, np.float32), 0.0, bits)
+    return Model(np.frombuffer(made[0]["weights"], "<f4"), made[0]["bias"], bits)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
