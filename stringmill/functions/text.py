@@ -14,6 +14,7 @@ DELETED_PREFIX = "§§§_"
 
 # fixed values: words a header line of an item file starts with
 HEADER_WORDS = ("SMILES", "REACTION", "SMARTS", "SMIRKS", "SELFIES", "MOL")
+HEADER_PATTERN = "^(" + "|".join(HEADER_WORDS) + ")"
 
 CRITERIA = ("atom_mapping", "canonical")
 
@@ -31,7 +32,7 @@ def enclose(text: Column, bos: str = BOS, eos: str = EOS) -> Column:
 
 
 def is_header(first_line: Column) -> Column:
-    return F.upper(first_line).rlike("^(" + "|".join(HEADER_WORDS) + ")")
+    return F.upper(first_line).rlike(HEADER_PATTERN)
 
 
 def strip_atom_mapping(template: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.formats import path_stem
+from . import opened
 
 # fixed values: file names that make a folder a run
 MODEL_FILE = "pytorch_model.bin"
@@ -44,17 +47,28 @@ def _folder(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: ``(path, folder, name, length, modified)``; nothing is read."""
+    """Every file below ``root``: ``(path, folder, name, length, modified)``; nothing is read.
+
+    Scans pass over files of no bytes. They are added from the driver's listing, without a time.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(
+    listed = pd.DataFrame({"path": pd.Series([unquote(f) for f in files.inputFiles()], dtype=str)})
+    # both sides spell a path as file:/..., whatever number of slashes the listing has
+    known = files.select(_one_slash(F.col("path")).alias("path"), "length", "modificationTime")
+    every = spark.createDataFrame(listed, "path string").select(_one_slash(F.col("path")).alias("path"))
+    return every.join(known, "path", "left").select(
         "path",
         _folder(F.col("path")).alias("folder"),
         F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-        "length",
+        F.coalesce("length", F.lit(0)).alias("length"),
         F.col("modificationTime").alias("modified"),
     )
 
 
+def _one_slash(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def discover_runs(files: DataFrame) -> DataFrame:
     """Folders that hold a model or generated rows, with flags per kind.
 
@@ -100,7 +114,7 @@ def _whole_files(spark: SparkSession, root: str, names: Sequence[str]) -> DataFr
         .option("pathGlobFilter", "{" + ",".join(names) + "}")
         .text(root)
     )
-    path = F.col("_metadata.file_path")
+    path = _one_slash(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     return texts.select(
         _folder(path).alias("run"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("content")
     )
@@ -115,13 +129,26 @@ def card_values(text: Column, patterns: Mapping[str, str] = CARD_PATTERNS) -> di
 
 
 def file_digests(spark: SparkSession, root: str, algorithm: str = "sha256") -> DataFrame:
-    """``(name, path, digest)`` of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """``(name, path, digest)`` of every file below a path, of any size.
+
+    The listing spreads the files over tasks; a task reads one file at a time, block by block.
+    """
     if algorithm not in ("sha256", "md5"):
         raise ValueError("algorithm must be sha256 or md5")
-    digest = F.sha2("content", 256) if algorithm == "sha256" else F.md5("content")
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path", digest.alias("digest")
+    files = list_files(spark, root).select("name", "path")
+    return opened.file_digests(files.repartition("path"), algorithm)
+
+
+def merkle_digests(
+    spark: SparkSession, root: str, leaf_bytes: int = opened.LEAF_BYTES
+) -> DataFrame:
+    """``(name, path, n_leaves, digest)``: one file's pieces are read by many tasks.
+
+    The digest is the sha256 over the sha256 of the pieces, so it differs from that of the whole.
+    """
+    files = list_files(spark, root).select("path", "length")
+    return opened.merkle_digests(files, leaf_bytes).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path", "n_leaves", "digest"
     )
 
 
@@ -137,17 +164,19 @@ def verify_checksums(digests: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.select("name", "expected", "digest", status.alias("status"))
 
 
-def fileset_digest(digests: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """One digest of a set of files, whatever their order.
-
-    Digests are combined per first two digits, then over those 256 groups.
-    """
+#: Digests are combined over their first four digits, then two, then all: 256 values meet on each
+#: upper level, and a 65 536th of the files on the lowest.
+FILESET_LEVELS = (4, 2, 0)
 
-    def combine(parts: Column) -> Column:
-        joined = F.concat_ws("", F.sort_array(F.collect_list(parts)))
-        return F.sha2(joined, 256) if algorithm == "sha256" else F.md5(joined)
 
-    groups = digests.groupBy(F.substring("digest", 1, 2).alias("g")).agg(
-        combine(F.col("digest")).alias("digest"), F.count("*").alias("n")
-    )
-    return groups.agg(combine(F.col("digest")).alias("digest"), F.sum("n").alias("n_files"))
+def fileset_digest(digests: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """One digest of a set of files, whatever their order: ``(digest, n_files)``."""
+    level = digests.select(F.col("digest").alias("place"), "digest", F.lit(1).cast("long").alias("n"))
+    for digits in FILESET_LEVELS:
+        parts = F.sort_array(F.collect_list(F.struct("place", "digest")))
+        joined = F.concat_ws("", F.transform(parts, lambda p: p["digest"]))
+        combined = F.sha2(joined, 256) if algorithm == "sha256" else F.md5(joined)
+        level = level.groupBy(F.substring("place", 1, digits).alias("place")).agg(
+            combined.alias("digest"), F.sum("n").alias("n")
+        )
+    return level.select("digest", F.col("n").alias("n_files"))

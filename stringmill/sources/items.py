@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.text import is_header
+from ..functions.text import HEADER_PATTERN
 from ..operators.cuts import first_n
+from .opened import cells, first_lines, line_digest
 
 # fixed values: words in a path that say which split a file holds
 SPLIT_NAMES = {
@@ -22,9 +25,6 @@ SPLIT_NAMES = {
     "test": ("test", "testing", "eval", "evaluation"),
 }
 
-# Above this many files the header test is one Spark job over all first blocks.
-PEEK_FILES = 256
-
 
 def file_order() -> Column:
     """Position of a row in its file set: file, block in the file, row in the block.
@@ -57,47 +57,58 @@ def _csv(spark: SparkSession, header: bool, multiline: bool = False):
     )
 
 
-def _by_first_line(spark: SparkSession, paths: list[str], said: Column) -> dict[object, list[str]]:
-    """The files in groups of what ``said`` tells of their first line, ``value``."""
-    lines = spark.read.text(paths)
-    files = [unquote(f) for f in lines.inputFiles()]
-    told = {}
-    if len(files) <= PEEK_FILES:
-        for f in files:
-            row = spark.read.text(f).limit(1).select(said.alias("told")).first()
-            told[f] = row and row["told"]
-    else:
-        first = (
-            lines.where(F.col("_metadata.file_block_start") == 0)
-            .select(
-                F.col("_metadata.file_path").alias("file"),
-                "value",
-                F.monotonically_increasing_id().alias("row"),
-            )
-            .groupBy("file")
-            .agg(F.min_by("value", "row").alias("value"))
-        )
-        # one row per file, like the file listing the driver holds anyway
-        told = {unquote(r.file): r.told for r in first.select("file", said.alias("told")).collect()}
+def _files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files of all paths, in order of their names; nothing is read."""
+    return sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
+
+
+def _by_first_line(
+    spark: SparkSession, paths: list[str], told: Callable[[str | None], object]
+) -> dict[object, list[str]]:
+    """The files in groups of what ``told`` says of their first line.
+
+    One job looks at all files, and what comes to the driver is one short word per file, like the
+    listing that stands there anyway.
+    """
+    files = _files(spark, paths)
+
+    def word(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: json.dumps(told(line)), na_action=None)
+
+    tell = F.pandas_udf(word, "string")
+    said = first_lines(spark, files).select("file", tell("line").alias("said")).collect()
     groups = defaultdict(list)
-    for f in sorted(told):
-        groups[told[f]].append(f)
-    return groups
+    for row in sorted(said):
+        groups[row.said].append(row.file)
+    return {_tuples(json.loads(k)): files for k, files in groups.items()}
 
 
-def _files_with_header(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
-    groups = _by_first_line(spark, paths, is_header(F.ltrim(F.col("value"), F.lit('"'))))
-    return groups[True], groups[False] + groups[None]
+def _tuples(value: object) -> object:
+    return tuple(value) if isinstance(value, list) else value
 
 
-def _header_groups(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
-    """The files as one table per header line: names hold for the files that carry them."""
-    whole = _csv(spark, True).csv(paths)
-    if len(whole.inputFiles()) == 1:
-        return [whole]
-    groups = _by_first_line(spark, paths, F.col("value"))
-    groups.pop(None, None)  # files without a line
-    return [_csv(spark, True).csv(files) for files in groups.values()] or [whole]
+def _reads_like_header(line: str | None) -> bool:
+    return line is not None and re.search(HEADER_PATTERN, line.lstrip('"').upper()) is not None
+
+
+def _places(spark: SparkSession, paths: list[str], names: Sequence[str]) -> dict[object, list[str]]:
+    """The files in groups of the places of ``names`` in their header line, -1 for a missing one.
+
+    Files without a line are under None. All headerless files are one group, whatever they hold.
+    """
+
+    def told(line: str | None) -> list[int] | None:
+        header = cells(line)
+        return header and [header.index(n) if n in header else -1 for n in names]
+
+    return _by_first_line(spark, paths, told)
+
+
+def _by_place(spark: SparkSession, files: list[str], places: Sequence[int]) -> DataFrame:
+    """Columns ``c0, c1, ...`` of files with a header line; the scan reads those that are asked for."""
+    width = max(places) + 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return _csv(spark, True).option("enforceSchema", True).csv(files, schema=schema)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -121,8 +132,8 @@ def read_items(
     """
     paths = _paths(path)
     if header == "auto":
-        with_header, without = _files_with_header(spark, paths)
-        groups = [(True, with_header), (False, without)]
+        found = _by_first_line(spark, paths, _reads_like_header)
+        groups = [(flag, found.get(flag, [])) for flag in (True, False)]
     else:
         groups = [(bool(header), paths)]
     parts = [
@@ -132,7 +143,12 @@ def read_items(
         for flag, files in groups
         if files
     ]
-    return _union(parts)
+    return _union(parts) if parts else _empty_items(spark)
+
+
+def _empty_items(spark: SparkSession) -> DataFrame:
+    order = "ord struct<file string, block long, row long>"
+    return spark.createDataFrame([], f"{order}, item string")
 
 
 def read_known(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -152,17 +168,19 @@ def read_table(
     columns is an error; without ``columns`` the first file's are asked for.
     """
     paths = _paths(path)
-    groups = _header_groups(spark, paths)
-    names = list(columns) if columns else groups[0].columns
-    missing = sorted({c for raw in groups for c in names if c not in raw.columns})
-    if missing:
-        raise ValueError(f"no column {missing} in {paths}")
+    names = list(columns) if columns else _csv(spark, True).csv(_files(spark, paths)[0]).columns
+    groups = _places(spark, paths, names)
+    groups.pop(None, None)  # files without a line
+    missing = sorted({n for places in groups for n, place in zip(names, places) if place < 0})
+    if missing or not groups:
+        raise ValueError(f"no column {missing or names} in {paths}")
     renames = renames or {}
     return _union([
-        raw.select(
-            file_order().alias("ord"), *[F.col(f"`{c}`").alias(renames.get(c, c)) for c in names]
+        _by_place(spark, files, places).select(
+            file_order().alias("ord"),
+            *[F.col(f"c{place}").alias(renames.get(n, n)) for n, place in zip(names, places)],
         )
-        for raw in groups
+        for places, files in groups.items()
     ])
 
 
@@ -189,17 +207,21 @@ def read_generated(
     Nulls are dropped, then the first ``n`` rows are taken; more than there are is an error.
     """
     paths = _paths(path)
-    groups = _header_groups(spark, paths)
-    if valid_only and not all({"smiles", "valid"} <= set(raw.columns) for raw in groups):
+    groups = _places(spark, paths, ["smiles", "valid"])
+    groups.pop(None, None)  # files without a line
+    if valid_only and any(-1 in places for places in groups):
         raise ValueError("valid_only needs the columns smiles and valid")
     parts = []
-    for raw in groups:
-        if "smiles" in raw.columns:
-            kept = raw.where(F.lower("valid") == "true") if valid_only else raw
-            parts.append(kept.select(file_order().alias("ord"), F.col("smiles").alias("item")))
-    bare = [f for raw in groups if "smiles" not in raw.columns for f in map(unquote, raw.inputFiles())]
-    if bare:
-        parts.append(read_items(spark, bare, header=False))
+    bare = []
+    for (smiles, valid), files in groups.items():
+        if smiles < 0:
+            bare += files
+            continue
+        raw = _by_place(spark, files, [smiles, valid] if valid_only else [smiles])
+        kept = raw.where(F.lower(f"c{valid}") == "true") if valid_only else raw
+        parts.append(kept.select(file_order().alias("ord"), F.col(f"c{smiles}").alias("item")))
+    if bare or not parts:
+        parts.append(read_items(spark, bare, header=False) if bare else _empty_items(spark))
     rows = _union(parts).dropna(subset=["item"])
     return rows if n is None else first_n(rows, n)
 
@@ -253,7 +275,7 @@ def merge_tables(
     """
     from ..operators.dedup import drop_duplicates as keep_first
 
-    files = sorted(spark.read.text(_paths(paths)).inputFiles())
+    files = _files(spark, _paths(paths))
     if not files:
         raise ValueError("no files to merge")
     if isinstance(column, str) and column.lower() == "none":
@@ -262,9 +284,12 @@ def merge_tables(
         raise ValueError(f"column {column!r} cannot be used without the header check")
     first = _csv(spark, True).csv(files[0]).columns
     if check_header:
-        for f in files[1:]:
-            if _csv(spark, True).csv(f).columns != first:
-                raise ValueError(f"the header of {f} differs from that of {files[0]}")
+        # one short digest per file tells which headers are alike
+        alike = _by_first_line(spark, files, lambda line: line_digest(cells(line)))
+        own = next(said for said, group in alike.items() if files[0] in group)
+        other = sorted(f for said, group in alike.items() if said != own for f in group)
+        if other:
+            raise ValueError(f"the header of {other[0]} differs from that of {files[0]}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in first])
     rows = _csv(spark, True).csv(files, schema=schema, enforceSchema=True)
     rows = rows.select(file_order().alias("ord"), *[F.col(f"`{c}`") for c in first])

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,11 +30,36 @@ def test_items_header_is_dropped_once(spark, tmp_path):
     assert len(texts(items.read_known(spark, str(tmp_path)))) == 6
 
 
-def test_many_files_are_peeked_in_one_job(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(items, "PEEK_FILES", 1)
-    (tmp_path / "a.csv").write_text("SMILES\nC\nSMILES\n")
-    (tmp_path / "b.csv").write_text("N\nO\n")
-    assert texts(items.read_items(spark, str(tmp_path))) == ["C", "SMILES", "N", "O"]
+def _jobs(spark, run):
+    """The Spark jobs that a call starts."""
+    context = spark.sparkContext
+    group = f"counted-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "")
+    result = run()
+    started = context.statusTracker().getJobIdsForGroup(group)
+    context._jsc.clearJobGroup()
+    return result, len(started)
+
+
+def test_many_files_are_looked_at_in_one_job(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i:02}.csv").write_text(f"C{i},1\nSMILES\n" if i % 2 else f"\n\"Smiles, {i}\"\nC{i}\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows, jobs = _jobs(spark, lambda: items.read_items(spark, str(tmp_path)))
+    assert jobs <= 2
+    want = [t for i in range(30) for t in ([f"C{i}", "SMILES"] if i % 2 else [f"C{i}"])]
+    assert sorted(texts(rows)) == sorted(want)
+
+
+def test_headerless_generated_files_are_one_group(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"{i:02}.csv").write_text(f"C{i}\nN\n")
+    with gzip.open(tmp_path / "x.csv.gz", "wt") as f:
+        f.write("valid,smiles\nTrue,X\n")
+    rows, jobs = _jobs(spark, lambda: items.read_generated(spark, str(tmp_path)))
+    assert jobs <= 2
+    assert len(texts(rows)) == 61 and "X" in texts(rows)
+    assert texts(items.read_generated(spark, str(tmp_path), n=3)) == ["C0", "N", "C1"]
 
 
 def test_order_survives_blocks(spark, tmp_path):
@@ -102,9 +128,7 @@ def test_split_dir_words(spark, tmp_path):
         items.read_split_dir(spark, str(mixed))
 
 
-@pytest.mark.parametrize("peek", [0, 256])
-def test_header_of_each_file(spark, tmp_path, monkeypatch, peek):
-    monkeypatch.setattr(items, "PEEK_FILES", peek)
+def test_header_of_each_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,x\n4,3\n")
     rows = items.read_table(spark, str(tmp_path)).orderBy("ord")
@@ -273,3 +297,20 @@ def test_checksums(spark, rows, tmp_path):
     assert whole == artifacts.fileset_digest(digests.orderBy(F.desc("name"))).first().digest
     md5 = artifacts.file_digests(spark, str(tmp_path), "md5")
     assert hashlib.md5(b"a").hexdigest() in {r.digest for r in md5.collect()}
+
+
+def test_digests_block_by_block(spark, tmp_path, monkeypatch):
+    texts = {"a.bin": b"", "b.bin": b"x" * 100, "c d.bin": bytes(range(256)) * 10}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.name: r.digest for r in artifacts.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {n: hashlib.sha256(d).hexdigest() for n, d in texts.items()}
+    leaves = {r.name: (r.n_leaves, r.digest) for r in artifacts.merkle_digests(spark, str(tmp_path), 100).collect()}
+    for name, data in texts.items():
+        parts = [data[i : i + 100] for i in range(0, len(data), 100)] or [b""]
+        whole = b"".join(hashlib.sha256(p).digest() for p in parts)
+        assert leaves[name] == (len(parts), hashlib.sha256(whole).hexdigest())
+    rows = artifacts.file_digests(spark, str(tmp_path))
+    sets = [artifacts.fileset_digest(r).first() for r in (rows, rows.orderBy("digest"))]
+    assert sets[0] == sets[1] and sets[0].n_files == 3
+    assert artifacts.fileset_digest(rows.where("name <> 'a.bin'")).first().digest != sets[0].digest
