@@ -112,13 +112,24 @@ def last_value(df: DataFrame, by: str, value: str, order_by: Sequence[str]) -> D
 
 
 def extract_metrics(artifacts: DataFrame, cards: DataFrame | None = None) -> DataFrame:
-    """Long ``(run, metric, value)`` of everything the catalogue finds; values are text."""
+    """Long ``(run, metric, value)`` of everything the catalogue finds; values are text.
+
+    A file is parsed once, to a VARIANT that the catalogue's paths are read from; a path that is
+    not there, or a file that is no JSON, gives no row. Token models are read by path from the
+    text, as a vocabulary may be larger than a VARIANT can be.
+    """
     from ..sources.artifacts import card_values
 
     content = F.col("content")
+    in_tokenizer = F.col("file") == "tokenizer.json"
+    parsed = F.when(~in_tokenizer, F.try_parse_json(content))
+    artifacts = artifacts.select("run", "file", "content", parsed.alias("parsed"))
 
     def pick(m: Metric) -> Column:
-        value = F.get_json_object(content, m.path)
+        if m.file == "tokenizer.json":
+            value = F.get_json_object(content, m.path)
+        else:
+            value = F.try_variant_get("parsed", m.path, "string")
         if m.name == "num_epochs":
             value = round_epoch(value.cast("double")).cast("string")
         if m.name == "train_runtime":
@@ -126,7 +137,6 @@ def extract_metrics(artifacts: DataFrame, cards: DataFrame | None = None) -> Dat
         return F.when(F.col("file") == m.file, value)
 
     found = {m.name: pick(m) for m in CATALOGUE if m.path}
-    in_tokenizer = F.col("file") == "tokenizer.json"
     found["pre_tokenizer"] = F.when(in_tokenizer, detect_pre_tokenizer(content))
     found["vocab_size"] = F.when(in_tokenizer, tokenizer_vocab_size(content).cast("string"))
     found["val_acc"] = F.when(F.col("file") == "trainer_state.json", last_eval_value(content))

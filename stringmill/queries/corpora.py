@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import dedup_report
 from ..plans.corpus import prepare_item_corpus, prepare_reaction_corpus
-from ..sources import artifacts, items
-from ..sources.shared import shared_path
-from ..sources.sinks import write_items, write_metrics
+from ..sources import artifacts, items, opened
+from ..sources.shared import shared_path, stored
+from ..sources.sinks import write_eval_json, write_items, write_metrics
 from . import templates
 from .registry import query, table
 
@@ -147,15 +148,99 @@ def metrics_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(~F.col("line").startswith("| run |") & ~F.col("line").startswith("|:--"))
 
 
-@query()
+_TEXTS = """
+WITH t AS (SELECT doc_id, concat(doc_id, '.txt') AS name, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS digest FROM documents)"""
+_LEVEL = "SELECT left(place, {0}) AS place, sha256(string_agg(digest, '' ORDER BY place, digest)) AS digest FROM {1} GROUP BY 1"
+
+
+@query(
+    _TEXTS
+    + f""", l0 AS (SELECT digest AS place, digest FROM t), l1 AS ({_LEVEL.format(4, "l0")}), l2 AS ({_LEVEL.format(2, "l1")})
+SELECT name, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'unchecked' ELSE 'ok' END AS status, digest FROM t
+UNION ALL SELECT concat('lost-', name), 'missing', NULL FROM t WHERE doc_id % 10 = 3
+UNION ALL SELECT 'all files', 'ok', digest FROM ({_LEVEL.format(0, "l2")})"""
+)
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksums of the table files themselves, checked against a registry, and one for all."""
-    digests = artifacts.file_digests(spark, sf_dir)
-    registry = digests.select(
-        "name", F.when(F.col("name") != "nation.parquet", F.col("digest")).alias("expected")
+    """Texts written as files, their checksums against a registry that errs, and one for the whole set."""
+    path = shared_path(spark, "texts")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat("doc_id", F.lit(".txt"))
+    folder = F.concat(F.pmod("doc_id", F.lit(256)).cast("string"), F.lit("/"))
+    opened.write_named(docs.select(F.concat(folder, name).alias("path"), F.col("text").alias("content")), path)
+    right = F.sha2("text", 256)
+    kind = F.col("doc_id") % 4
+    expected = (
+        F.when(kind == 0, F.concat(F.lit("sha256:"), right))
+        .when(kind == 1, F.sha2(F.concat("text", F.lit("x")), 256))
+        .when(kind == 3, F.upper(right))
+    )
+    registry = docs.select(name.alias("name"), expected.alias("expected")).unionByName(
+        docs.where("doc_id % 10 = 3").select(F.concat(F.lit("lost-"), name).alias("name"), right.alias("expected"))
     )
+    digests = stored(artifacts.file_digests(spark, path), "digests")
     checked = artifacts.verify_checksums(digests, registry).select("name", "status", "digest")
     whole = artifacts.fileset_digest(digests)
     return checked.unionByName(
         whole.select(F.lit("all files").alias("name"), F.lit("ok").alias("status"), "digest")
     )
+
+
+@query(
+    _TEXTS
+    + """, p AS (SELECT name, doc_id, text, unnest(range(greatest((octet_length(encode(text)) - 1) // 1000 + 1, 1))) AS leaf FROM t),
+h AS (SELECT name, leaf, sha256(encode(text)[leaf * 1000 + 1 : (leaf + 1) * 1000]) AS hash FROM p)
+SELECT name, count(*) AS n_leaves, sha256(unhex(string_agg(hash, '' ORDER BY leaf))) AS digest FROM h GROUP BY name"""
+)
+def merkle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums over the pieces of 1 000 bytes of each text, written as files."""
+    path = shared_path(spark, "pieces")
+    docs = table(spark, sf_dir, "documents")
+    opened.write_named(docs.select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")), path)
+    return artifacts.merkle_digests(spark, path, 1000).select("name", "n_leaves", "digest")
+
+
+@query("SELECT c_name AS item FROM customer UNION ALL SELECT s_name FROM supplier")
+def read_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item files packed by gzip and by bzip2, with and without a header line."""
+    path = shared_path(spark, "packed")
+    table(spark, sf_dir, "customer").select(F.col("c_name").alias("smiles")).write.csv(
+        f"{path}/a", header=True, compression="gzip"
+    )
+    table(spark, sf_dir, "supplier").select("s_name").write.csv(f"{path}/b", header=False, compression="bzip2")
+    return items.read_items(spark, [f"{path}/a", f"{path}/b"]).select("item")
+
+
+@query(_RAW + " SELECT id, split, product, template FROM raw")
+def read_two_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose headers name the same columns in two orders."""
+    path = shared_path(spark, "two-headers")
+    _raw_reactions(spark, sf_dir, f"{path}/all")
+    rows = items.read_table(spark, f"{path}/all", ["id", "split", "class", "prod_smiles", "reaction_smarts"]).drop("ord")
+    valid = F.col("split") == "valid"
+    write_items(rows.where(valid), f"{path}/a", header=True)
+    write_items(rows.where(~valid).select(*reversed(rows.columns)), f"{path}/b", header=True)
+    read = items.read_reactions(spark, [f"{path}/a", f"{path}/b"]).drop("ord")
+    return read.toDF("id", "split", "product", "template")
+
+
+@query("SELECT c_name AS item FROM customer UNION ALL SELECT s_name FROM supplier WHERE s_acctbal > 0")
+def read_generated_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated files without a header, and others that name the column second."""
+    path = shared_path(spark, "generated-mixed")
+    write_items(table(spark, sf_dir, "customer").select("c_name", "c_nationkey"), f"{path}/a")
+    named = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_name").alias("smiles"))
+    write_items(named, f"{path}/b", header=True)
+    return items.read_generated(spark, [f"{path}/a", f"{path}/b"]).select("item")
+
+
+@query(
+    """
+SELECT count(*) AS items_total, count(DISTINCT text) + CAST(bool_or(text IS NULL) AS INT) AS items_deduplicated,
+       count(DISTINCT text) + CAST(bool_or(text IS NULL) AS INT) AS items_left FROM documents"""
+)
+def evaluation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result row written as the evaluation file and read back."""
+    path = shared_path(spark, "evaluation")
+    report = dedup_report(table(spark, sf_dir, "documents"), key="text")
+    write_eval_json(report, path)
+    return spark.read.schema(report.schema).json(path)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.pieces import PATTERNS
 from ..operators import runs as ops
-from ..sources.artifacts import card_values
+from ..plans.experiments import collect_run_metrics, short_directories
+from ..sources.artifacts import card_values, discover_runs, list_files
 from ..sources.artifacts import latest_run as newest
+from ..sources.opened import write_named
+from ..sources.shared import shared_path
 from .registry import query, table
 
 _REGISTRY = """
@@ -237,3 +240,95 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("run "), "o_orderkey").alias("run"), F.col("o_orderdate").alias("created")
         )
     )
+
+
+def _run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)`` of a run per nation and segment; those of BUILDING hold generated items."""
+    orders, customer = (table(spark, sf_dir, t) for t in ("orders", "customer"))
+    groups = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("seg"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("o_orderkey") % 1000).alias("s"))
+    )
+    tokenizer = (
+        '{"model": {"type": "BPE", "vocab": {"^": 0, "C": 1, "N": 2}}, "added_tokens": [{"content": "^"}], '
+        '"pre_tokenizer": {"type": "ByteLevel"}}'
+    )
+    config = F.format_string('{"n_layer": %d, "n_head": %d}', "k", F.col("n") % 8)
+    model = {
+        "pytorch_model.bin": F.lit("weights"),
+        "checkpoint-1/pytorch_model.bin": F.lit("weights"),
+        "checkpoint-1/scheduler.pt": F.lit("steps"),
+        "tokenizer.json": F.lit(tokenizer),
+        # every seventh is cut off
+        "config.json": F.when(F.col("k") % 7 == 0, '{"n_layer": ').otherwise(config),
+        # two of three runs have no such file
+        "misc_training_information.json": F.when(
+            F.col("k") % 3 == 0, F.format_string('{"model_size": "%dM", "dataset_dir": "data/%s"}', "n", "seg")
+        ),
+        "all_results.json": F.format_string(
+            '{"epoch": %d.25, "train_runtime": %d, "train_loss": %s}', "n", F.col("s") % 60, F.col("n") / 8
+        ),
+        "trainer_state.json": F.format_string(
+            '{"best_metric": %s, "log_history": [{"eval_accuracy": 0.5}, {"eval_accuracy": %s}, {"loss": 1.0}]}',
+            F.col("s") / 16,
+            F.col("n") / 4,
+        ),
+        "README.md": F.format_string("# Run\n- learning_rate: 0.%d\n- train_batch_size: %d\n", "k", "n"),
+    }
+    items = {
+        "generated_smiles.csv": F.lit("C\n"),
+        "generate_args.json": F.format_string('{"num_beams": %d, "temperature": 0.75}', F.col("n") % 5),
+        "assess_stats.json": F.format_string('{"Validity": %s, "FCD GuacaMol": 0.5}', F.col("s") / 32),
+    }
+
+    def files(kind: str, contents: dict) -> DataFrame:
+        folder = F.concat(F.lit(f"{kind}_"), "k", F.lit("_"), "seg", F.lit("/"))
+        each = [F.struct(F.concat(folder, F.lit(f)).alias("path"), c.alias("content")) for f, c in contents.items()]
+        rows = groups.where((F.col("seg") == "BUILDING") == (kind == "gen"))
+        return rows.select(F.inline(F.array(*each))).where("content is not null")
+
+    return files("model", model).unionByName(files("gen", items))
+
+
+@query(
+    """
+WITH g AS (SELECT c_nationkey AS k, c_mktsegment AS seg, count(*) AS n, sum(o_orderkey % 1000) AS s
+           FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+r AS (SELECT *, seg = 'BUILDING' AS gen, concat('model_', k, '_', CASE seg WHEN 'BUILDING' THEN 'AUTOMOBILE' ELSE seg END) AS model FROM g),
+reg AS (SELECT concat('model_', s_nationkey, '_AUTOMOBILE') AS model,
+        CASE WHEN count(*) > 1 THEN 'Multiple' ELSE min(concat('s', s_suppkey)) END AS run_id FROM supplier GROUP BY 1),
+m AS (SELECT * FROM r WHERE NOT gen)
+SELECT CASE WHEN r.gen THEN concat('gen_', r.k, '_BUILDING') END AS "Generated directory", r.model AS "Model directory",
+  CASE WHEN m.k IS NOT NULL THEN 'ByteLevel' END AS pre_tokenizer, CASE WHEN m.k IS NOT NULL THEN 'BPE' END AS algorithm,
+  CAST(CASE WHEN m.k IS NOT NULL THEN 2 END AS INT) AS vocab_size,
+  CAST(CASE WHEN m.k % 7 <> 0 THEN m.k END AS INT) AS layers, CAST(CASE WHEN m.k % 7 <> 0 THEN m.n % 8 END AS INT) AS heads,
+  CASE WHEN m.k % 3 = 0 THEN concat(m.n, 'M') END AS model_size, CASE WHEN m.k % 3 = 0 THEN concat('data/', m.seg) END AS dataset_dir,
+  CAST(m.n AS INT) AS num_epochs, CAST(m.n AS INT) AS batch_size, CAST('0.' || CAST(m.k AS VARCHAR) AS DOUBLE) AS lr, reg.run_id AS wandb_run_id,
+  '0:00:' || lpad(CAST(m.s % 60 AS VARCHAR), 2, '0') AS train_runtime,
+  CAST(m.n / 8 AS DOUBLE) AS train_loss, CAST(m.s / 16 AS DOUBLE) AS val_loss, CAST(m.n / 4 AS DOUBLE) AS val_acc,
+  CAST(CASE WHEN r.gen THEN r.n % 5 END AS INT) AS num_beams, CASE WHEN r.gen THEN 0.75::DOUBLE END AS temperature,
+  CAST(CASE WHEN r.gen THEN r.s / 32 END AS DOUBLE) AS validity_mols, CASE WHEN r.gen THEN 0.5::DOUBLE END AS fcd_g_mols
+FROM r LEFT JOIN m ON m.model = r.model LEFT JOIN reg ON reg.model = r.model"""
+)
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of runs written from orders and customers, found, read and collected, a row per run.
+
+    Generated runs link to their nation's AUTOMOBILE model; suppliers stand for a registry of those.
+    """
+    path = shared_path(spark, "runs")
+    write_named(_run_files(spark, sf_dir), path)
+    runs = discover_runs(list_files(spark, path))
+    model = F.regexp_replace("run", r"gen_(\d+)_BUILDING$", "model_$1_AUTOMOBILE")
+    links = runs.where("has_items").select("run", model.alias("model_run"))
+    registry = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("run_id"),
+        "s_name",
+        F.concat(F.lit("out/model_"), "s_nationkey", F.lit("_AUTOMOBILE")).alias("output_dir"),
+    )
+    found = collect_run_metrics(spark, path, links, registry.withColumnRenamed("s_name", "run_name"))
+    return short_directories(found).select(
+        "Generated directory", "Model directory", "pre_tokenizer", "algorithm", "vocab_size", "layers", "heads",
+        "model_size", "dataset_dir", "num_epochs", "batch_size", "lr", "wandb_run_id", "train_runtime", "train_loss",
+        "val_loss", "val_acc", "num_beams", "temperature", "validity_mols", "fcd_g_mols",
+    )

@@ -135,23 +135,21 @@ def merkle_digests(files: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     )
 
 
-def write_named(files: DataFrame, root: str) -> DataFrame:
-    """Writes ``(path, content)`` as files named by ``path`` below ``root``; returns ``(path, length)``.
+def write_named(files: DataFrame, root: str) -> int:
+    """Writes ``(path, content)`` as files named by ``path`` below ``root``; the number of files.
 
-    For run artefacts, whose names are fixed. Nothing is written before the result is read. A file
-    is replaced whole, so a task that runs again leaves the same files.
+    For run artefacts, whose names are fixed. A file is replaced whole, so a task that runs again
+    leaves the same files. A null content is an empty file.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = []
             for path, content in zip(batch["path"], batch["content"]):
-                data = content.encode() if isinstance(content, str) else bytes(content)
                 system, inner = _place(f"{root}/{path}")
                 system.create_dir(inner.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(inner, compression=None) as out:
-                    out.write(data)
-                sizes.append(len(data))
-            yield pd.DataFrame({"path": batch["path"], "length": sizes})
+                    out.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
 
-    return files.select("path", "content").mapInPandas(write, "path string, length long")
+    written = files.select("path", "content").mapInPandas(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
