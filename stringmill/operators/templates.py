@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity_key
-from .skew import lookup_join
-
-ID_SPLITTER = " | "  # fixed value: separator of joined ids
+from ..sources.shared import stored
+from .skew import grid_join, lookup_join
 
 
 def similar_known(
@@ -97,9 +96,11 @@ def feasibility(
                 F.min(F.when(has_id, F.struct("ord", "id"))).alias("first"),
             )
         )
-        # hot keys are salted here as well; each template meets each product of its key once
+        # read for the counts of their keys and for the pairs
+        templates, products = stored(templates, "templates"), stored(products, "products")
+        # each template meets each product of its key once, in a cell sized from both counts
         hits = (
-            lookup_join(templates, products, "key", "inner", spread_by=template)
+            grid_join(templates, products, "key", template, "product")
             .where(works_with(F.col(template), F.col("product")))
             .groupBy(template)
             .agg(F.sum("ids").alias("num_works_with"), F.min("first")["id"].alias("first_id"))

@@ -17,6 +17,7 @@ from ..operators.runs import (
 )
 from ..operators.stats import best_group, rank_groups, sample_stats, t_test_against
 from ..sources.artifacts import discover_runs, list_files, read_cards, read_json_artifacts
+from ..sources.shared import stored
 
 
 def collect_run_metrics(
@@ -29,9 +30,10 @@ def collect_run_metrics(
 
     ``links`` is ``(run, model_run)`` for generated runs; they inherit the metrics of the model.
     """
-    runs = discover_runs(list_files(spark, root))
+    # both are read several times below; the files themselves are listed and parsed once
+    runs = stored(discover_runs(list_files(spark, root)), "runs")
     metrics = extract_metrics(read_json_artifacts(spark, root), read_cards(spark, root))
-    metrics = metrics.join(runs.select("run"), "run", "left_semi")
+    metrics = stored(metrics.join(runs.select("run"), "run", "left_semi"), "metrics")
     if links is None:
         links = spark.createDataFrame([], "run string, model_run string")
     owners = runs.join(links, "run", "left").withColumn(

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.text import clean_generated, digest, identity_key, trimmed
-from ..operators.skew import MAX_HOT
 from ..operators.tally import fractions
 from ..sources.shared import shared_path
 
 
 HOT_SALTS = 64
+MAX_HOT = 1024  # the hot keys stand in the plan of each batch
 _SALTED = "known_digests"
 
 

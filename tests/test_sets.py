@@ -7,7 +7,7 @@ from stringmill.functions.text import trimmed
 from stringmill.operators import cuts, dedup
 from stringmill.operators.canonical import with_canonical, with_canonical_udf
 from stringmill.operators.quality import basic_stats
-from stringmill.operators.skew import hot_hashes, is_small, lookup_join
+from stringmill.operators.skew import grid_join, grid_shape, hot_hashes, is_small, lookup_join
 from stringmill.operators.tally import tally
 from stringmill.plans.labelling import (
     item_table,
@@ -34,14 +34,37 @@ def test_hot_keys_are_salted_without_changing_the_result(rows, how):
     names = ["ord", "key"] + (["v"] if how in ("left", "inner") else [])
     key = lambda r: (r[0], str(r))
     want = sorted((tuple(r) for r in plain.select(*cols).collect()), key=key)
-    got = lookup_join(left, right, "key", how, hot_rows=20, salts=5)
+    got = lookup_join(left, right, "key", how, hot_rows=20)
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=key) == want
     assert hot_hashes(left, ["key"], 20).count() == 1
     counted = right.join(left.groupBy("key").agg(F.count("*").alias("n")), "key", "left")
-    again = lookup_join(left, counted, "key", how, hot_rows=20, salts=5, row_count="n")
+    again = lookup_join(left, counted, "key", how, hot_rows=20, row_count="n")
     assert sorted((tuple(r) for r in again.select(*names).collect()), key=key) == want
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_grid_join_cuts_keys_hot_on_either_side(spark, rows, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("stringmill.operators.skew.SMALL_ROWS", -1)
+    sides = {"both": (200, 300), "left": (900, 2), "right": (1, 700), "few": (3, 4), "no right": (5, 0), None: (2, 2)}
+    left = [(k, f"{k} {i}") for k, (n, _) in sides.items() for i in range(n)]
+    right = [(k, f"{k} {i}") for k, (_, n) in sides.items() for i in range(n)]
+    a, b = rows("k string, a string", *left), rows("k string, b string", *right)
+    got = [(r.k, r.a, r.b) for r in grid_join(a, b, "k", "a", "b", cell_pairs=400).collect()]
+    want = [(k, x, y) for k, x in left for j, y in right if k is not None and j == k]
+    assert len(got) == len(want) and set(got) == set(want)
+    shape = {r["k"]: (r["__rows"], r["__cols"]) for r in grid_shape(a, b, "k", 400).collect()}
+    assert shape == {"both": (10, 15), "left": (5, 1), "right": (1, 2)} | {k: v for k, v in shape.items() if k is None}
+
+
+def test_grid_join_with_many_hot_keys(spark):
+    a = spark.range(2000 * 12).select((F.col("id") % 2000).alias("k"), F.col("id").alias("a"))
+    b = spark.range(2000 * 9).select((F.col("id") % 2000).alias("k"), F.col("id").alias("b"))
+    assert grid_shape(a, b, "k", 16).count() == 2000
+    pairs = grid_join(a, b, "k", "a", "b", cell_pairs=16)
+    assert pairs.agg(F.count("*"), F.count_distinct("a", "b"), F.count_if(F.col("a") % 2000 != F.col("b") % 2000)).first() == (216000, 216000, 0)
+
+
 def test_small_tables_are_recognised(rows, monkeypatch):
     df = rows("a string", ("x" * 100,), ("y",))
     assert is_small(df)
