@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stringmill.sources.shared import shared_root, stored
 
-__all__ = ["crc_bucket", "id_and_text", "shared_root", "stored", "text_or_empty"]
+__all__ = ["crc_bucket", "free_names", "id_and_text", "shared_root", "stored", "text_or_empty"]
 
 
 def text_or_empty(text: str) -> Column:
@@ -22,3 +22,12 @@ def crc_bucket(key: str, parts: int) -> Column:
 def id_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two columns that an operator reads, under fixed names: no other name can clash."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as keep them apart from all taken ones (in any case)."""
+    used = {c.lower() for c in taken}
+    front = "__"
+    while any((front + n).lower() in used for n in names):
+        front += "_"
+    return [front + n for n in names]

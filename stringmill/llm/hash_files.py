@@ -1,7 +1,7 @@
 """Sorted hash arrays in the shared folder, memory-mapped by the workers.
 
 A table with a 64-bit hash column (and further fixed-width columns) is dealt by the top bits of its
-hash into shards. Each shard becomes one raw file per column, sorted by hash; tasks write under a
+hash into shards, some for each core and of a million rows at most, one task for each. A shard becomes one raw file per column, sorted by hash; tasks write under a
 name of their own and rename at the end, so a repeated or doubled task leaves whole files. Workers
 map the files: pages are shared between the processes of a machine and nothing passes the driver
 but one number per shard. A shared folder that is no file path is fetched once per machine.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from stringmill.sources.shared import shared_path
 
 SHARD_ROWS = 1 << 20
+LEAST_ROWS = 1 << 14
+SHARDS_PER_CORE = 4
 
 
 def _local(uri: str) -> str | None:
@@ -118,16 +120,20 @@ class HashFiles:
 
 
 def write(table: DataFrame, name: str, rows: int | None = None, shard_rows: int = SHARD_ROWS) -> HashFiles:
-    """Stores a table with a long column hash, read as unsigned; other columns are numbers."""
+    """Stores a table with a long column hash, read as unsigned; other columns are numbers.
+
+    Smaller tables have smaller shards, so that all cores have one to sort and to write.
+    """
     spark = table.sparkSession
     rows = table.count() if rows is None else rows
+    shard_rows = min(shard_rows, max(LEAST_ROWS, rows // (SHARDS_PER_CORE * spark.sparkContext.defaultParallelism)))
     # two shards at least: in a shard all hashes have one sign, so the signed order is the unsigned one
     bits = max(1, (rows // shard_rows).bit_length())
     folder = shared_path(spark, name)
     kinds = {f.name: {"bigint": "i8", "int": "i4", "float": "f4", "double": "f8", "smallint": "i2", "tinyint": "i1"}[f.dataType.simpleString()] for f in table.schema} | {"hash": "u8"}
     names = table.columns
     shard = F.shiftrightunsigned("hash", 64 - bits).cast("int")
-    dealt = table.withColumn("__shard", shard).repartition(1 << bits, "__shard").sortWithinPartitions("__shard", "hash")
+    dealt = table.withColumn("__shard", shard).repartitionById(1 << bits, "__shard").sortWithinPartitions("__shard", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, parts in _by_shard(batches):

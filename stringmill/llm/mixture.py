@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import free_names, stored
 from .words import list_array, mix, slices, words_of
 
 BLOCK = 64
@@ -228,22 +228,23 @@ def mixed_texts(docs: DataFrame, rows: DataFrame, drawn: DataFrame, key: str = "
     are joined by one space. Documents of which nothing was drawn are left out. Columns are those of
     docs; the length column, where named, is counted anew.
     """
-    pieces = drawn.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("__spans")).withColumn("__epoch", F.col("epoch"))
-    digest = F.xxhash64(F.col(text).cast("string"), F.col(source).cast("string"))
     columns = docs.columns
+    spans_in, epoch_in, row_in, id_in = free_names(columns, "spans", "epoch", "row", "id")
+    pieces = drawn.groupBy("row_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias(spans_in)).withColumn(epoch_in, F.col("epoch"))
+    digest = F.xxhash64(F.col(text).cast("string"), F.col(source).cast("string"))
     twin = Window.partitionBy(F.col(key).cast("long"), digest).orderBy(F.xxhash64(*columns))
     # only repeated rows need a number, and whole texts shouldn't move for it otherwise
     repeated = not rows.where("row_id.copy > 1").isEmpty()
     copy = F.row_number().over(twin) if repeated else F.lit(1)
-    whole = docs.withColumn("__row", F.struct(F.col(key).cast("long").alias("doc_id"), digest.alias("tie"), copy.alias("copy")))
-    pieces = pieces.select(F.col("row_id").alias("__id"), "__epoch", "__spans")
-    joined = whole.join(pieces, _null_safe(F.col("__row"), F.col("__id"))).select(*columns, "__spans")
+    whole = docs.withColumn(row_in, F.struct(F.col(key).cast("long").alias("doc_id"), digest.alias("tie"), copy.alias("copy")))
+    pieces = pieces.select(F.col("row_id").alias(id_in), epoch_in, spans_in)
+    joined = whole.join(pieces, _null_safe(F.col(row_in), F.col(id_in))).select(*columns, spans_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             words = words_of(batch.column(text))
             out = []
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
+            for i, spans in enumerate(batch.column(spans_in).to_pylist()):
                 a, b = words.first[i], words.first[i + 1]
                 runs: list[list[int]] = []
                 for s in spans:
