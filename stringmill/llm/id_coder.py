@@ -18,9 +18,9 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-_MAGIC = b"IDMIX1\0\0"
-_HEAD = "<8sQIIIQ"  # magic, ids, block length, distinct ids, order-0 bits, header bytes
-_SLOTS = 10  # bits of the context tables
+_MAGIC = b"IDMIX2\0\0"
+_HEAD = "<8sQIIIIQ"  # magic, ids, block length, distinct ids, order-0 bits, bits of the context tables, header bytes
+SLOTS = 10  # bits of the context tables of a block
 _ONE = 1 << 16
 
 
@@ -35,15 +35,15 @@ def _frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
 class _Lanes:
     """Model state of all blocks of a stream: both directions make the same moves."""
 
-    def __init__(self, lanes: int, frequencies: np.ndarray, bits: int):
-        self.bits, self.lanes = bits, lanes
+    def __init__(self, lanes: int, frequencies: np.ndarray, bits: int, slots: int):
+        self.bits, self.lanes, self.slots = bits, lanes, slots
         self.frequency = frequencies.astype(np.uint64)
         self.below = (np.cumsum(frequencies) - frequencies).astype(np.uint64)
         self.shift = np.uint64(32 - 16 - bits) if bits < 16 else np.uint64(0)
-        self.table1, self.table2 = (np.zeros(lanes << _SLOTS, np.int32) for _ in range(2))
+        self.table1, self.table2 = (np.zeros(lanes << slots, np.int32) for _ in range(2))
         self.right1, self.right2 = (np.tile(np.array([200, 12000, 26000, 36000, 44000, 50000, 55000, 60000], np.int32), lanes) for _ in range(2))
         self.weight = np.full(lanes, _ONE // 2, np.int32)
-        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
+        self.base = np.arange(lanes, dtype=np.int64) << slots
         self.group = np.arange(lanes, dtype=np.int64) * 8
         self.before = np.zeros(lanes, np.int64)
         self.last = np.zeros(lanes, np.int64)
@@ -55,7 +55,7 @@ class _Lanes:
 
     def predict(self) -> None:
         """Sets the predicted ids and their shares of 2**16."""
-        mask = (1 << _SLOTS) - 1
+        mask = (1 << self.slots) - 1
         self.at1 = self.base + ((self.last * 40503 >> 4) & mask)
         self.at2 = self.base + ((self.last * 30011 + self.before * 51787 >> 5) & mask)
         self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
@@ -91,8 +91,12 @@ def _running(lanes: int, tail: int, step: int) -> int:
     return lanes if step < tail else lanes - 1
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One stream for a sequence of unsigned 32-bit ids. An empty sequence gives a bare header."""
+def encode(ids: np.ndarray, block: int = BLOCK, slots: int = SLOTS) -> bytes:
+    """One stream for a sequence of unsigned 32-bit ids. An empty sequence gives a bare header.
+
+    Longer blocks and larger tables (slots: their bits) predict better and need more memory: 8 bytes
+    times 2**slots for each block of the stream, as all its blocks are coded in step.
+    """
     ids = np.ascontiguousarray(ids, np.uint32)
     top = int(ids.max()) + 1 if len(ids) else 0
     if top <= 1 << 20:
@@ -107,9 +111,9 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     frequency = _frequencies(counts, bits) if len(kinds) else np.zeros(0, np.int64)
     lanes, tail = _layout(len(ids), block)
     head = zlib.compress(np.diff(kinds.astype(np.int64), prepend=0).astype("<u4").tobytes() + frequency.astype("<u4").tobytes(), 6)
-    out = [struct.pack(_HEAD, _MAGIC, len(ids), block, len(kinds), bits, len(head)), head]
+    out = [struct.pack(_HEAD, _MAGIC, len(ids), block, len(kinds), bits, slots, len(head)), head]
     if lanes:
-        digits, sizes = _encode_lanes(ranks, frequency, bits, block, lanes, tail)
+        digits, sizes = _encode_lanes(ranks, frequency, bits, slots, block, lanes, tail)
         sums = np.array([zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4")) for i in range(lanes)], "<u4")
         index = np.stack([sizes.astype("<u4"), sums], 1).astype("<u4").tobytes()
         out += [struct.pack("<I", zlib.crc32(index)), index]
@@ -117,11 +121,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     return b"".join(out)
 
 
-def _encode_lanes(ranks: np.ndarray, frequency: np.ndarray, bits: int, block: int, lanes: int, tail: int) -> tuple[np.ndarray, np.ndarray]:
+def _encode_lanes(ranks: np.ndarray, frequency: np.ndarray, bits: int, slots: int, block: int, lanes: int, tail: int) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(lanes * block, np.int64)
     padded[: len(ranks)] = ranks
     steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    model = _Lanes(lanes, frequency, bits)
+    model = _Lanes(lanes, frequency, bits, slots)
     total = np.uint64(16 + bits)
     room = 3 * block + 8
     digits = np.zeros(lanes * room, np.uint32)
@@ -182,7 +186,7 @@ def _flush(digits: np.ndarray, place: np.ndarray, low: np.ndarray) -> None:
 
 def decode(stream: bytes) -> np.ndarray:
     """The ids of a stream. A block whose checksum differs is an error that names the block."""
-    magic, n, block, kinds, bits, size = struct.unpack_from(_HEAD, stream)
+    magic, n, block, kinds, bits, slots, size = struct.unpack_from(_HEAD, stream)
     if magic != _MAGIC:
         raise ValueError("not an id stream")
     at = struct.calcsize(_HEAD)
@@ -199,7 +203,7 @@ def decode(stream: bytes) -> np.ndarray:
     at += 4 + 8 * lanes
     # an id takes three digits at most: a damaged block reads on, but never past this
     digits = np.append(np.frombuffer(stream, "<u2", int(sizes.sum()), at), np.zeros(3 * block + 8, np.uint16)).astype(np.uint64)
-    ranks = _decode_lanes(digits, np.cumsum(sizes) - sizes, frequency, bits, block, lanes, tail)
+    ranks = _decode_lanes(digits, np.cumsum(sizes) - sizes, frequency, bits, slots, block, lanes, tail)
     ids = names[ranks.T.reshape(-1)[:n]].astype("<u4")
     for i in range(lanes):
         if zlib.crc32(ids[i * block : (i + 1) * block]) != sums[i]:
@@ -207,8 +211,8 @@ def decode(stream: bytes) -> np.ndarray:
     return ids
 
 
-def _decode_lanes(digits: np.ndarray, place: np.ndarray, frequency: np.ndarray, bits: int, block: int, lanes: int, tail: int) -> np.ndarray:
-    model = _Lanes(lanes, frequency, bits)
+def _decode_lanes(digits: np.ndarray, place: np.ndarray, frequency: np.ndarray, bits: int, slots: int, block: int, lanes: int, tail: int) -> np.ndarray:
+    model = _Lanes(lanes, frequency, bits, slots)
     symbols = np.repeat(np.arange(len(frequency), dtype=np.int32), frequency)
     out = np.zeros((block, lanes), np.int32)
     code = np.zeros(lanes, np.uint64)

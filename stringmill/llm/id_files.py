@@ -149,9 +149,12 @@ def _file(docs: list[pa.Array], counts: list[np.ndarray], streams: list[bytes])
         yield s
 
 
-def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, end_id: int | None = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str = TOKENIZER, end_id: int | None = END_ID, file_bytes: int = FILE_BYTES, stream_ids: int = STREAM_IDS, block: int = id_coder.BLOCK, slots: int = id_coder.SLOTS) -> DataFrame:
     """Tokenizes all texts and writes ids-<number>.idf files below folder, in ascending order of id.
 
+    A file holds about file_bytes of text in streams of stream_ids ids; block and slots are those of
+    id_coder.encode. A task keeps a stream and its context tables in memory.
+
     Returns one row per file: number, docs, ids. Null texts count as empty and have the end id only;
     null ids come first; rows with equal ids follow each other in order of their text's hash. A
     repeated or doubled task replaces its file by the same file.
@@ -171,12 +174,12 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
             held.append(ids)
             waiting += len(ids)
             total += len(ids)
-            while waiting >= STREAM_IDS:
+            while waiting >= stream_ids:
                 ids = np.concatenate(held)
-                streams.append(id_coder.encode(ids[:STREAM_IDS]))
-                held, waiting = [ids[STREAM_IDS:]], len(ids) - STREAM_IDS
+                streams.append(id_coder.encode(ids[:stream_ids], block, slots))
+                held, waiting = [ids[stream_ids:]], len(ids) - stream_ids
         if waiting:
-            streams.append(id_coder.encode(np.concatenate(held)))
+            streams.append(id_coder.encode(np.concatenate(held), block, slots))
         _put(f"{folder}/ids-{number:09d}.idf", _file(names, counts, streams))
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sum(map(len, names))]), pa.array([total])], names=["number", "docs", "ids"])
 

@@ -56,10 +56,10 @@ def test_raw_bytes_are_decoded_as_they_are(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**32 - 1)), max_size=300), st.sampled_from([1, 7, 64, 1024]))
-def test_coder_round_trip(ids, block):
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**32 - 1)), max_size=300), st.sampled_from([1, 7, 64, 1024]), st.sampled_from([1, 10, 12]))
+def test_coder_round_trip(ids, block, slots):
     ids = np.array(ids, np.uint32)
-    assert (id_coder.decode(id_coder.encode(ids, block)) == ids).all()
+    assert (id_coder.decode(id_coder.encode(ids, block, slots)) == ids).all()
 
 
 def test_coder_says_which_block_is_damaged():
@@ -90,6 +90,8 @@ def expected_files(rows):
 @pytest.mark.parametrize("file_bytes", [id_files.FILE_BYTES, 5000])
 def test_id_files_equal_the_library(documents, file_bytes):
     rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
+    got = id_files.write_and_read(documents, file_bytes=file_bytes, stream_ids=3000, block=256, slots=8).orderBy("doc_id").collect()
+    assert [tuple(r)[:4] for r in got] == expected_files(rows)
     got = id_files.write_and_read(documents, file_bytes=file_bytes).orderBy("doc_id").collect()
     assert [tuple(r)[:4] for r in got] == expected_files(rows)
 
