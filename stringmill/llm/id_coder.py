@@ -33,51 +33,58 @@ def _frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 class _Lanes:
-    """Model state of all blocks of a stream: both directions make the same moves."""
+    """Model state of all blocks of a stream: both directions make the same moves.
+
+    Arrays of two rows hold order 1 in the first and order 2 in the second, so that one call of numpy
+    serves both.
+    """
 
     def __init__(self, lanes: int, frequencies: np.ndarray, bits: int, slots: int):
-        self.bits, self.lanes, self.slots = bits, lanes, slots
         self.frequency = frequencies.astype(np.uint64)
         self.below = (np.cumsum(frequencies) - frequencies).astype(np.uint64)
-        self.shift = np.uint64(32 - 16 - bits) if bits < 16 else np.uint64(0)
-        self.table1, self.table2 = (np.zeros(lanes << slots, np.int32) for _ in range(2))
-        self.right1, self.right2 = (np.tile(np.array([200, 12000, 26000, 36000, 44000, 50000, 55000, 60000], np.int32), lanes) for _ in range(2))
-        self.weight = np.full(lanes, _ONE // 2, np.int32)
-        self.base = np.arange(lanes, dtype=np.int64) << slots
-        self.group = np.arange(lanes, dtype=np.int64) * 8
-        self.before = np.zeros(lanes, np.int64)
-        self.last = np.zeros(lanes, np.int64)
+        self.mask = (1 << slots) - 1
+        self.table = np.zeros(2 * lanes << slots, np.int32)
+        self.right = np.tile(np.array([200, 12000, 26000, 36000, 44000, 50000, 55000, 60000], np.int32), 2 * lanes)
+        self.share = np.full((2, lanes), _ONE // 2, np.int32)
+        number = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.base, self.group, self.at = number << slots, number * 8, np.zeros((2, lanes), np.int64)
+        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def shrink(self, n: int) -> None:
         """Only the first n blocks go on."""
-        for name in ("weight", "base", "group", "before", "last"):
-            setattr(self, name, getattr(self, name)[:n])
+        for name in ("share", "base", "group", "at", "before", "last"):
+            setattr(self, name, np.ascontiguousarray(getattr(self, name)[..., :n]))
 
     def predict(self) -> None:
-        """Sets the predicted ids and their shares of 2**16."""
-        mask = (1 << self.slots) - 1
-        self.at1 = self.base + ((self.last * 40503 >> 4) & mask)
-        self.at2 = self.base + ((self.last * 30011 + self.before * 51787 >> 5) & mask)
-        self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
-        self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
-        self.j1, self.j2 = self.group + (self.e1 & 7), self.group + (self.e2 & 7)
-        self.q1, self.q2 = self.right1[self.j1], self.right2[self.j2]
-        m2 = self.q2 * (self.weight >> 2) >> 14
-        m1 = self.q1 * ((_ONE - self.weight) >> 2) >> 14
-        self.same = self.p1 == self.p2
-        self.m2 = np.where(self.same, m2 + m1, m2)
-        self.m1 = np.where(self.same, 0, m1)
+        """Sets the predicted ids p and their shares m of 2**16."""
+        one, two = self.at
+        np.multiply(self.last, 40503, out=one)
+        one >>= 4
+        np.multiply(self.last, 30011, out=two)
+        two += self.before * 51787
+        two >>= 5
+        self.at &= self.mask
+        self.at += self.base
+        self.entry = self.table.take(self.at)
+        self.p = self.entry >> 3
+        self.cell = self.group + (self.entry & 7)
+        self.q = self.right.take(self.cell)
+        self.m = self.q * (self.share >> 2) >> 14
+        moved = self.m[0] * (self.p[0] == self.p[1])
+        self.m[1] += moved
+        self.m[0] -= moved
 
     def learn(self, x: np.ndarray) -> None:
         x32 = x.astype(np.int32)
-        hit1, hit2 = x32 == self.p1, x32 == self.p2
-        self.right1[self.j1] = self.q1 + ((hit1 * 65000 - self.q1) >> 5)
-        self.right2[self.j2] = self.q2 + ((hit2 * 65000 - self.q2) >> 5)
-        self.weight += (hit2.astype(np.int32) - hit1) * 512
-        np.clip(self.weight, 4096, _ONE - 4096, out=self.weight)
-        fresh = x32 << 3
-        self.table1[self.at1] = np.where(hit1, np.minimum(self.e1 + 1, self.e1 | 7), fresh | 1)
-        self.table2[self.at2] = np.where(hit2, np.minimum(self.e2 + 1, self.e2 | 7), fresh | 1)
+        hit = x32 == self.p
+        ones = hit.view(np.int8)
+        self.right[self.cell] = self.q + ((ones * np.int32(65000) - self.q) >> 5)
+        weight = self.share[1]
+        weight += (ones[1] - ones[0]) * np.int32(512)
+        np.maximum(weight, 4096, out=weight)
+        np.minimum(weight, _ONE - 4096, out=weight)
+        np.subtract(_ONE, weight, out=self.share[0])
+        self.table[self.at] = np.where(hit, np.minimum(self.entry + 1, self.entry | 7), x32 << 3 | 1)
         self.before, self.last = self.last, x
 
 
@@ -144,14 +151,15 @@ def _encode_lanes(ranks: np.ndarray, frequency: np.ndarray, bits: int, slots: in
             break
         x = steps[t, :n]
         model.predict()
-        m2, m1 = model.m2.astype(np.uint64), model.m1.astype(np.uint64)
+        m1, m2 = model.m.astype(np.uint64)
+        p1, p2 = model.p
         both = m2 + m1
         rest = np.uint64(_ONE) - both
-        start = (both << wide) + rest * model.below[x]
-        size = rest * model.frequency[x]
-        hit = np.flatnonzero((x == model.p1) & (m1 > 0))
+        start = (both << wide) + rest * model.below.take(x)
+        size = rest * model.frequency.take(x)
+        hit = np.flatnonzero((x == p1) & (m1 > 0))
         start[hit], size[hit] = m2[hit] << wide, m1[hit] << wide
-        hit = np.flatnonzero((x == model.p2) & (m2 > 0))
+        hit = np.flatnonzero((x == p2) & (m2 > 0))
         start[hit], size[hit] = 0, m2[hit] << wide
         r = width >> total
         moved = low + r * start
@@ -230,7 +238,8 @@ def _decode_lanes(digits: np.ndarray, place: np.ndarray, frequency: np.ndarray,
         if not n:
             break
         model.predict()
-        m2, m1 = model.m2.astype(np.uint64), model.m1.astype(np.uint64)
+        m1, m2 = model.m.astype(np.uint64)
+        p1, p2 = model.p
         both = m2 + m1
         rest = np.uint64(_ONE) - both
         r = width >> total
@@ -238,15 +247,15 @@ def _decode_lanes(digits: np.ndarray, place: np.ndarray, frequency: np.ndarray,
         y = v - (both << wide)
         known = v < both << wide
         y[known] = 0
-        x = symbols[y // rest].astype(np.int64)
-        start = (both << wide) + rest * model.below[x]
-        size = rest * model.frequency[x]
+        x = symbols.take((y // rest).view(np.int64)).astype(np.int64)
+        start = (both << wide) + rest * model.below.take(x)
+        size = rest * model.frequency.take(x)
         some = np.flatnonzero(known)
         if len(some):
             first = v[some] < m2[some] << wide
             own, other = some[first], some[~first]
-            x[own], start[own], size[own] = model.p2[own], 0, m2[own] << wide
-            x[other], start[other], size[other] = model.p1[other], m2[other] << wide, m1[other] << wide
+            x[own], start[own], size[own] = p2[own], 0, m2[own] << wide
+            x[other], start[other], size[other] = p1[other], m2[other] << wide, m1[other] << wide
         code -= r * start
         width = r * size
         due = np.flatnonzero(width < edge)
