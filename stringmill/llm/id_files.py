@@ -187,9 +187,11 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     return dealt.mapInArrow(run, "number long, docs long, ids long")
 
 
-def read(spark: SparkSession, folder: str, starts: dict[int, int] | None = None) -> DataFrame:
+def read(spark: SparkSession, folder: str, starts: dict[int, int] | None = None, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids of every document of the files below folder.
 
+    Without ids the last column stays in the task; all blocks are decoded and checked all the same.
+
     starts: ids before each file, from the rows that write returned; without them, start counts
     from the beginning of the file. One file is one row of the reader, so files stay of bounded size.
     """
@@ -199,13 +201,17 @@ def read(spark: SparkSession, folder: str, starts: dict[int, int] | None = None)
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 number = int(name.rsplit("-", 1)[1].split(".")[0])
-                yield from _documents(memoryview(content.as_buffer()), given.get(number, 0))
+                yield from _documents(memoryview(content.as_buffer()), given.get(number, 0), ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.idf").load(folder).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, _schema(ids))
+
+
+def _schema(ids: bool) -> str:
+    return SCHEMA if ids else SCHEMA.rsplit(",", 1)[0]
 
 
-def _documents(raw: memoryview, start: int) -> Iterator[pa.RecordBatch]:
+def _documents(raw: memoryview, start: int, ids: bool = True) -> Iterator[pa.RecordBatch]:
     magic, n, size, check = struct.unpack_from(_HEAD, raw)
     at = struct.calcsize(_HEAD)
     if magic != _MAGIC or zlib.crc32(raw[at : at + size]) != check:
@@ -230,13 +236,14 @@ def _documents(raw: memoryview, start: int) -> Iterator[pa.RecordBatch]:
             some = ready[: where[-1]]
             sums = [zlib.crc32(some[a:b]) for a, b in zip(where, where[1:])]
             names = pa.array(docs[row : row + high], pa.int64(), mask=absent[row : row + high].astype(bool))
-            lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(some.view(np.int32)))
-            arrays = [names, pa.array(start + where[:-1]), pa.array(counts[row : row + high]), pa.array(sums, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+            arrays = [names, pa.array(start + where[:-1]), pa.array(counts[row : row + high]), pa.array(sums, pa.int64())]
+            if ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(some.view(np.int32))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
             ready, row, start = ready[where[-1] :], row + high, start + int(where[-1])
 
 
-def write_and_read(docs: DataFrame, folder: str | None = None, **options) -> DataFrame:
+def write_and_read(docs: DataFrame, folder: str | None = None, ids: bool = True, **options) -> DataFrame:
     """Writes the files and reads them back, with starts counted over all files.
 
     One number per file reaches the driver; files hold FILE_BYTES of text each.
@@ -245,8 +252,8 @@ def write_and_read(docs: DataFrame, folder: str | None = None, **options) -> Dat
     folder = folder or shared_path(spark, "id-files")
     made = sorted((r["number"], r["ids"]) for r in write(docs, folder, **options).collect())
     if not made:  # an empty table has no file
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], _schema(ids))
     starts, total = {}, 0
     for number, n in made:
         starts[number], total = total, total + n
-    return read(spark, folder, starts)
+    return read(spark, folder, starts, ids)

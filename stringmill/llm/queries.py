@@ -122,7 +122,7 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_files.write_and_read(table(spark, sf_dir, "documents")).drop("ids")
+    return id_files.write_and_read(table(spark, sf_dir, "documents"), ids=False)
 
 
 @query(
