@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, trimmed
+from .batches import sliced
 from .skew import lookup_join
 
 
@@ -50,9 +51,10 @@ def with_canonical_udf(
             return None
         return form
 
-    @F.pandas_udf("string")
-    def forms(values: pd.Series) -> pd.Series:
-        return pd.Series([one(v) for v in values], dtype=object)
+    @F.arrow_udf("string")
+    def forms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in sliced(batches):
+            yield pa.array([one(v) for v in values.to_pylist()], pa.string())
 
     key = digest(F.col(col)).alias("__digest")
     table = df.select(col, key).distinct().select("__digest", forms(F.col(col)).alias(out))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.pieces import pretokenize
+from ..batches import sliced
 from ..skew import lookup_join
 from .lattice import Lattice, best_cut, chunks
 from .merges import encode_flat, flatten, pair_code, unflatten
@@ -29,12 +29,14 @@ def _pieces_udf(model: TokenModel) -> Callable[[Column], Column]:
     tokens, unk = list(model.tokens), model.unk_id
 
     @F.arrow_udf(_IDS)
-    def lookup(pieces: pa.Array) -> pa.Array:
-        """Ids of pieces by one hash lookup over the whole batch."""
-        offsets = pieces.offsets.to_numpy()
-        flat = pieces.flatten().cast(pa.string())
-        ids = pc.fill_null(pc.index_in(flat, value_set=pa.array(tokens, pa.string())), unk)
-        return _lists(offsets - offsets[0], ids.cast(pa.int32()))
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Ids of pieces by one hash lookup over a run of rows."""
+        known = pa.array(tokens, pa.string())
+        for pieces in sliced(batches):
+            offsets = pieces.offsets.to_numpy()
+            flat = pieces.flatten().cast(pa.string())
+            ids = pc.fill_null(pc.index_in(flat, value_set=known), unk)
+            yield _lists(offsets - offsets[0], ids.cast(pa.int32()))
 
     return lookup
 
@@ -62,9 +64,10 @@ def _chars_udf(model: TokenModel) -> Callable[[Column], Column]:
     convert = _char_ids(model)
 
     @F.arrow_udf(_IDS)
-    def lookup(texts: pa.Array) -> pa.Array:
-        ids, offsets = convert(texts)
-        return _lists(offsets, ids)
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in sliced(batches):
+            ids, offsets = convert(texts)
+            yield _lists(offsets, ids)
 
     return lookup
 
@@ -80,18 +83,20 @@ def _bpe_udf(model: TokenModel) -> Callable[[Column], Column]:
     results = np.array([table[c][1] for c in codes.tolist()], dtype=np.int64)
 
     @F.arrow_udf(_IDS)
-    def merge(texts: pa.Array) -> pa.Array:
-        chars, offsets = convert(texts)
-        values, ends = unflatten(encode_flat(flatten(chars, offsets), codes, order, results))
-        return _lists(ends, values)
+    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in sliced(batches):
+            chars, offsets = convert(texts)
+            values, ends = unflatten(encode_flat(flatten(chars, offsets), codes, order, results))
+            yield _lists(ends, values)
 
     return merge
 
 
 def _line_udf(one: Callable[[str], list[int]]) -> Callable[[Column], Column]:
-    @F.pandas_udf(_IDS)
-    def run(lines: pd.Series) -> pd.Series:
-        return pd.Series([one(line) for line in lines], dtype=object)
+    @F.arrow_udf(_IDS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lines in sliced(batches):
+            yield pa.array([one(line) for line in lines.to_pylist()], pa.list_(pa.int32()))
 
     return run
 
@@ -137,15 +142,16 @@ def _unigram_udf(model: TokenModel) -> Callable[[Column], Column]:
         return out
 
     @F.arrow_udf(_IDS)
-    def run(lines: pa.Array) -> pa.Array:
-        texts = lines.to_pylist()
-        result: list[list[int] | None] = [None if t is None else [] for t in texts]
-        full = [i for i, t in enumerate(texts) if t]
-        for group in chunks([texts[i] for i in full]):
-            rows = [full[i] for i in group]
-            for row, cut in zip(rows, best_cut(lattice, [texts[i] for i in rows], penalty)):
-                result[row] = fused(cut)
-        return pa.array(result, pa.list_(pa.int32()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lines in sliced(batches):
+            texts = lines.to_pylist()
+            result: list[list[int] | None] = [None if t is None else [] for t in texts]
+            full = [i for i, t in enumerate(texts) if t]
+            for group in chunks([texts[i] for i in full]):
+                rows = [full[i] for i in group]
+                for row, cut in zip(rows, best_cut(lattice, [texts[i] for i in rows], penalty)):
+                    result[row] = fused(cut)
+            yield pa.array(result, pa.list_(pa.int32()))
 
     return run
 
@@ -258,11 +264,12 @@ def decode(ids: Column, model: TokenModel) -> Column:
     shown = ["" if t in model.specials else s for t, s in zip(model.tokens, inner)]
 
     @F.arrow_udf(T.StringType())
-    def texts(lists: pa.Array) -> pa.Array:
-        offsets = lists.offsets.to_numpy()
-        taken = pa.array(shown, pa.string()).take(lists.flatten())
-        rows = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), taken)
-        return pc.binary_join(rows, "")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = pa.array(shown, pa.string())
+        for lists in sliced(batches):
+            offsets = lists.offsets.to_numpy()
+            rows = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pieces.take(lists.flatten()))
+            yield pc.binary_join(rows, "")
 
     return texts(ids)
 
