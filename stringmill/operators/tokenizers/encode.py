@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from .merges import encode_flat, flatten, pair_code, unflatten
 from .model import PREFIX, TokenModel
 
 _IDS = T.ArrayType(T.IntegerType())
+BLOCK_CHARS = 2 << 20  # characters of the rows whose pieces are looked up together
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
@@ -248,13 +250,63 @@ def encode_wordlevel_join(
     col: str = "item",
     row_id: str = "ord",
 ) -> DataFrame:
-    """Word-level ids ``(row_id, ids)`` for a vocabulary too large to travel with the tasks."""
-    pieces = items.select(
-        row_id, F.posexplode(pretokenize(F.col(col), kind, pattern)).alias("pos", "token")
-    )
-    found = lookup_join(pieces, vocab, "token", spread_by=[row_id, "pos"])
-    pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk)).alias("id"))))
-    return found.groupBy(row_id).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))
+    """Word-level ids ``(row_id, ids)`` for a vocabulary too large to travel with the tasks.
+
+    Rows are dealt to blocks of about ``BLOCK_CHARS`` characters by their id. What joins the vocabulary
+    is each distinct piece of a block once; a block's rows then meet the ids of its own pieces. Rows
+    of one id are one row, their pieces ordered by place; rows without pieces are left out.
+    """
+    pieces = pretokenize(F.col(col), kind, pattern)
+    by_char = pattern is None and kind.upper() == "CHAR"
+    size = items.agg(F.sum(F.length(col))).first()[0] or 0
+    block = F.pmod(F.xxhash64(row_id), F.lit(max(1, -(-size // BLOCK_CHARS)))).alias("__block")
+    rows = items.where(F.length(col) > 0)
+    tokens = rows.select(block, F.explode(F.array_distinct(pieces)).alias("token")).distinct()
+    found = lookup_join(tokens, vocab.select("token", "id"), "token", spread_by="__block")
+    found = found.select("__block", "token", F.coalesce("id", F.lit(unk)).alias("id"))
+    text = F.col(col) if by_char else F.array_join(pieces, "")
+    sizes = F.lit(None).cast("array<int>") if by_char else F.transform(pieces, lambda p: F.length(p))
+    docs = rows.select(block, F.col(row_id).alias("__row"), text.alias("__text"), sizes.alias("__sizes"))
+    schema = T.StructType([T.StructField(row_id, docs.schema["__row"].dataType), T.StructField("ids", T.ArrayType(found.schema["id"].dataType))])
+
+    def look_up(block_rows: pa.Table, known: pa.Table) -> pa.Table:
+        key = block_rows.column("__row").combine_chunks()
+        texts = block_rows.column("__text").to_pylist()
+        names = known.column("token").combine_chunks().cast(pa.string()).dictionary_encode()
+        number = known.column("id").to_numpy()
+        if by_char:
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            codes = np.array([ord(t) for t in names.dictionary.to_pylist()], dtype=np.uint32)
+            order = np.argsort(codes)
+            slot = order[np.searchsorted(codes[order], np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32))]
+        else:
+            cuts = block_rows.column("__sizes").to_pylist()
+            lengths = np.array([len(c) for c in cuts], dtype=np.int64)
+            flat = [t[e - n : e] for t, c in zip(texts, cuts) for n, e in zip(c, accumulate(c))]
+            slot = pc.index_in(pa.array(flat, pa.string()), value_set=names.dictionary.cast(pa.string())).to_numpy()
+        # the ids of a token stand together; usually it has one
+        entry = names.indices.to_numpy()
+        by_token = np.lexsort((number, entry))
+        uses = np.bincount(entry, minlength=len(names.dictionary))[slot]
+        first = np.searchsorted(entry[by_token], slot)
+        pos = np.arange(len(slot)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        if len(slot) and uses.max() > 1:
+            inner = np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
+            first, pos, row = np.repeat(first, uses) + inner, np.repeat(pos, uses), np.repeat(row, uses)
+        ids = number[by_token[first]]
+        same = key.dictionary_encode(null_encoding="encode")
+        if len(same.dictionary) < len(key):  # rows of one id are one row
+            row = same.indices.to_numpy()[row]
+            order = np.lexsort((ids, pos, row))
+            row, ids = row[order], ids[order]
+            key = same.dictionary
+        n = np.bincount(row, minlength=len(key))
+        kept = np.flatnonzero(n)
+        ends = pa.array(np.append(0, np.cumsum(n[kept])), pa.int32())
+        return pa.table({row_id: key.take(pa.array(kept)), "ids": pa.ListArray.from_arrays(ends, pa.array(ids, known.schema.field("id").type))})
+
+    return docs.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(look_up, schema)
 
 
 def decode(ids: Column, model: TokenModel) -> Column:

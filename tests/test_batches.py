@@ -59,3 +59,35 @@ def test_canonical_forms_are_made_in_runs(monkeypatch, rows):
     assert [r.canonical for r in got] == texts
     found = list(made[0](iter([pa.array([f" {t}" if t else t for t in texts])])))
     assert len(found) > 2 and [t for x in found for t in x.to_pylist()] == texts
+
+
+def test_join_encoding_moves_distinct_pieces_only(monkeypatch, rows):
+    """Any kind of pieces, repeated and null row ids, tokens that the vocabulary lacks, in many blocks."""
+    from pyspark.sql import functions as F
+
+    from stringmill.functions.pieces import pretokenize
+
+    data = [(i, t) for i, t in enumerate(["CCOc1ccccc1" * 20, "N[C@@H](C)C", "", None, "xéz" * 50, "C"] * 5)]
+    data += [(3, "CN"), (4, "OO"), (None, "CC"), (None, "N"), (70, "")]
+    df = rows("ord long, item string", *data)
+    moved = []
+    join = enc.lookup_join
+    monkeypatch.setattr(enc, "lookup_join", lambda left, *a, **b: moved.append(left.count()) or join(left, *a, **b))
+    vocab = rows("token string, id int", ("C", 5), ("c", 6), ("O", 7), ("N", 8), ("é", 9), ("[C@@H]", 10), ("x", None))
+    for size in (500, enc.BLOCK_CHARS):
+        monkeypatch.setattr(enc, "BLOCK_CHARS", size)
+        for kind in ("CHAR", "SMARTS"):
+            got = {r.ord: r.ids for r in enc.encode_wordlevel_join(df, vocab, 3, kind).collect()}
+            ids = {r.token: 3 if r.id is None else r.id for r in vocab.collect()}
+            want = {}
+            for r in df.select("ord", F.posexplode(pretokenize(F.col("item"), kind)).alias("pos", "token")).collect():
+                want.setdefault(r.ord, []).append((r.pos, ids.get(r.token, 3)))
+            assert got == {k: [i for _, i in sorted(v)] for k, v in want.items()}
+    assert all(n <= 12 * 30 for n in moved) and moved[2] <= 14  # over 1,800 pieces
+
+
+def test_join_encoding_of_a_vocabulary_with_repeated_tokens(rows):
+    df = rows("ord long, item string", (1, "abca"), (2, "b"))
+    vocab = rows("token string, id long", ("a", 9), ("a", 4), ("b", 1))
+    got = {r.ord: r.ids for r in enc.encode_wordlevel_join(df, vocab, 0).collect()}
+    assert got == {1: [4, 9, 1, 0, 4, 9], 2: [1]}
