@@ -9,45 +9,51 @@ more than one round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ...functions.pieces import pretokenize
 from ...functions.text import SPECIAL_TOKENS
 from ...sources.shared import cut_lineage, spread
+from ..batches import sliced
 from .merges import pair_code, pair_ids
 from .model import PREFIX, TokenModel, line_counts
 from .pair_index import PairIndex
 
 TOP_PAIRS = 512  # pairs per round that reach the driver
-MERGES_PER_CHECKPOINT = 32
+MERGES_PER_CHECKPOINT = 4
 MAX_ALPHABET = 1_114_112  # code points there are
 
 
-def _symbols(df: DataFrame, line: str, prefix: str) -> F.Column:
-    chars = pretokenize(F.col(line), "CHAR")
-    if not prefix:
-        return chars
-    return F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c)))
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, offsets of the texts), none of which is null."""
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    return chars, np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
 
 
 def _alphabet(lines: DataFrame, prefix: str, specials: Sequence[str]) -> list[str]:
     """Symbols in id order: plain characters by code point, then prefixed ones."""
-    found = lines.select(F.explode(pretokenize(F.col("line"), "CHAR")).alias("c"))
-    chars = sorted(r["c"] for r in found.distinct().collect())  # at most MAX_ALPHABET
-    symbols = [c for c in chars if c not in specials]
-    if prefix:
-        inner = lines.select(F.explode(_symbols(lines, "line", prefix)).alias("s")).where(
-            F.col("s").startswith(prefix) & (F.length("s") == len(prefix) + 1)
-        )
-        symbols += sorted(r["s"] for r in inner.distinct().collect())
-    return symbols
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, MAX_ALPHABET), dtype=bool)  # anywhere, behind the first place
+        for texts in sliced(b.column(0) for b in batches):
+            chars, offsets = _characters(texts)
+            seen[0, chars] = True
+            if prefix:
+                inner = np.ones(len(chars), dtype=bool)
+                inner[offsets[:-1]] = False
+                seen[1, chars[inner]] = True
+        place, code = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(code, pa.int32())], ["behind", "code"])
+
+    found = lines.select("line").mapInArrow(look, "behind int, code int").distinct().collect()  # at most 2 * MAX_ALPHABET
+    plain, inner = (sorted(chr(r["code"]) for r in found if r["behind"] == k) for k in (0, 1))
+    return [c for c in plain if c not in specials] + [prefix + c for c in inner]
 
 
 def _certain_merges(
@@ -109,7 +115,7 @@ def train_merges(
 
     if len(tokens) >= target:
         return TokenModel(algorithm, tuple(tokens), specials=tuple(specials))
-    index = PairIndex(_encode_symbols(lines, ids, prefix), parts)
+    index = PairIndex(lines, _symbol_ids(ids, prefix), target, parts)
     touched: set[int] = set()
     reads: list[tuple[int, int, int]] = []
     while len(tokens) < target:
@@ -161,19 +167,28 @@ def _joined(left: str, right: str, prefix: str) -> str:
     return left + (right[len(prefix) :] if prefix and right.startswith(prefix) else right)
 
 
-def _encode_symbols(lines: DataFrame, ids: dict[str, int], prefix: str) -> DataFrame:
-    """Lines of at least two symbols as ``(n, symbols)``."""
-    names = list(ids)
+def _symbol_ids(ids: dict[str, int], prefix: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Function from texts to (ids of all their symbols, offsets of the texts)."""
+
+    def table(mark: str) -> tuple[np.ndarray, np.ndarray]:
+        known = sorted((ord(t[-1]), i) for t, i in ids.items() if len(t) == len(mark) + 1 and t.startswith(mark))
+        return np.array([c for c, _ in known], dtype=np.uint32), np.array([i for _, i in known], dtype=np.int64)
+
+    codes, plain = table("")
+    inner_codes, inner = table(prefix) if prefix else (codes, plain)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def to_ids(lists: pa.Array) -> pa.Array:
-        table = pa.array(names, pa.string())
-        found = pc.index_in(lists.flatten().cast(pa.string()), value_set=table)
-        offsets = pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32())
-        return pa.ListArray.from_arrays(offsets, found.cast(pa.int32()))
+    def convert(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        chars, offsets = _characters(texts)
+        if not prefix:
+            return plain[np.searchsorted(codes, chars)], offsets
+        first = np.zeros(len(chars), dtype=bool)
+        first[offsets[:-1]] = True
+        found = np.empty(len(chars), dtype=np.int64)
+        found[first] = plain[np.searchsorted(codes, chars[first])]
+        found[~first] = inner[np.searchsorted(inner_codes, chars[~first])]
+        return found, offsets
 
-    rows = lines.select("n", _symbols(lines, "line", prefix).alias("s")).where(F.size("s") > 1)
-    return rows.select("n", to_ids(F.col("s")).alias("symbols"))
+    return convert
 
 
 def train_bpe(

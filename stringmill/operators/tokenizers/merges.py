@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 SHIFT = 32  # a pair of ids is one long: left << SHIFT | right
+MAX_SQUARE = 1024  # with more ids, pairs are sorted, not counted in a table of all pairs
 
 
 def pair_code(left, right):
@@ -19,10 +20,10 @@ def pair_ids(code: int) -> tuple[int, int]:
     return code >> SHIFT, code & ((1 << SHIFT) - 1)
 
 
-def flatten(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Concatenated symbols with -1 behind each line."""
+def flatten(values: np.ndarray, offsets: np.ndarray, end: int = -1, kind: type | np.dtype = np.int64) -> np.ndarray:
+    """Concatenated symbols with ``end`` behind each line."""
     lengths = np.diff(offsets)
-    out = np.full(len(values) + len(lengths), -1, dtype=np.int64)
+    out = np.full(len(values) + len(lengths), end, dtype=kind)
     line = np.repeat(np.arange(len(lengths)), lengths)
     out[np.arange(len(values)) + line] = values
     return out
@@ -56,15 +57,18 @@ def apply_merge(flat: np.ndarray, left: int, right: int, new: int) -> np.ndarray
     return flat[keep]
 
 
-def count_pairs(flat: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, weighted counts) of all neighbours inside lines."""
-    line = np.cumsum(flat == -1)[:-1]
-    inside = (flat[:-1] != -1) & (flat[1:] != -1)
-    codes = pair_code(flat[:-1][inside], flat[1:][inside])
-    unique, inverse = np.unique(codes, return_inverse=True)
-    total = np.zeros(len(unique), dtype=np.int64)
-    np.add.at(total, inverse, weights[line[inside]])
-    return unique, total
+def count_pairs(flat: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of all neighbours inside lines; ``end``, above all ids, stands behind each line."""
+    size = end + 1
+    if size > MAX_SQUARE:
+        inside = (flat[:-1] != end) & (flat[1:] != end)
+        return np.unique(pair_code(flat[:-1][inside].astype(np.int64), flat[1:][inside].astype(np.int64)), return_counts=True)
+    found = flat[:-1].astype(np.int64)
+    found *= size
+    found += flat[1:]
+    square = np.bincount(found, minlength=size * size).reshape(size, size)[:end, :end]
+    left, right = np.nonzero(square)
+    return pair_code(left, right), square[left, right]
 
 
 def encode_flat(flat: np.ndarray, codes: np.ndarray, ranks: np.ndarray, results: np.ndarray) -> np.ndarray:

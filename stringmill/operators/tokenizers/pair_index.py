@@ -3,12 +3,12 @@
 Every part is a folder with its lines and, in rows of their own, the counts of the pairs that stand
 in it. Counting all pairs reads the index, which is small beside the lines; merging pairs reads and
 rewrites only the parts that hold one of them, and their old folders go. Lines are dealt to parts by
-ranges of their first symbols, so that similar lines, and with them rare pairs, lie together.
+ranges of their first characters, so that similar lines, and with them rare pairs, lie together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...sources.shared import remove, shared_path
-from .merges import apply_merge, count_pairs, flatten, unflatten
+from ..batches import sliced
+from .merges import apply_merge, count_pairs, flatten
 
 PART_SYMBOLS = 16 << 20  # symbols of a part
 MAX_PARTS = 4096  # beyond this, parts grow instead of their number
 GROUPS = 64  # which parts hold a pair is known by groups of parts, one bit each
 
 Merge = tuple[int, int, int]
-_LINES = "home int, n long, symbols array<int>"
+Block = tuple[int, int, np.ndarray]  # part, uses of each line, symbols with the end mark behind each line
+_LINES = "home int, n long, symbols binary"
 _STORED = _LINES + ", codes array<long>, counts array<long>"
 
 
-def merged(batch: pa.RecordBatch, merges: Sequence[Merge]) -> np.ndarray:
-    """Symbols of all lines of a batch after some merges (left, right, new), with -1 behind each line."""
-    lists = batch.column("symbols")
-    offsets = lists.offsets.to_numpy()
-    flat = flatten(lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+def merged(flat: np.ndarray, merges: Sequence[Merge]) -> np.ndarray:
+    """Symbols of lines after some merges (left, right, new)."""
     for left, right, new in merges:
         flat = apply_merge(flat, left, right, new)
     return flat
@@ -41,58 +40,87 @@ def merged(batch: pa.RecordBatch, merges: Sequence[Merge]) -> np.ndarray:
 class _Counts:
     """Pair counts of the lines of each part that a task has seen."""
 
-    def __init__(self) -> None:
+    def __init__(self, end: int) -> None:
+        self.end = end
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, homes: np.ndarray, flat: np.ndarray, weights: np.ndarray) -> None:
-        ends = np.flatnonzero(flat == -1) + 1
-        edges = np.flatnonzero(np.append(True, homes[1:] != homes[:-1])) if len(homes) else []
-        for a, b in zip(edges, [*edges[1:], len(homes)]):
-            codes, counts = count_pairs(flat[ends[a - 1] if a else 0 : ends[b - 1]], weights[a:b])
-            if (home := int(homes[a])) in self.found:
-                codes, place = np.unique(np.concatenate([self.found[home][0], codes]), return_inverse=True)
-                total = np.zeros(len(codes), np.int64)
-                np.add.at(total, place, np.concatenate([self.found[home][1], counts]))
-                counts = total
-            self.found[home] = codes, counts
+    def add(self, home: int, n: int, flat: np.ndarray) -> None:
+        codes, counts = count_pairs(flat, self.end)
+        counts = counts * n
+        if home in self.found:
+            codes, place = np.unique(np.concatenate([self.found[home][0], codes]), return_inverse=True)
+            total = np.zeros(len(codes), np.int64)
+            np.add.at(total, place, np.concatenate([self.found[home][1], counts]))
+            counts = total
+        self.found[home] = codes, counts
+
+
+def _without_single(flat: np.ndarray, end: int) -> np.ndarray:
+    """Lines of one symbol hold no pair."""
+    lengths = np.diff(np.flatnonzero(flat == end), prepend=-1)
+    return flat if (lengths > 2).all() else flat[np.repeat(lengths > 2, lengths)]
 
 
 class PairIndex:
-    """Stored lines ``(n, symbols)`` of ids; lines of one symbol are not kept."""
+    """Stored lines ``(n, line)`` of texts; lines of one symbol are not kept.
+
+    ``convert`` gives the ids of texts and their offsets, all below ``end``. A row holds the symbols of
+    many lines with the same number of uses, in as few bytes as ``end`` needs.
+    """
 
-    def __init__(self, lines: DataFrame, parts: int | None = None):
+    def __init__(self, lines: DataFrame, convert: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], end: int, parts: int | None = None):
         self.spark = lines.sparkSession
         self.root = shared_path(self.spark, "pairs")
+        self.end, self.kind = end, np.min_scalar_type(end)
         if parts is None:
-            size = lines.agg(F.sum(F.size("symbols"))).first()[0] or 0
+            size = lines.agg(F.sum(F.length("line"))).first()[0] or 0
             parts = max(self.spark.sparkContext.defaultParallelism, min(MAX_PARTS, -(-size // PART_SYMBOLS)))
         self.parts = parts
         self.version = 0
-        order = F.slice("symbols", 1, 8)
-        dealt = lines.where(F.size("symbols") > 1).repartitionByRange(parts, order)
-        self._store(dealt.select(F.lit(-1).alias("home"), "n", "symbols"), [])
+        kind = self.kind
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+            own = TaskContext.get().partitionId()
+            for batch in batches:
+                uses = batch.column("n").to_numpy()
+                order = np.argsort(uses, kind="stable")
+                texts = batch.column("line").take(pa.array(order))
+                edges = [0, *(np.flatnonzero(np.diff(uses[order])) + 1).tolist(), len(order)]
+                for a, b in zip(edges, edges[1:]):
+                    for part in sliced([texts.slice(a, b - a)]):
+                        ids, offsets = convert(part)
+                        yield own, int(uses[order[a]]), flatten(ids, offsets, end, kind)
+
+        dealt = lines.where(F.length("line") > 1).repartitionByRange(parts, F.substring("line", 1, 8))
+        self._store(dealt.select("n", "line"), read, [])
         made = self.spark.read.schema("codes array<long>, part int").parquet(f"{self.root}/v0").where("codes is not null")
         self.place = {r["part"]: 0 for r in made.select("part").distinct().collect()}  # version of each part
 
-    def _store(self, lines: DataFrame, merges: Sequence[Merge]) -> None:
+    def _blocks(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[Block]]:
+        kind = self.kind
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+            for batch in batches:
+                for home, n, symbols in zip(*(batch.column(c) for c in ("home", "n", "symbols"))):
+                    yield home.as_py(), n.as_py(), np.frombuffer(symbols.as_buffer(), kind)
+
+        return read
+
+    def _store(self, lines: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], merges: Sequence[Merge]) -> None:
         """Writes the lines after some merges, and their pair counts, as the parts of a new version."""
+        end = self.end
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, counts = TaskContext.get().partitionId(), _Counts()
-            for batch in batches:
-                homes, weights = batch.column("home").to_numpy(), batch.column("n").to_numpy()
-                homes = np.where(homes < 0, own, homes).astype(np.int32)
-                flat = merged(batch, merges)
-                counts.add(homes, flat, weights)
-                values, offsets = unflatten(flat)
-                long = np.diff(offsets) > 1
-                keep = np.repeat(long, np.diff(offsets))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.diff(offsets)[long])), pa.int32()), pa.array(values[keep], pa.int32()))
-                none = pa.nulls(int(long.sum()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(homes[long]), pa.array(weights[long]), lists, none, none], ["home", "n", "symbols", "codes", "counts"])
+            counts = _Counts(end)
+            for home, n, flat in read(batches):
+                flat = merged(flat, merges)
+                counts.add(home, n, flat)
+                if len(flat := _without_single(flat, end)):
+                    none = pa.nulls(1, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary()), none, none], ["home", "n", "symbols", "codes", "counts"])
             for home, (codes, n) in counts.found.items():
                 lists = [pa.array([x], pa.list_(pa.int64())) for x in (codes, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), *lists], ["home", "n", "symbols", "codes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], ["home", "n", "symbols", "codes", "counts"])
 
         rows = lines.mapInArrow(run, _STORED)
         rows.withColumn("part", F.col("home")).write.partitionBy("part").parquet(f"{self.root}/v{self.version}")
@@ -123,12 +151,12 @@ class PairIndex:
             pairs = self._read(rest).where("codes is not null").select("home", F.explode(F.arrays_zip("codes", "counts")).alias("p"))
             found.append(pairs.select("home", F.col("p.codes").alias("code"), F.col("p.counts").alias("n")))
         if touched:
-            merges = list(pending)
+            merges, read, end = list(pending), self._blocks(), self.end
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                counts = _Counts()
-                for batch in batches:
-                    counts.add(batch.column("home").to_numpy(), merged(batch, merges), batch.column("n").to_numpy())
+                counts = _Counts(end)
+                for home, n, flat in read(batches):
+                    counts.add(home, n, merged(flat, merges))
                 for home, (codes, n) in counts.found.items():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), home, np.int32)), pa.array(codes), pa.array(n)], ["home", "code", "n"])
 
@@ -144,7 +172,7 @@ class PairIndex:
         """Applies merges to the parts that hold them; no other part is read. The old folders are removed."""
         old = [self._folder(p) for p in touched]
         self.version += 1
-        self._store(self._lines(sorted(touched)), merges)
+        self._store(self._lines(sorted(touched)), self._blocks(), merges)
         self.place |= dict.fromkeys(touched, self.version)
         for folder in old:
             remove(self.spark, folder)

@@ -91,3 +91,40 @@ def test_join_encoding_of_a_vocabulary_with_repeated_tokens(rows):
     vocab = rows("token string, id long", ("a", 9), ("a", 4), ("b", 1))
     got = {r.ord: r.ids for r in enc.encode_wordlevel_join(df, vocab, 0).collect()}
     assert got == {1: [4, 9, 1, 0, 4, 9], 2: [1]}
+
+
+def test_pairs_are_counted_on_packed_lines(monkeypatch):
+    """The same counts from a table of all pairs and from sorted pairs, on as few bytes as the ids need."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from stringmill.operators.tokenizers import merges
+
+    for end in (7, 300, 70_000):
+        lines = [[random.Random(f"{end} {i}").randrange(end) for i in range(a, a + 1 + a % 9)] for a in range(200)]
+        flat = merges.flatten(np.concatenate(lines), np.cumsum([0, *map(len, lines)]), end, np.min_scalar_type(end))
+        assert flat.itemsize == {7: 1, 300: 2, 70_000: 4}[end]
+        want = Counter(merges.pair_code(a, b) for x in lines for a, b in zip(x, x[1:]))
+        for most in (0, merges.MAX_SQUARE):
+            monkeypatch.setattr(merges, "MAX_SQUARE", most)
+            codes, counts = merges.count_pairs(flat, end)
+            assert dict(zip(codes.tolist(), counts.tolist())) == want
+        monkeypatch.undo()
+
+
+def test_training_stores_a_byte_a_symbol(monkeypatch, rows):
+    """Lines with several uses, of one symbol, blank, null and with marks: packed and pruned without loss."""
+    from stringmill.operators.tokenizers import bpe, pair_index
+
+    sizes = []
+    made = pair_index.PairIndex._store
+    monkeypatch.setattr(pair_index.PairIndex, "_store", lambda self, *a: made(self, *a) or sizes.append(self.spark.read.schema("symbols binary").parquet(f"{self.root}/v{self.version}").selectExpr("sum(length(symbols))").first()[0]))
+    lines = ["ab", "ab", "aab", "a", "", None, "abé", "éé"] * 3
+    df = rows("ord long, item string", *enumerate(lines))
+    model = bpe.train_bpe(df, 6)
+    assert model.merges == (("a", "b"), ("a", "ab"), ("é", "é"))
+    assert sizes[0] == 2 + 3 + 3 + 2 + 4  # symbols and ends of the distinct lines with a pair
+    piece = bpe.train_wordpiece(df, 9)
+    assert piece.merges[0] == ("a", "##b") and set(piece.tokens) >= {"a", "b", "é", "##a", "##b", "##é"}
