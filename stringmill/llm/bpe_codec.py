@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import list_array
+from .words import give_back, list_array, part_of
 
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PART_CHARS = 1 << 16
@@ -97,7 +97,11 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str =
 def _rows(run, rows: int = 256):
     """Hands on batches of few rows, so that id lists of many long texts never meet in memory."""
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batch.slice(low, rows) for batch in batches for low in range(0, batch.num_rows, rows))
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows):
+                yield part_of(batch, low, min(low + rows, batch.num_rows))
+        batch = None
+        give_back()
 
-    return small
+    return lambda batches: run(few(batches))

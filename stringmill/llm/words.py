@@ -179,8 +179,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         low = 0
         while low < batch.num_rows:
             high = max(low + 1, int(np.searchsorted(lengths, lengths[low] + size, "right")) - 1)
-            yield batch.slice(low, high - low)
+            yield part_of(batch, low, high)
             low = high
+    batch = lengths = None
+    give_back()
+
+
+def part_of(batch: pa.RecordBatch, low: int, high: int) -> pa.RecordBatch:
+    """Some rows of a batch; its last ones are a copy, so that who still has them doesn't hold the batch."""
+    part = batch.slice(low, high - low)
+    return part if high < batch.num_rows else part.take(pa.array(np.arange(len(part))))
+
+
+def give_back() -> None:
+    """Hands unused memory to the system: a Python worker waits for its next task, beside others."""
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
