@@ -195,7 +195,8 @@ def merkle_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums over the pieces of 1 000 bytes of each text, written as files."""
     path = shared_path(spark, "pieces")
     docs = table(spark, sf_dir, "documents")
-    opened.write_named(docs.select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")), path)
+    folder = F.concat(F.pmod("doc_id", F.lit(256)).cast("string"), F.lit("/"))
+    opened.write_named(docs.select(F.concat(folder, "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")), path)
     return artifacts.merkle_digests(spark, path, 1000).select("name", "n_leaves", "digest")
 
 

@@ -49,8 +49,25 @@ def _folder(path: Column) -> Column:
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: ``(path, folder, name, length, modified)``; nothing is read.
 
-    Scans pass over files of no bytes. They are added from the driver's listing, without a time.
+    Tasks list the folders, so the files do not pass through the driver. What scans pass over, files
+    of no bytes and ``_metadata``, has no length and no time. A file system that Spark reaches but
+    Arrow does not is listed by the driver.
     """
+    roots = opened.places(spark, root)
+    if not roots or not all(map(opened.in_reach, roots)):
+        return _scanned_files(spark, root)
+    read = (F.col("length") > 0) & (~F.col("name").startswith("_") | F.col("name").contains("="))
+    return opened.walk(spark, roots).select(
+        "path",
+        _folder(F.col("path")).alias("folder"),
+        "name",
+        F.coalesce(F.when(read, F.col("length")), F.lit(0)).alias("length"),
+        F.when(read, F.timestamp_millis("millis")).alias("modified"),
+    )
+
+
+def _scanned_files(spark: SparkSession, root: str) -> DataFrame:
+    """The same files as Spark's scan finds them; their names and statuses stand on the driver."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     listed = pd.DataFrame({"path": pd.Series([unquote(f) for f in files.inputFiles()], dtype=str)})
     # both sides spell a path as file:/..., whatever number of slashes the listing has

@@ -12,16 +12,23 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shared_path
+
 #: Bytes held at a time while a file is read from front to back.
 READ_BYTES = 4 * 2**20
 #: Bytes of one leaf of a Merkle digest, the piece that one task reads.
 LEAF_BYTES = 64 * 2**20
+#: Entries of a folder that a task hands over at a time.
+LISTED_ROWS = 10_000
+#: What a task tells of a folder's entries; ``millis`` is the time of the last change.
+LISTED = "path string, name string, is_folder boolean, length long, millis long"
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -31,7 +38,8 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
         return fs.LocalFileSystem(), path
     if scheme == "file":
         return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    # Spark's paths are not encoded, an address is
+    return fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe="/:@"))
 
 
 def open_stream(path: str) -> io.RawIOBase:
@@ -66,6 +74,75 @@ def _tasks(spark: SparkSession, n: int) -> int:
     return max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
 
 
+def places(spark: SparkSession, root: str) -> list[str]:
+    """What a path or pattern names, spelled as Spark does; nothing where it names nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or ()]
+
+
+def in_reach(path: str) -> bool:
+    """Whether Arrow's file systems see something at a path."""
+    try:
+        system, inner = _place(path)
+        return system.get_file_info(inner).type != fs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's listings pass over a file or folder of this name."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _entries(path: str, own: str) -> Iterator[pd.DataFrame]:
+    """What lies in a folder, or the file itself, without hidden names and the name ``own``."""
+    system, inner = _place(path)
+    infos = [system.get_file_info(inner)]
+    folder = path.rpartition("/")[0]
+    if infos[0].type == fs.FileType.Directory:
+        infos, folder = system.get_file_info(fs.FileSelector(inner)), path.rstrip("/")
+    for start in range(0, len(infos), LISTED_ROWS):
+        part = [i for i in infos[start : start + LISTED_ROWS] if not _hidden(i.base_name) and i.base_name != own]
+        yield pd.DataFrame(
+            {
+                "path": pd.Series([f"{folder}/{i.base_name}" for i in part], dtype=str),
+                "name": pd.Series([i.base_name for i in part], dtype=str),
+                "is_folder": pd.Series([i.type == fs.FileType.Directory for i in part], dtype=bool),
+                "length": pd.Series([i.size for i in part], dtype="Int64"),
+                "millis": pd.Series([None if i.mtime_ns is None else i.mtime_ns // 10**6 for i in part], dtype="Int64"),
+            }
+        )
+
+
+def walk(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """``(path, name, length, millis)`` of every file at or below the roots, without hidden ones.
+
+    A job for each depth lists its folders, each in one task. What they find stays in tables of the
+    shared folder, which are left out here; the driver learns how many folders come next.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                yield from _entries(path, own)
+
+    target = shared_path(spark, "listing")
+    own = target.rpartition("/")[2]
+    folders = spark.createDataFrame(pd.DataFrame({"path": pd.Series(roots, dtype=str)}), "path string")
+    n, tables = len(roots), []
+    while n:
+        tables.append(f"{target}/{len(tables)}")
+        folders.repartition(_tasks(spark, n), "path").mapInPandas(look, LISTED).write.parquet(tables[-1])
+        folders = spark.read.schema(LISTED).parquet(tables[-1]).where("is_folder").select("path")
+        n = folders.count()
+    files = spark.read.schema(LISTED).parquet(*tables).where("not is_folder").drop("is_folder")
+    # one root may lie below another
+    return files.dropDuplicates(["path"]) if len(roots) > 1 else files
+
+
 def first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     """``(file, line)``: the first line of each file that is not blank, null without one.
 

@@ -4,6 +4,7 @@ import json
 import uuid
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stringmill.operators.cuts import cap_rows
@@ -15,7 +16,7 @@ from stringmill.operators.runs import (
 )
 from stringmill.plans.corpus import prepare_reaction_corpus
 from stringmill.plans.experiments import collect_run_metrics, short_directories
-from stringmill.sources import artifacts, items, sinks
+from stringmill.sources import artifacts, items, opened, sinks
 
 
 def texts(df, order="ord"):
@@ -299,6 +300,70 @@ def test_checksums(spark, rows, tmp_path):
     assert hashlib.md5(b"a").hexdigest() in {r.digest for r in md5.collect()}
 
 
+def _put(root, *names):
+    for name in names:
+        target = root / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(b"" if "empty" in name else name.encode())
+
+
+def test_listed_files_do_not_stand_on_the_driver(spark, tmp_path):
+    """What the driver knows of a listing is the files of its tables, not the files that are listed."""
+    _put(tmp_path, *[f"{i % 40}/{i}.bin" for i in range(200)])
+    files = artifacts.list_files(spark, str(tmp_path))
+    assert not any(name.endswith(".bin") for name in files.inputFiles())
+    assert sorted((r.name, r.length, r.folder) for r in files.collect()) == sorted(
+        (f"{i}.bin", len(f"{i % 40}/{i}.bin"), f"file:{tmp_path}/{i % 40}") for i in range(200)
+    )
+    assert artifacts.file_digests(spark, str(tmp_path)).select("path").distinct().count() == 200
+
+
+ODD_NAMES = [
+    "a.bin", "c d.bin", "50%.txt", "50%25.txt", "a+b.txt", "ü ñ/é.txt", "h#sh?q/x[1]{y}*.txt", "k=1/z", "_k=v/y", "empty", "deep/1/2/3/4/f",
+    "deep/1/g", "deep/empty2", ".hidden/x", "_hidden/x", "_SUCCESS", ".x.crc", "part._COPYING_", "_metadata", "_metadata_of/x", "q'u\"o,te",
+]
+
+
+@pytest.mark.parametrize("below", ["", "/", "/*", "/{deep,deep/1}", "/deep/1/g", "/empty", "/_hidden", "/_SUCCESS", "/none", "/ü ñ", "/50%25.txt"])
+def test_listing_finds_what_a_scan_finds(spark, tmp_path, below):
+    root = tmp_path / "tree"
+    _put(root, *ODD_NAMES)
+    (root / "none").mkdir()
+    (root / "link").symlink_to(root / "deep")
+    (root / "broken").symlink_to(root / "gone")
+    found, scanned = (f(spark, f"{root}{below}") for f in (artifacts.list_files, artifacts._scanned_files))
+    assert found.schema == scanned.schema
+    assert sorted(found.collect(), key=lambda r: r.path) == sorted(scanned.collect(), key=lambda r: r.path)
+
+
+def test_listing_of_a_missing_path_is_an_error(spark, tmp_path):
+    for name in ("gone", "gone*"):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            artifacts.list_files(spark, str(tmp_path / name))
+
+
+def test_listing_leaves_its_own_tables_out(spark, tmp_path, monkeypatch):
+    _put(tmp_path, "a.bin", "shared/b.bin", "x/y/z/c.bin")
+    monkeypatch.setattr(opened, "shared_path", lambda s, name: f"{tmp_path}/shared/{name}-0")
+    assert sorted(r.name for r in artifacts.list_files(spark, str(tmp_path)).collect()) == ["a.bin", "b.bin", "c.bin"]
+
+
+def test_listing_where_only_spark_reaches(spark, tmp_path, monkeypatch):
+    _put(tmp_path, "a.bin", "x/b.bin", "empty")
+    want = sorted(artifacts.list_files(spark, str(tmp_path)).collect())
+    assert opened.in_reach(f"file:{tmp_path}") and not opened.in_reach(f"file:{tmp_path}/gone") and not opened.in_reach("strange://host/x")
+    monkeypatch.setattr(opened, "in_reach", lambda path: False)
+    assert sorted(artifacts.list_files(spark, str(tmp_path)).collect()) == want
+
+
+def test_large_folder_is_handed_over_in_pieces(tmp_path, monkeypatch):
+    _put(tmp_path, *[f"{i}.bin" for i in range(10)], ".hidden", "own/x")
+    monkeypatch.setattr(opened, "LISTED_ROWS", 4)
+    pieces = list(opened._entries(f"file:{tmp_path}", "own"))
+    assert all(len(p) <= 4 for p in pieces)
+    assert sorted(name for p in pieces for name in p["name"]) == [f"{i}.bin" for i in range(10)]
+
+
 def test_digests_block_by_block(spark, tmp_path, monkeypatch):
     texts = {"a.bin": b"", "b.bin": b"x" * 100, "c d.bin": bytes(range(256)) * 10}
     for name, data in texts.items():
